@@ -1 +1,8 @@
 """gradeloom: scoring, profiling and selecting training text with Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel with the tasks, so that executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
