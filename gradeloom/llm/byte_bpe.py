@@ -9,9 +9,7 @@ The trees of many matches of similar width lie side by side in numpy arrays and
 matches over ``LONG`` bytes get a tree of their own in plain Python, O(n log n). Ranks are looked up in an
 open-addressing table over (left id, right id).
 
-Texts repeat most of their words, so each worker remembers the ids of chunks (a word with the space before it) in a bounded
-dict. Cutting at single spaces before the pattern runs is exact unless white space stands next to such a space;
-texts where it does are split by the pattern as a whole.
+Texts repeat most of their words; ``chunk_cache`` remembers their ids in each worker, in a bounded dict.
 """
 
 from __future__ import annotations
@@ -21,9 +19,10 @@ import base64
 import numpy as np
 import regex
 
+from .chunk_cache import REMEMBERED, ChunkCache
+
 LONG = 64
 NONE = np.int32(2**31 - 1)
-REMEMBERED = 900_000
 
 
 def load_ranks(data: bytes) -> list[bytes]:
@@ -87,8 +86,7 @@ class BytePairEncoder:
         self.byte_ids = np.array([self.pairs.ids[bytes([b])] for b in range(256)], np.int32)
         self.find = regex.compile(pattern).findall
         self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-        self.odd: set[str] = set()
+        self.chunks = ChunkCache(self._learn, self._split_whole)
 
     def _together(self, pieces: list[bytes], width: int) -> list[bytes]:
         """Ids of pieces of at most ``width`` bytes, a power of two."""
@@ -209,46 +207,31 @@ class BytePairEncoder:
         """Encode the pieces that aren't remembered."""
         if len(self.pieces) > REMEMBERED:
             self.pieces = {}
-        new = list(pieces - self.pieces.keys())
+        new = [p for p in pieces if p not in self.pieces]
         self.pieces.update(zip(new, self.encode_pieces([p.encode("utf-8", "surrogatepass") for p in new]), strict=True))
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Split and encode chunks; one that is a single piece is kept once."""
-        alone, split = [], {}
-        for c in chunks:
-            ps = self.find(c)
-            if len(ps) == 1:
-                alone.append(c)
-            else:
-                split[c] = ps
-            if c[:2].isspace() and (len(c) == 1 or c[1].isspace()):
-                self.odd.add(c)
-        self.chunks.update(zip(alone, self.encode_pieces([c.encode("utf-8", "surrogatepass") for c in alone]), strict=True))
-        self._know({p for ps in split.values() for p in ps})
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """Ids of " " + chunk; those that are one piece are remembered as chunks only."""
+        split = [self.find(" " + c) for c in chunks]
+        out: list[bytes] = [b""] * len(chunks)
+        alone = [i for i, ps in enumerate(split) if len(ps) == 1]
+        for i, ids in zip(alone, self.encode_pieces([split[i][0].encode("utf-8", "surrogatepass") for i in alone]), strict=True):
+            out[i] = ids
+        self._know({p for ps in split if len(ps) > 1 for p in ps})
         get = self.pieces.__getitem__
-        for c, ps in split.items():
-            self.chunks[c] = b"".join(map(get, ps))
+        for i, ps in enumerate(split):
+            if len(ps) > 1:
+                out[i] = b"".join(map(get, ps))
+        return out
+
+    def _split_whole(self, texts: list[str]) -> list[bytes]:
+        split = [self.find(t) for t in texts]
+        self._know({p for ps in split for p in ps})
+        return [b"".join(map(self.pieces.__getitem__, ps)) for ps in split]
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, as little-endian unsigned 32-bit integers."""
-        cut = []
-        for t in texts:
-            first, *rest = t.split(" ")
-            cut.append([first, *[" " + c for c in rest]] if rest else [first])
-        need = set().union(*cut)
-        missing = need - self.chunks.keys()
-        if len(self.chunks) + len(missing) > REMEMBERED:
-            self.chunks, self.odd, missing = {}, set(), need
-        self._learn(missing)
-        get, out = self.chunks.__getitem__, []
-        for t, chunks in zip(texts, cut, strict=True):
-            if self.odd and not self.odd.isdisjoint(chunks):
-                chunks = self.find(t)
-                self._know(set(chunks))
-                out.append(b"".join(map(self.pieces.__getitem__, chunks)))
-            else:
-                out.append(b"".join(map(get, chunks)))
-        return out
+        return self.chunks.encode_texts(texts)
 
     def decode(self, ids: bytes) -> bytes:
         """Bytes of little-endian 32-bit ids."""
