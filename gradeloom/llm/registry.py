@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_byte_bpe, queries_license_scan, queries_line_rules, queries_minhash, queries_mixing, queries_token_files, queries_top_k, queries_toxicity, queries_url_filter
+from . import queries_byte_bpe, queries_license_scan, queries_line_rules, queries_minhash, queries_mixing, queries_substring, queries_token_files, queries_top_k, queries_toxicity, queries_url_filter
 
-MODULES = (queries_mixing, queries_top_k, queries_license_scan, queries_byte_bpe, queries_url_filter, queries_minhash, queries_token_files, queries_toxicity, queries_line_rules)
+MODULES = (queries_mixing, queries_top_k, queries_substring, queries_license_scan, queries_byte_bpe, queries_url_filter, queries_minhash, queries_token_files, queries_toxicity, queries_line_rules)
 
 
 def queries():
