@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -38,11 +40,30 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: batches of few rows and bytes keep both sides of an Arrow map small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(2 * SLICE))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+def kept_in_worker(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept between the tasks of a Python worker; another key takes its place.
+
+    This package's functions travel by value, so their module globals are new in every task; a module of the worker's own lasts.
+    """
+    state = sys.modules.setdefault("gradeloom_worker_state", types.ModuleType("gradeloom_worker_state")).__dict__
+    if state.get("key") != key:
+        state.pop("value", None)
+        state["value"], state["key"] = make(), key
+    return state["value"]
+
+
 def arrow_map(df: DataFrame, schema: str, rows: Callable[..., Callable[[list[tuple]], list[tuple]]], *args, slice_rows: int = SLICE) -> DataFrame:
     """``rows(*args)`` runs once a task and gives a function from a list of row tuples to a list of result tuples."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    small_batches(df.sparkSession)
     kinds = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

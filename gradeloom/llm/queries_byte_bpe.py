@@ -1,26 +1,18 @@
 """Query op5_byte_bpe. No SQL: it is tested against tiktoken and an exact round trip."""
 
 import hashlib
+import zlib
 
 import public_tokenizers
 
 from .byte_bpe import BytePairEncoder, load_ranks
-from .common import arrow_map
+from .common import arrow_map, kept_in_worker
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-_ENCODERS: dict[str, BytePairEncoder] = {}
-
-
-def encoder(data: bytes, pattern: str) -> BytePairEncoder:
-    """One encoder a worker, kept between tasks."""
-    key = hashlib.sha256(data).hexdigest() + pattern
-    if key not in _ENCODERS:
-        _ENCODERS[key] = BytePairEncoder(load_ranks(data), pattern)
-    return _ENCODERS[key]
 
 
 def _rows(data, pattern):
-    e = encoder(data.value, pattern)
+    e = kept_in_worker(("bpe", zlib.crc32(data.value), pattern), lambda: BytePairEncoder(load_ranks(data.value), pattern))
 
     def each(rows):
         out = []

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .chunk_cache import ChunkCache
-from .common import SLICE, materialize, shared_dir
+from .common import SLICE, kept_in_worker, materialize, shared_dir, small_batches
 
 FILE_SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 BROADCAST_ROWS = 100_000
@@ -63,13 +63,9 @@ class ChunkTokenizer:
         return out
 
 
-_TOKENIZERS: dict[int, ChunkTokenizer] = {}
-
-
 def _encoded(data, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = zlib.crc32(data.value)
-        t = _TOKENIZERS.get(key) or _TOKENIZERS.setdefault(key, ChunkTokenizer(data.value))
+        t = kept_in_worker(("tokenizer", zlib.crc32(data.value)), lambda: ChunkTokenizer(data.value))
         part, at, end = TaskContext.get().partitionId(), 0, int(end_id).to_bytes(4, "little")
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
@@ -89,6 +85,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 0
     """Every text of ``docs`` (doc_id, text), each closed by ``end_id``. Rows that repeat an id are ordered by their texts."""
     with open(tokenizer_path, "rb") as f:
         data = docs.sparkSession.sparkContext.broadcast(f.read())
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     docs = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     options = {"compression": "zstd", "orc.stripe.size": stripe_mb << 20, "orc.create.index": "true", "orc.row.index.stride": 1000, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": 0.01}

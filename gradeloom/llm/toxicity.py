@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, kept_in_worker
 
 STRIP = "".join(chr(b) for b in range(128) if not chr(b).isalnum())
 BEGINNINGS = (3, 4, 5)
@@ -115,7 +115,9 @@ REMEMBERED = 500_000
 
 
 def _scores(table, bias: float):
-    table, known = table.value, {}
+    table = table.value
+    key = ("toxicity", hash((bias, tuple(table.items()))))
+    known = kept_in_worker(key, dict)
 
     def learn(word: str) -> tuple:
         if len(known) > REMEMBERED:
