@@ -53,7 +53,7 @@ def hash_family(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketches(size: int):
-    hashes = kept_in_worker(("words", 0), WordHashes)
+    hashes = kept_in_worker("words", WordHashes)
     a, b = hash_family(SIGNS)
 
     def each(rows):
@@ -67,7 +67,7 @@ def _sketches(size: int):
 
 
 def _sets(size: int):
-    hashes = kept_in_worker(("words", 0), WordHashes)
+    hashes = kept_in_worker("words", WordHashes)
     return lambda rows: [(node, block, cells, shingle_set(words_of(text), hashes, size).view(np.int64)) for node, block, cells, text in rows]
 
 

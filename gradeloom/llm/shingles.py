@@ -5,25 +5,23 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-REMEMBERED = 700_000
+REMEMBERED = 250_000
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 class WordHashes(dict):
-    """word (bytes) -> 64-bit hash; remembered, emptied when it holds ``REMEMBERED`` words."""
+    """word (bytes) -> 128-bit hash as bytes; remembered, emptied when it holds ``REMEMBERED`` words."""
 
-    def __init__(self, seed: int = 0):
-        super().__init__()
-        self.seed = seed
-
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
+    def __missing__(self, word: bytes) -> bytes:
+        h = self[word] = xxhash.xxh3_128_digest(word)
         return h
 
-    def of(self, words: list[bytes]) -> np.ndarray:
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The two halves of each word's hash."""
         if len(self) > REMEMBERED:
             self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        both = np.frombuffer(b"".join(map(self.__getitem__, words)), "<u8").reshape(-1, 2)
+        return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
 
 
 def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -57,5 +55,5 @@ def shingle_set(words: list[bytes], hashes: WordHashes, size: int = 5) -> np.nda
     """Sorted distinct hashes of the runs of ``size`` words; of the whole sequence if it is shorter; none without words."""
     if not words:
         return np.empty(0, np.uint64)
-    w = hashes.of(words)
+    w = hashes.of(words)[0]
     return np.unique(runs(w, size)) if len(w) >= size else joined(runs(w, len(w)), np.array([len(w)], np.uint64))

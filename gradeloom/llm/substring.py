@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, kept_in_worker, materialize
+from .common import arrow_map, kept_in_worker, materialize, small_batches
 from .shingles import WordHashes, joined, runs
 
 WIDTH = 20
@@ -40,12 +40,10 @@ SHARD_BITS = 20
 FLUSH = 1 << 21
 
 
-class TwoHashes:
-    def __init__(self):
-        self.a, self.b = WordHashes(1), WordHashes(2)
-
-    def windows(self, words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-        return runs(self.a.of(words), width), runs(self.b.of(words), width)
+def windows_of(words: list[bytes], hashes: WordHashes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of each window's 128-bit hash."""
+    a, b = hashes.of(words)
+    return runs(a, width), runs(b, width)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -63,7 +61,7 @@ def _counted(bits: int, width: int, salts: int):
     """Map: texts to (shard, salt, once, twice): bitmaps of cells seen at least once and twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = kept_in_worker(("windows", 1, 2), TwoHashes)
+        hashes = kept_in_worker("words", WordHashes)
         part = TaskContext.get().partitionId()
         shard_bits = min(SHARD_BITS, bits)
 
@@ -88,7 +86,7 @@ def _counted(bits: int, width: int, salts: int):
         found, n = [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                a, b = hashes.windows(words_of(text), width)
+                a, b = windows_of(words_of(text), hashes, width)
                 if len(a):
                     found += cells_of(a, b, bits)
                     n += len(a)
@@ -150,7 +148,7 @@ def _suspected(bits: int, marked, width: int, buckets: int):
     names = ["bucket", "a", "b", "doc", "of", "at", "length"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = kept_in_worker(("windows", 1, 2), TwoHashes)
+        hashes = kept_in_worker("words", WordHashes)
         bitmap = np.frombuffer(marked.value, np.uint8)
 
         def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +177,7 @@ def _suspected(bits: int, marked, width: int, buckets: int):
         rows, n = [], 0
         for batch in batches:
             for doc, of, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a, b = hashes.windows(words_of(text), width)
+                a, b = windows_of(words_of(text), hashes, width)
                 if not len(a):
                     continue
                 x, y = (c.astype(np.int64) for c in cells_of(a, b, bits))
@@ -258,6 +256,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, as_text: bool = False,
     """A row per row: doc_id, n_words, n_removed, kept_sha256. With ``as_text`` the columns of ``docs``, the text cut (as it was, if nothing is removed)."""
     spark, rest = docs.sparkSession, [c for c in docs.columns if c != "text"] if as_text else ["doc_id"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("of"), F.struct(*rest).alias("rest"), F.col("text").cast("string"))
+    small_batches(spark)
     n = windows_about(rows)
     bits, marked = sketch(rows, n, width, **sketch_args)
     schema = "bucket int, a array<long>, b array<long>, doc array<long>, of array<long>, at array<int>, length array<int>"
