@@ -58,7 +58,7 @@ def mix_plan(base: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     order = W.orderBy("sn", "sk")  # a row per source
     k = (F.row_number().over(order) - 1) % len(weights)
     sources = sources.select("*", F.element_at(F.array(*map(F.lit, weights)), (k + 1).cast("int")).cast("double").alias("w"))
-    # Water-filling: the sources that stop at their cap are a prefix in the order of cap / weight.
+    # Water-filling: the sources that stop at their cap are a prefix in the order of cap / weight; the first level that fits is the highest.
     cap = F.col("source_size") * float(max_copies)
     filled = W.orderBy(cap / F.col("w"), "sn", "sk").rowsBetween(W.unboundedPreceding, -1)
     rest = W.orderBy(cap / F.col("w"), "sn", "sk").rowsBetween(W.currentRow, W.unboundedFollowing)
@@ -66,7 +66,7 @@ def mix_plan(base: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     sources = sources.select("*", F.coalesce(F.sum(cap).over(filled), F.lit(0.0)).alias("capped"), F.sum("w").over(rest).alias("w_rest"), F.sum("source_size").over(every).alias("total"))
     level = (F.col("total") * float(share) - F.col("capped")) / F.col("w_rest")
     sources = sources.select("*", F.when(level <= cap / F.col("w"), level).alias("level"))
-    sources = sources.select("*", F.min("level").over(every).alias("lam"))
+    sources = sources.select("*", F.max("level").over(every).alias("lam"))
     target = F.least(cap, F.coalesce(F.col("lam") * F.col("w"), cap))
     sources = sources.select("sk", "sn", "source_size", target.alias("target"))
     # The same within a source: bands of the highest intensity reach max_copies first.
@@ -75,7 +75,7 @@ def mix_plan(base: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     full = F.coalesce(F.sum("band_size").over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     left = F.sum(F.col("v") * F.col("band_size")).over(own.rowsBetween(W.currentRow, W.unboundedFollowing))
     b = b.select("*", F.when(left > 0, (F.col("target") - max_copies * full) / left).alias("c0"))
-    b = b.select("*", F.min(F.when(F.col("c0") * F.col("v") <= max_copies, F.col("c0"))).over(W.partitionBy("sk", "sn")).alias("c"))
+    b = b.select("*", F.max(F.when(F.col("c0") * F.col("v") <= max_copies, F.col("c0"))).over(W.partitionBy("sk", "sn")).alias("c"))
     e = F.least(F.lit(float(max_copies)), F.coalesce(F.col("c") * F.col("v"), F.lit(float(max_copies))))
     b = b.select("sk", "sn", "v", "source_size", "target", "band_size", F.floor(e).alias("copies"), (e - F.floor(e)).alias("p"))
     sure = F.sum(F.col("copies") * F.col("band_size")).over(W.partitionBy("sk", "sn"))

@@ -20,13 +20,13 @@ s2 as (select *, [3.0, 1.0, 2.0][((row_number() over (order by sn, sk) - 1) % 3
 s3 as (select *, coalesce(sum(cap) over (order by cap / w, sn, sk rows between unbounded preceding and 1 preceding), 0.0::double) capped,
   sum(w) over (order by cap / w, sn, sk rows between current row and unbounded following) wr, sum(ss) over ()::double total from s2),
 s4 as (select *, case when (total * 1.5::double - capped) / wr <= cap / w then (total * 1.5::double - capped) / wr end lv from s3),
-s5 as (select sk, sn, ss, least(cap, coalesce(min(lv) over () * w, cap))::double target from s4),
+s5 as (select sk, sn, ss, least(cap, coalesce(max(lv) over () * w, cap))::double target from s4),
 c1 as (select b.*, s.ss, s.target,
   coalesce(sum(bs) over (partition by sk, sn order by v desc rows between unbounded preceding and 1 preceding), 0)::bigint fb,
   (sum(v * bs) over (partition by sk, sn order by v desc rows between current row and unbounded following))::bigint lf
   from bands b join s5 s using (sk, sn)),
 c2 as (select *, case when lf > 0 then (target - (2 * fb)::double) / lf::double end c0 from c1),
-c3 as (select *, min(case when c0 * v <= 2 then c0 end) over (partition by sk, sn) c from c2),
+c3 as (select *, max(case when c0 * v <= 2 then c0 end) over (partition by sk, sn) c from c2),
 c4 as (select *, least(2.0::double, coalesce(c * v, 2.0::double)) e from c3),
 c5 as (select sk, sn, v, ss, target, floor(e)::bigint copies, e - floor(e) p, target - (sum(floor(e)::bigint * bs) over (partition by sk, sn))::double need from c4),
 r as (select b.*, ss, target, copies, p, need, case when size > 0 and p > 0 then (u / (1 - u)) / (p / (1 - p)) end q from b1 b join c5 using (sk, sn, v)),
