@@ -164,8 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_un
 
 
 def score(docs: DataFrame, model: NonNegativePU, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and toxic_score (0 to 1). Null and empty texts get the score of the bias."""
-    kinds = dict(docs.dtypes)
+    """The columns ``keep`` ("*": all) and toxic_score (0 to 1). Null and empty texts get the score of the bias."""
     table = docs.sparkSession.sparkContext.broadcast(model.table())
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "toxic_score double"])
-    return arrow_map(docs.select(*keep, "text"), schema, _scores, table, model.bias)
+    rows = docs.select(F.struct(*(docs.columns if "*" in keep else keep)).alias("row"), F.col("text").alias("scored_text"))
+    scored = arrow_map(rows, f"row {dict(rows.dtypes)['row']}, toxic_score double", _scores, table, model.bias)
+    return scored.select(*(F.col("row")[c].alias(c) for c in (docs.columns if "*" in keep else keep)), "toxic_score")
