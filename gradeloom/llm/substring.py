@@ -4,18 +4,17 @@ A window is 20 consecutive words. A word is removed if some window covers it who
 doc_id, or same document and earlier start); windows are judged on the input.
 
 Pass 1 counts windows in a count-min sketch of two rows whose counters stop at two, which is all the filter asks for. Every
-map task sends the cells it has seen once and twice, shard by shard; shards merge in a shuffle (saturating sums are
-associative, so salted partial merges come first). The sketch has ``cells_per_window`` cells for each window of the corpus up to
+map task sends the cells it has seen once and twice, shard by shard, as coded gaps; a shuffle merges shards by saturating sums. The sketch has ``cells_per_window`` cells for each window of the corpus up to
 ``most_cells``; beyond that it passes more windows, never fewer. What is broadcast is one bit per cell: 64 MB at most.
 
 Pass 2 reads the texts again and keeps the windows whose cells say twice or more in both rows; a count-min
 sketch never underestimates, so no repeated window is lost. Among these a task only sends the first place of each window it has seen;
 later ones are known to be repeats, so a passage that stands in a third of all texts sends at most a row per task. The rest
-are grouped by their whole 128-bit hash, all of them, and those that don't hold the first place are repeats.
+are grouped by a 96-bit hash, all of them, and those that don't hold the first place are repeats. The two steps are one shuffle.
 
 Pass 3 joins each text with its repeated windows by doc_id and cuts the covered words. Texts travel compressed.
 
-Two windows count as equal if their 128-bit hashes are. Null texts have no words. Rows with a null doc_id keep all their words and take none from
+Two windows count as equal if their 96-bit hashes are: among 1e13 windows two others agree with probability below 0.001. Null texts have no words. Rows with a null doc_id keep all their words and take none from
 others. Rows that repeat a doc_id are ordered by a hash of their texts; rows equal in both are one document and don't count as earlier than each other.
 """
 
@@ -27,8 +26,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +37,7 @@ from .shingles import WordHashes, joined, runs
 WIDTH = 20
 SHARD_BITS = 20
 FLUSH = 1 << 21
+COUNTED_AT_ONCE = 1 << 22
 
 
 def windows_of(words: list[bytes], hashes: WordHashes, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,70 +57,79 @@ def cells_of(a: np.ndarray, b: np.ndarray, bits: int) -> tuple[np.ndarray, np.nd
     return a >> np.uint64(65 - bits), half + (joined(a, b) >> np.uint64(65 - bits))
 
 
-def _counted(bits: int, width: int, salts: int):
-    """Map: texts to (shard, salt, once, twice): bitmaps of cells seen at least once and twice."""
+def coded(cells: np.ndarray) -> bytes:
+    """Ascending numbers as their gaps, a byte each; 255 stands for 255 more to come."""
+    gaps = np.diff(cells.astype(np.int64), prepend=0)
+    more, last = np.divmod(gaps, 255)
+    out = np.full(int(more.sum()) + len(gaps), 255, np.uint8)
+    out[np.cumsum(more + 1) - 1] = last
+    z = zlib.compressobj(1, strategy=zlib.Z_HUFFMAN_ONLY)
+    return z.compress(out.tobytes()) + z.flush()
+
+
+def decoded(data: bytes) -> np.ndarray:
+    gaps = np.frombuffer(zlib.decompress(data), np.uint8)
+    return np.cumsum(gaps, dtype=np.int64)[gaps != 255]
+
+
+def _counted(bits: int, width: int):
+    """Map: texts to (shard, once, twice): cells seen at least once and twice, within the shard."""
+    shard_bits = min(SHARD_BITS, bits)
+
+    def flush(found: list[np.ndarray]) -> pa.RecordBatch:
+        cells = np.concatenate(found)
+        cells.sort()
+        first = np.ones(len(cells), bool)
+        first[1:] = cells[1:] != cells[:-1]
+        once, twice = cells[first], cells[~first]
+        twice = twice[np.append(True, twice[1:] != twice[:-1])] if len(twice) else twice
+        rows = []
+        for shard in np.unique(once >> np.uint32(shard_bits)).tolist():
+            ends = np.array([shard << shard_bits, ((shard + 1) << shard_bits) - 1], np.uint32)
+            parts = [c[np.searchsorted(c, ends[0], "left") : np.searchsorted(c, ends[1], "right")] - ends[0] for c in (once, twice)]
+            rows.append((shard, *map(coded, parts)))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "once", "twice"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = kept_in_worker("words", WordHashes)
-        part = TaskContext.get().partitionId()
-        shard_bits = min(SHARD_BITS, bits)
-
-        def flush(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            cells = np.sort(np.concatenate(found))
-            first = np.ones(len(cells), bool)
-            first[1:] = cells[1:] != cells[:-1]
-            once = cells[first]
-            twice = np.unique(cells[~first])
-            shards = np.unique(once >> np.uint64(shard_bits))
-            rows = []
-            for s in shards.tolist():
-                bitmaps = []
-                for c in (once, twice):
-                    i, e = np.searchsorted(c, np.array([s << shard_bits, (s + 1) << shard_bits], np.uint64))
-                    bitmap = np.zeros(1 << shard_bits, bool)
-                    bitmap[(c[i:e] & np.uint64((1 << shard_bits) - 1)).astype(np.int64)] = True
-                    bitmaps.append(zlib.compress(np.packbits(bitmap).tobytes(), 1))
-                rows.append((s, part % salts, *bitmaps))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "salt", "once", "twice"])
-
-        found, n = [], 0
+        hashes, found, n = kept_in_worker("words", WordHashes), [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 a, b = windows_of(words_of(text), hashes, width)
                 if len(a):
-                    found += cells_of(a, b, bits)
+                    found += (c.astype(np.uint32) for c in cells_of(a, b, bits))
                     n += len(a)
-                if n >= FLUSH:
-                    yield from flush(found)
+                if n >= COUNTED_AT_ONCE:
+                    yield flush(found)
                     found, n = [], 0
         if n:
-            yield from flush(found)
+            yield flush(found)
 
     return run
 
 
-def _merged(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (shard, salt) to one row for each; memory is that of a shard."""
-    now, once, twice = None, None, None
+def _merged(shard_bits: int):
+    """Rows sorted by shard to a row of bits for cells counted twice; memory is that of a shard."""
 
-    def row() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([zlib.compress(once.tobytes(), 1)], pa.binary()), pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary())], names=["shard", "salt", "once", "twice"])
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, once, twice = None, None, None
 
-    for batch in rows:
-        for shard, salt, o, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            o, t = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (o, t))
-            if now == (shard, salt):
-                twice = twice | t | (once & o)
-                once = once | o
-            else:
-                if now:
-                    yield row()
-                now, once, twice = (shard, salt), o, t
-    if now:
-        yield row()
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([zlib.compress(np.packbits(twice).tobytes(), 1)], pa.binary())], names=["shard", "twice"])
 
+        for batch in rows:
+            for shard, o, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != shard:
+                    if now is not None:
+                        yield row()
+                    now, once, twice = shard, np.zeros(1 << shard_bits, bool), np.zeros(1 << shard_bits, bool)
+                o, t = decoded(o), decoded(t)
+                twice[o] |= once[o]
+                twice[t] = True
+                once[o] = True
+        if now is not None:
+            yield row()
 
-SKETCH = "shard int, salt int, once binary, twice binary"
+    return run
 
 
 def windows_about(text: DataFrame) -> int:
@@ -128,52 +137,52 @@ def windows_about(text: DataFrame) -> int:
     return (text.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
 
 
-def sketch(text: DataFrame, n: int, width: int = WIDTH, cells_per_window: int = 4, most_cells: int = 1 << 29, salts: int = 4) -> tuple[int, bytes]:
-    """bits, and a bit for each cell that was counted twice or more. n: about how many windows there are."""
+def sketch(text: DataFrame, n: int, width: int = WIDTH, cells_per_window: int = 4, most_cells: int = 1 << 29) -> tuple[int, dict[int, bytes]]:
+    """bits, and packed bits of each shard for the cells counted twice or more. n: about how many windows there are."""
     bits = max(12, min(most_cells.bit_length() - 1, (n * cells_per_window).bit_length()))
-    rows = text.select("text").mapInArrow(_counted(bits, width, salts), SKETCH)
-    shards = 1 << max(0, bits - SHARD_BITS)
-    parts = min(shards * salts, max(1, int(text.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    rows = rows.repartition(parts, "shard", "salt").sortWithinPartitions("shard", "salt").mapInArrow(_merged, SKETCH)
-    rows = rows.withColumn("salt", F.lit(0)).repartition(min(parts, shards), "shard").sortWithinPartitions("shard").mapInArrow(_merged, SKETCH)
+    rows = text.select("text").mapInArrow(_counted(bits, width), "shard int, once binary, twice binary")
+    merged = rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(_merged(min(SHARD_BITS, bits)), "shard int, twice binary")
+    return bits, {r.shard: bytes(r.twice) for r in merged.collect()}  # at most most_cells bits
+
+
+def bitmap_of(bits: int, marked: dict[int, bytes]) -> np.ndarray:
     size = 1 << (min(SHARD_BITS, bits) - 3)
-    out = bytearray(size * shards)
-    for r in rows.select("shard", "twice").collect():  # at most most_cells bits
-        out[r.shard * size : (r.shard + 1) * size] = zlib.decompress(r.twice)
-    return bits, bytes(out)
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for shard, packed in marked.items():
+        out[shard * size : (shard + 1) * size] = np.frombuffer(zlib.decompress(packed), np.uint8)
+    return out
+
+
+BUCKET = "bucket int, a array<long>, b array<int>, doc array<long>, of array<long>, at array<int>, length array<int>"
 
 
 def _suspected(bits: int, marked, width: int, buckets: int):
-    """Map: texts to windows that may be repeated. Known repeats come as runs (bucket -1), open ones as arrays for a bucket."""
-    names = ["bucket", "a", "b", "doc", "of", "at", "length"]
+    """Map: texts to windows that may be repeated, as arrays for a bucket. Known repeats come as runs with a length and without hashes."""
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+
+    def batch_of(which, sizes, *columns) -> pa.RecordBatch:
+        ends = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+        none = pa.array(np.zeros(len(which) + 1), pa.int32())
+        lists = [pa.ListArray.from_arrays(none if x is None else ends, pa.array([] if x is None else x, t)) for x, t in zip(columns, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), *lists], names=[x.split()[0] for x in BUCKET.split(", ")])
+
+    def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        a, b, doc, of, at = (np.concatenate(c) for c in zip(*rows, strict=True))
+        order, repeat = ordered(a, b, doc, of, at)
+        known = np.sort(order[repeat])  # back to the order of texts and places
+        if len(known):  # as runs of consecutive starts
+            d, o, p = doc[known], of[known], at[known]
+            i = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (o[1:] != o[:-1]) | (p[1:] != p[:-1] + 1)))
+            yield batch_of([int(p[0]) % buckets], [len(i)], None, None, d[i], o[i], p[i], np.diff(np.append(i, len(p))))
+        left = np.sort(order[~repeat])
+        bucket = (a[left] % np.uint64(buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        which, n = np.unique(bucket, return_counts=True)
+        left = left[by]
+        yield batch_of(which, n, a[left].view(np.int64), b[left].view(np.int32), doc[left], of[left], at[left], None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = kept_in_worker("words", WordHashes)
-        bitmap = np.frombuffer(marked.value, np.uint8)
-
-        def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            a, b, doc, of, at = (np.concatenate(c) for c in zip(*rows, strict=True))
-            order, repeat = ordered(a, b, doc, of, at)
-            d, o, p = (x[order][repeat] for x in (doc, of, at))
-            if len(d):  # as runs of consecutive starts
-                by = np.lexsort((p, o, d))
-                d, o, p = d[by], o[by], p[by]
-                new = np.ones(len(d), bool)
-                new[1:] = (d[1:] != d[:-1]) | (o[1:] != o[:-1]) | (p[1:] > p[:-1] + 1)
-                i = np.flatnonzero(new)
-                yield batch_of(np.full(1, -1), [np.array([len(i)])], None, None, d[i], o[i], p[i], p[np.append(i[1:], len(d)) - 1] - p[i] + 1)
-            order = order[~repeat]
-            a, b, doc, of, at = (x[order] for x in (a, b, doc, of, at))
-            bucket = (a % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            which, n = np.unique(bucket, return_counts=True)
-            yield batch_of(which, [n], a[order].view(np.int64), b[order].view(np.int64), doc[order], of[order], at[order], None)
-
-        def batch_of(which, sizes, a, b, doc, of, at, length) -> pa.RecordBatch:
-            ends = pa.array(np.concatenate([[0], np.cumsum(sizes[0])]), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x if x is not None else np.zeros(len(doc), np.int64), t)) for x, t in ((a, pa.int64()), (b, pa.int64()), (doc, pa.int64()), (of, pa.int64()), (at, pa.int32()), (length, pa.int32()))]
-            return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), *lists], names=names)
-
+        hashes, bitmap = kept_in_worker("words", WordHashes), bitmap_of(bits, marked.value)
         rows, n = [], 0
         for batch in batches:
             for doc, of, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -184,7 +193,7 @@ def _suspected(bits: int, marked, width: int, buckets: int):
                 hit = (bitmap[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & (bitmap[y >> 3] >> (7 - (y & 7)).astype(np.uint8)) & 1
                 at = np.flatnonzero(hit)
                 if len(at):
-                    rows.append((a[at], b[at], np.full(len(at), doc, np.int64), np.full(len(at), of, np.int64), at))
+                    rows.append((a[at], (b[at] >> np.uint64(32)).astype(np.uint32), np.full(len(at), doc, np.int64), np.full(len(at), of, np.int64), at.astype(np.int32)))
                     n += len(at)
                 if n >= FLUSH:
                     yield from flush(rows)
@@ -206,15 +215,22 @@ def ordered(a, b, doc, of, at) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _exact(t: pa.Table) -> pa.Table:
-    """One bucket: all places of its windows, grouped by the whole hash; gives those that aren't first."""
-    a, b, doc, of, at = (t.column(c).combine_chunks().flatten().to_numpy() for c in ("a", "b", "doc", "of", "at"))
+    """One bucket: all places of its windows, grouped by the whole hash; gives those that aren't first, and the known runs."""
+    flat = lambda rows, *names: [rows.column(c).combine_chunks().flatten().to_numpy() for c in names]
+    runs_ = pc.list_value_length(t.column("length"))
+    d, o, p, n = flat(t.filter(pc.greater(runs_, 0)), "doc", "of", "at", "length")
+    a, b, doc, of, at = flat(t.filter(pc.equal(runs_, 0)), "a", "b", "doc", "of", "at")
     order, repeat = ordered(a, b, doc, of, at)
-    doc, of, at = (x[order][repeat] for x in (doc, of, at))
+    order = order[repeat]
+    doc, of, at = np.append(doc[order], d), np.append(of[order], o), np.append(at[order], p)
+    length = np.append(np.ones(len(order), np.int64), n)
     order = np.lexsort((at, of, doc))
-    doc, of, at = doc[order], of[order], at[order]
+    doc, of, at, length = doc[order], of[order], at[order], length[order]
     i = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (of[1:] != of[:-1]))) if len(doc) else np.empty(0, np.int64)
     ends = pa.array(np.append(i, len(doc)), pa.int32())
-    return pa.table({"doc": pa.array(doc[i], pa.int64()), "of": pa.array(of[i], pa.int64()), "at": pa.ListArray.from_arrays(ends, pa.array(at, pa.int32())), "length": pa.nulls(len(i), pa.list_(pa.int32()))})
+    plain = np.maximum.reduceat(length, i) == 1 if len(i) else np.empty(0, bool)  # no lengths where all are 1
+    lengths = [None if x else length[s:e] for x, s, e in zip(plain.tolist(), i.tolist(), np.append(i[1:], len(doc)).tolist(), strict=False)]
+    return pa.table({"doc": pa.array(doc[i], pa.int64()), "of": pa.array(of[i], pa.int64()), "at": pa.ListArray.from_arrays(ends, pa.array(at, pa.int32())), "length": pa.array(lengths, pa.list_(pa.int32()))})
 
 
 def removed_words(n: int, at: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
@@ -226,7 +242,7 @@ def removed_words(n: int, at: np.ndarray, length: np.ndarray, width: int) -> np.
 
 
 def _pack():
-    z = zstandard.ZstdCompressor(level=1)
+    z = zstandard.ZstdCompressor(level=5)
     return lambda rows: [(doc, of, rest, z.compress((text or "").encode("utf-8", "surrogatepass"))) for doc, of, rest, text in rows]
 
 
@@ -252,22 +268,30 @@ def _cut(width: int, as_text: bool):
     return each
 
 
+def _apart(rows: DataFrame) -> DataFrame:
+    """Adds ``of``: 0, or a hash of the text where a doc_id stands on several texts; such ids are few, and mostly none."""
+    several = rows.groupBy("doc").agg((F.min(F.xxhash64("text")) != F.max(F.xxhash64("text"))).alias("several")).where("several and doc is not null")
+    several = materialize(several.select("doc"), "substring-ids")
+    if not (n := several.count()):
+        return rows.withColumn("of", F.lit(0).cast("long"))
+    marked = rows.join(F.broadcast(several.withColumn("several", F.lit(True))) if n <= 20_000 else several.withColumn("several", F.lit(True)), "doc", "left")
+    return marked.withColumn("of", F.when(F.col("several"), F.xxhash64("text")).otherwise(0).cast("long")).drop("several")
+
+
 def substring_dedup(docs: DataFrame, width: int = WIDTH, as_text: bool = False, bucket_windows: int = 1 << 21, **sketch_args) -> DataFrame:
     """A row per row: doc_id, n_words, n_removed, kept_sha256. With ``as_text`` the columns of ``docs``, the text cut (as it was, if nothing is removed)."""
     spark, rest = docs.sparkSession, [c for c in docs.columns if c != "text"] if as_text else ["doc_id"]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("of"), F.struct(*rest).alias("rest"), F.col("text").cast("string"))
     small_batches(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.struct(*rest).alias("rest"), F.col("text").cast("string"))
+    rows = _apart(rows)
     n = windows_about(rows)
     bits, marked = sketch(rows, n, width, **sketch_args)
-    schema = "bucket int, a array<long>, b array<long>, doc array<long>, of array<long>, at array<int>, length array<int>"
-    suspected = _suspected(bits, spark.sparkContext.broadcast(marked), width, max(16, n // bucket_windows))
-    found = materialize(rows.where("doc is not null").select("doc", "of", "text").mapInArrow(suspected, schema), "substring-windows")
-    known = found.where("bucket < 0").select(F.explode(F.arrays_zip("doc", "of", "at", "length")).alias("r"))
-    known = known.select(F.col("r.doc").alias("doc"), F.col("r.of").alias("of"), F.array("r.at").alias("at"), F.array("r.length").alias("length"))
-    exact = found.where("bucket >= 0").groupBy("bucket").applyInArrow(_exact, "doc long, of long, at array<int>, length array<int>")
-    repeats = known.union(exact).groupBy("doc", "of").agg(F.collect_list(F.struct("at", "length")).alias("runs"))
+    suspected = _suspected(bits, spark.sparkContext.broadcast(marked), width, max(32, n // bucket_windows))
+    found = rows.where("doc is not null").select("doc", "of", "text").mapInArrow(suspected, BUCKET)
+    exact = found.groupBy("bucket").applyInArrow(_exact, "doc long, of long, at array<int>, length array<int>")
+    repeats = exact.groupBy("doc", "of").agg(F.collect_list(F.struct("at", "length")).alias("runs"))
     kind = dict(rows.dtypes)["rest"]
-    packed = arrow_map(rows, f"doc long, of long, rest {kind}, packed binary", _pack)
+    packed = arrow_map(rows.select("doc", "of", "rest", "text"), f"doc long, of long, rest {kind}, packed binary", _pack)
     out = packed.join(repeats, ["doc", "of"], "left").select("rest", "packed", "runs")
     out = arrow_map(out, f"rest {kind}, n_words long, n_removed long, last string", _cut, width, as_text)
     if as_text:
