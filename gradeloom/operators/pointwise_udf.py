@@ -162,9 +162,12 @@ def tree_of(heads: list[int]) -> tuple[int, int]:
     return len(heads), max(depth, default=0)
 
 
-@F.pandas_udf("nodes int, depth int")
-def tree_stats(heads: pd.Series) -> pd.DataFrame:
-    """From arrays of parent positions, as a dependency parser gives them."""
+def tree_stats(heads: Column) -> Column:
+    """nodes and depth from arrays of parent positions, as a dependency parser gives them."""
+    return F.pandas_udf(_trees, "nodes int, depth int")(heads)
+
+
+def _trees(heads: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([tree_of([int(x) for x in h]) if h is not None else (0, 0) for h in heads], columns=["nodes", "depth"])
 
 
@@ -252,9 +255,12 @@ def extractive_of(source: str, summary: str) -> tuple[float, float, float]:
 _OVERLAP = "rouge1 double, rouge2 double, rougeL double, bleu double, chrf double, edit_distance long, edit_similarity double, coverage double, density double, compression double"
 
 
-@F.pandas_udf(_OVERLAP)
-def overlap(gold: pd.Series, pred: pd.Series) -> pd.DataFrame:
+def overlap(gold: Column, pred: Column) -> Column:
     """All n-gram and string-distance scores of a gold answer and a prediction."""
+    return F.pandas_udf(_overlaps, _OVERLAP)(gold, pred)
+
+
+def _overlaps(gold: pd.Series, pred: pd.Series) -> pd.DataFrame:
     rows = []
     for g, p in zip(gold, pred, strict=True):
         g, p = g or "", p or ""
@@ -297,6 +303,9 @@ def drop_of(gold: list[str], pred: list[str]) -> tuple[float, float]:
     return exact, round(best / max(n, m, 1), 2)
 
 
-@F.pandas_udf("em double, f1 double")
-def drop_scores(gold: pd.Series, pred: pd.Series) -> pd.DataFrame:
+def drop_scores(gold: Column, pred: Column) -> Column:
+    return F.pandas_udf(_drops, "em double, f1 double")(gold, pred)
+
+
+def _drops(gold: pd.Series, pred: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([drop_of(list(g), list(p)) for g, p in zip(gold, pred, strict=True)], columns=["em", "f1"])

@@ -115,7 +115,8 @@ def average_pair_jaccard(rows: DataFrame, id_col: str = "id", grams: str = "v")
 
 def minhash_pair_jaccard(rows: DataFrame, id_col: str = "id", grams: str = "v", num_perm: int = 128) -> DataFrame:
     """Estimate of the same from ``num_perm`` minimum hashes, computed by expressions; empty sets give 0."""
-    sign = F.array(*(F.array_min(F.transform(F.col(grams), lambda g, i=i: F.xxhash64(g, F.lit(i)))) for i in range(num_perm)))
+    low = lambda i: F.array_min(F.transform(F.col(grams), lambda g: F.xxhash64(g, F.lit(i))))
+    sign = F.array(*map(low, range(num_perm)))
     signed = rows.select(id_col, F.coalesce(F.when(F.size(grams) > 0, sign), F.array().cast("array<bigint>")).alias("v"))
 
     def compare(t: pa.Table, other: pa.Table | None) -> dict:

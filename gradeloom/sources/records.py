@@ -14,10 +14,10 @@ RECORD = "id string, instruction string, input string, output string"
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = RECORD, tolerant: bool = True, max_lines: int | None = None) -> DataFrame:
     """JSON lines with a fixed schema, so no pass to infer one. Malformed lines are left out, or kept with ``_corrupt_record`` set."""
-    df = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
+    parsed = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    df = spark.read.text(path).select(parsed.alias("r")).where("r is not null").select("r.*")
     if tolerant:
-        # Naming all columns keeps the parser from skipping fields, and so from missing malformed ones.
-        df = df.where(F.col("_corrupt_record").isNull() & F.coalesce(*(F.col(c).isNotNull() for c in df.columns), F.lit(True))).drop("_corrupt_record")
+        df = df.where("_corrupt_record is null").drop("_corrupt_record")
     return df.limit(max_lines) if max_lines is not None else df
 
 
