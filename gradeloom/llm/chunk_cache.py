@@ -8,6 +8,7 @@ after its space (or is empty) is remembered as odd, and texts that hold one are
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 
 REMEMBERED = 900_000
 
@@ -26,7 +27,9 @@ class ChunkCache(dict):
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian unsigned 32-bit integers."""
         if len(self) > self.most:
+            first = list(islice(self.items(), self.most // 3))  # frequent chunks come early
             self.clear()
+            self.update(first)
         if len(self.heads) > self.most // 8:
             self.heads = {}
         get, rows, self.new = self.__getitem__, [], []

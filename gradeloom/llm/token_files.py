@@ -88,7 +88,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 0
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     docs = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    options = {"compression": "zstd", "orc.stripe.size": stripe_mb << 20, "orc.create.index": "true", "orc.row.index.stride": 1000, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": 0.01}
+    options = {"compression": "snappy", "orc.stripe.size": stripe_mb << 20, "orc.create.index": "true", "orc.row.index.stride": 1000, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": 0.01}
     docs.mapInArrow(_encoded(data, end_id), FILE_SCHEMA).write.options(**options).orc(out)
 
 
