@@ -14,6 +14,7 @@ needs no shuffle, and its memory is that of a few texts.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 #: Lower-cases A-Z; every other ASCII sign that is no digit or letter separates words.
 _TABLE = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -39,6 +40,15 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
+def places(norm: bytes, run: bytes) -> Iterator[int]:
+    """Word numbers at which a run of words stands in a normalized text; each sign is counted once, however many places there are."""
+    k, done, at = -1, 0, norm.find(run)
+    while at >= 0:
+        k, done = k + norm.count(b" ", done, at + 1), at + 1
+        yield k
+        at = norm.find(run, at + 1)
+
+
 def _parse(markup: str) -> list:
     """Nested regions: bytes for a word, ("opt", [...]), ("var", most words)."""
     stack: list[list] = [[]]
@@ -138,12 +148,10 @@ class Template:
 
     def spans(self, norm: bytes, words: list[bytes]) -> list[tuple[int, int]]:
         """All places as (first word, end)."""
-        out, at = [], norm.find(self.anchor)
-        while at >= 0:
-            k = norm.count(b" ", 0, at + 1) - 1
+        out = []
+        for k in places(norm, self.anchor):
             if (after := self.after.longest(words, k + self.n)) is not None and (before := self.before.longest(words, k - 1, -1)) is not None:
                 out.append((k - before, k + self.n + after))
-            at = norm.find(self.anchor, at + 1)
         return out
 
 
@@ -161,17 +169,14 @@ def scanner(phrases: dict[str, str] = BASE_PHRASES, templates: dict[str, str] =
         norm = b" " + b" ".join(words) + b" "
         starts, found, labels, spans = [], set(), set(), []
         for phrase, label, n in base:
-            at = norm.find(phrase)
-            while at >= 0:
-                k = norm.count(b" ", 0, at + 1) - 1
+            for k in places(norm, phrase):
                 starts.append(k)
                 spans.append((k, k + n))
                 found.add(label)
-                at = norm.find(phrase, at + 1)
         for t in compiled:
-            if places := t.spans(norm, words):
+            if matched := t.spans(norm, words):
                 labels.add(t.label)
-                spans += places
+                spans += matched
         covered, end = 0, 0
         for a, b in sorted(spans):
             covered += max(0, b - max(a, end))

@@ -55,7 +55,8 @@ def sure_tokens(pattern: str) -> set[str]:
     if "|" in plain:
         return set()
     plain = re.sub(r"(?:\\.|.)(?:[*?]|\{[^}]*\})", "\x01", plain)
-    plain = re.sub(r"\\(.)", r"\1", plain).replace("^", "\x01").replace("$", "\x01").replace(".", ".").replace("+", "\x01")
+    plain = re.sub(r"(?<!\\)((?:\\\\)*)[.^$+]", "\\1\x01", plain)  # a bare dot may be a token sign
+    plain = re.sub(r"\\(.)", r"\1", plain)
     return {m[0] for m in _TOKEN.finditer(plain) if plain[m.start() - 1 : m.start()] in ("/", ".", "-", "_", "?", "&", "=", "%") and plain[m.end() : m.end() + 1] in ("/", "-", "_", "?", "&", "=", "%")}
 
 
