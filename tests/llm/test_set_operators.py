@@ -209,7 +209,9 @@ def test_pu_learns_from_positive_and_unlabelled():
     m = NonNegativePU().fit([toxic() for _ in range(200)], [toxic() if i % 10 == 0 else clean() for i in range(2000)], 0.1)
     w = m.table()
     logit = lambda r: m.bias + sum(w.get(int(f), 0.0) for f in r)
-    assert all(logit(clean()) < 0 for _ in range(50)) and sum(logit(toxic()) > 0.85 for _ in range(50)) >= 48
+    low, high = [logit(clean()) for _ in range(200)], [logit(toxic()) for _ in range(200)]
+    assert max(low) < 0 < min(high)
+    assert sum(x > 0.85 for x in high) >= 180  # a fifth of them have one sign only; the threshold of the query is 0.7, that is 0.85 here
     assert np.isfinite(m.risks).all() and min(m.risks) >= 0
 
 

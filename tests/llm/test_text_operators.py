@@ -51,12 +51,16 @@ _KEPT = {}
 
 
 def _bpe():
-    return _KEPT.setdefault("bpe", BytePairEncoder(load_ranks(RANKS), public_tokenizers.PATTERN))
+    if "bpe" not in _KEPT:
+        _KEPT["bpe"] = BytePairEncoder(load_ranks(RANKS), public_tokenizers.PATTERN)
+    return _KEPT["bpe"]
 
 
 def _known():
-    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in RANKS.splitlines())}
-    return _KEPT.get("known") or _KEPT.setdefault("known", tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}))
+    if "known" not in _KEPT:
+        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in RANKS.splitlines())}
+        _KEPT["known"] = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _KEPT["known"]
 
 
 def test_bpe_long_pieces_and_forgetting(bpe, known):
@@ -92,7 +96,6 @@ def test_token_files(spark, tmp_path):
     write_tokens(spark.createDataFrame([], SCHEMA), JSON, str(tmp_path / "e"))
     assert read_tokens(spark, str(tmp_path / "e")).count() == 0
     twice = frame(spark, [(1, "b", "", "", 0), (1, "a", "", "", 0), (None, "c", "", "", 0)])
-    assert [r[1] for r in collect(token_file_digests(twice, JSON))] == [0, 2, 4] or True
     assert sorted(r.start for r in token_file_digests(twice, JSON).collect()) == [0, 2, 4]
 
 
@@ -173,8 +176,10 @@ def test_line_rules_method():
     assert line_fails(b"All rights reserved.", 3) == "boilerplate"
     assert line_fails(b"w " * 40, 40) == "punctuation"
     assert line_fails(b"w " * 40 + b"end.", 41) is None
-    good = "This is a clean sentence with many plain words in it. " * 1
-    text = "\n".join(f"{good} number {i} stands alone here." for i in range(5))
+    good = "This is a clean sentence with many plain words in it."
+    repeated = "\n".join(f"{good} number {i} stands alone here." for i in range(5))
+    assert judge(repeated)["base_failed"] and not judge(repeated)["kept"]  # eight words of each line stand in all of them
+    text = "\n".join(" ".join(f"w{i}x{k}" for k in range(12)) + " stands here." for i in range(5))
     assert judge(text)["kept"] and judge(text)["cleaned"] == text
     assert not judge(text + "\nHome | A | B" * 30)["kept"]
     assert not judge(None)["kept"]
@@ -193,6 +198,7 @@ def test_url_index_misses_no_rule():
         url = f"http://{rng.choice(parts[:4])}.site.info/" + "/".join(rng.choices(parts, k=rng.randint(0, 3))) + rng.choice(["", "?", "#t"]) + "&".join(rng.choices(parts[10:], k=rng.randint(0, 2)))
         assert f.judge(url)[3] == brute_verdict(url), url
     assert sure_tokens(r"/cart(?:[/?#]|$)") <= {"cart"}
+    assert sure_tokens(r"a.cart/") == set() and sure_tokens(r"a\.cart/") == {"cart"}  # a bare dot may be a letter
 
 
 def test_url_rules(spark):
