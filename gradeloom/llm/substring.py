@@ -10,7 +10,9 @@ map task sends the cells it has seen once and twice, shard by shard, as coded ga
 Pass 2 reads the texts again and keeps the windows whose cells say twice or more in both rows; a count-min
 sketch never underestimates, so no repeated window is lost. Among these a task only sends the first place of each window it has seen;
 later ones are known to be repeats, so a passage that stands in a third of all texts sends at most a row per task. The rest
-are grouped by a 96-bit hash, all of them, and those that don't hold the first place are repeats. The two steps are one shuffle.
+are grouped by a 96-bit hash, all of them, and those that don't hold the first place are repeats. The two steps are one shuffle, dealt
+to buckets by the least hash of the five-word runs in a window: equal windows meet, and neighbours mostly go together, so that
+a text's repeats come back as a few rows however many buckets there are.
 
 Pass 3 joins each text with its repeated windows by doc_id and cuts the covered words. Texts travel compressed.
 
@@ -36,7 +38,7 @@ from .shingles import WordHashes, joined, runs
 
 WIDTH = 20
 SHARD_BITS = 20
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 COUNTED_AT_ONCE = 1 << 22
 
 
@@ -46,6 +48,16 @@ def windows_of(words: list[bytes], hashes: WordHashes, width: int) -> tuple[np.n
     return runs(a, width), runs(b, width)
 
 
+def anchors(words: list[bytes], hashes: WordHashes, width: int, size: int = 5) -> np.ndarray:
+    """For each window the least hash of the runs of ``size`` words in it. Equal windows have equal anchors, and neighbours mostly share one."""
+    size = min(size, width)
+    low, have, span = runs(hashes.of(words)[0], size), 1, width - size + 1
+    while 2 * have <= span:
+        low, have = np.minimum(low[:-have], low[have:]), 2 * have
+    rest = span - have
+    return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Unchanged words, parted at \\x20 and \\x09-\\x0D."""
     return (text or "").encode("utf-8", "surrogatepass").split()
@@ -167,7 +179,7 @@ def _suspected(bits: int, marked, width: int, buckets: int):
         return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), *lists], names=[x.split()[0] for x in BUCKET.split(", ")])
 
     def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        a, b, doc, of, at = (np.concatenate(c) for c in zip(*rows, strict=True))
+        a, b, doc, of, at, bucket = (np.concatenate(c) for c in zip(*rows, strict=True))
         order, repeat = ordered(a, b, doc, of, at)
         known = np.sort(order[repeat])  # back to the order of texts and places
         if len(known):  # as runs of consecutive starts
@@ -175,7 +187,7 @@ def _suspected(bits: int, marked, width: int, buckets: int):
             i = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (o[1:] != o[:-1]) | (p[1:] != p[:-1] + 1)))
             yield batch_of([int(p[0]) % buckets], [len(i)], None, None, d[i], o[i], p[i], np.diff(np.append(i, len(p))))
         left = np.sort(order[~repeat])
-        bucket = (a[left] % np.uint64(buckets)).astype(np.int64)
+        bucket = bucket[left]
         by = np.argsort(bucket, kind="stable")
         which, n = np.unique(bucket, return_counts=True)
         left = left[by]
@@ -186,14 +198,15 @@ def _suspected(bits: int, marked, width: int, buckets: int):
         rows, n = [], 0
         for batch in batches:
             for doc, of, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a, b = windows_of(words_of(text), hashes, width)
+                words = words_of(text)
+                a, b = windows_of(words, hashes, width)
                 if not len(a):
                     continue
                 x, y = (c.astype(np.int64) for c in cells_of(a, b, bits))
                 hit = (bitmap[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & (bitmap[y >> 3] >> (7 - (y & 7)).astype(np.uint8)) & 1
                 at = np.flatnonzero(hit)
                 if len(at):
-                    rows.append((a[at], (b[at] >> np.uint64(32)).astype(np.uint32), np.full(len(at), doc, np.int64), np.full(len(at), of, np.int64), at.astype(np.int32)))
+                    rows.append((a[at], (b[at] >> np.uint64(32)).astype(np.uint32), np.full(len(at), doc, np.int64), np.full(len(at), of, np.int64), at.astype(np.int32), (anchors(words, hashes, width)[at] % np.uint64(buckets)).astype(np.int32)))
                     n += len(at)
                 if n >= FLUSH:
                     yield from flush(rows)
@@ -278,7 +291,7 @@ def _apart(rows: DataFrame) -> DataFrame:
     return marked.withColumn("of", F.when(F.col("several"), F.xxhash64("text")).otherwise(0).cast("long")).drop("several")
 
 
-def substring_dedup(docs: DataFrame, width: int = WIDTH, as_text: bool = False, bucket_windows: int = 1 << 21, **sketch_args) -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = WIDTH, as_text: bool = False, bucket_windows: int = 1 << 20, **sketch_args) -> DataFrame:
     """A row per row: doc_id, n_words, n_removed, kept_sha256. With ``as_text`` the columns of ``docs``, the text cut (as it was, if nothing is removed)."""
     spark, rest = docs.sparkSession, [c for c in docs.columns if c != "text"] if as_text else ["doc_id"]
     small_batches(spark)

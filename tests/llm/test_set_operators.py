@@ -149,6 +149,16 @@ def test_runs_are_hashes_of_words():
     assert joined(w[:1], w[1:2]) != joined(w[1:2], w[:1])
 
 
+def test_anchors_are_least_runs():
+    h = WordHashes()
+    words = [f"w{i % 11}".encode() for i in range(50)]
+    for width in (3, 5, 6, 13, 20):
+        size = min(5, width)
+        r = runs(h.of(words)[0], size)
+        want = [min(r[i : i + width - size + 1]) for i in range(50 - width + 1)]
+        assert substring.anchors(words, h, width).tolist() == want
+
+
 def brute_near(rows, percent=85):
     sets = {}
     for doc_id, text, *_ in rows:
