@@ -144,7 +144,7 @@ def matthews(spark, sf_dir):
 
 @query("""with d as (select -length(text) / 100.0::double lp, strlen(text) w from documents) select round(exp(-avg(lp)), 4) perplexity, round(exp(-sum(lp) / sum(w)), 6) weighted_perplexity, round(-sum(lp) / sum(w) / ln(2), 6) bits_per_byte from d where -lp < 30""")
 def perplexity(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select((-F.length("text") / F.lit(100.0)).alias("lp"), F.octet_length("text").alias("w")).where("-lp < 30")
+    d = table(spark, sf_dir, "documents").select((-F.length("text") / F.lit(100.0)).alias("lp"), F.octet_length("text").alias("w"))
     return A.corpus_perplexity(d, "lp", "w").select(rounded(F.col("perplexity"), 4).alias("perplexity"), rounded(F.col("weighted_perplexity")).alias("weighted_perplexity"), rounded(F.col("bits_per_byte")).alias("bits_per_byte"))
 
 
