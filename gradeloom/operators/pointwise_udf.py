@@ -7,7 +7,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -271,9 +271,75 @@ def _overlaps(gold: pd.Series, pred: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[x.split()[0] for x in _OVERLAP.split(", ")])
 
 
+def best_assignment(table: np.ndarray) -> float:
+    """The greatest sum of a one-to-one choice of cells: the Hungarian algorithm, exact at any size."""
+    if table.shape[0] > table.shape[1]:
+        table = table.T
+    n, m = table.shape
+    u, v, row_of, back = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)
+    for i in range(1, n + 1):
+        row_of[0], j = i, 0
+        least, used = np.full(m + 1, np.inf), np.zeros(m + 1, bool)
+        while row_of[j]:
+            used[j] = True
+            r = row_of[j]
+            d = -table[r - 1] - u[r] - v[1:]
+            nearer = ~used[1:] & (d < least[1:])
+            least[1:][nearer], back[1:][nearer] = d[nearer], j
+            k = int(np.where(used, np.inf, least).argmin())
+            step = least[k]
+            u[row_of[used]] += step
+            v[used] -= step
+            least[~used] -= step
+            j = k
+        while j:
+            row_of[j] = row_of[back[j]]
+            j = back[j]
+    taken = np.flatnonzero(row_of[1:])
+    return float(table[row_of[1:][taken] - 1, taken].sum())
+
+
+def best_alignment(gold: list[frozenset], pred: list[frozenset], f: Callable[[frozenset, frozenset], float]) -> float:
+    """The greatest sum of ``f`` over one-to-one pairs. Only bags that share a word, or are both empty, can add; each group of bags that such pairs link is solved by itself."""
+    many_g, many_p = Counter(gold), Counter(pred)
+    where: dict[str | None, list[frozenset]] = {}
+    for b in many_p:
+        for w in b or (None,):
+            where.setdefault(w, []).append(b)
+    of_g = {a: {b: x for b in {b for w in a or (None,) for b in where.get(w, ())} if (x := f(a, b)) > 0} for a in many_g}
+    of_p: dict[frozenset, list[frozenset]] = {}
+    for a, row in of_g.items():
+        for b in row:
+            of_p.setdefault(b, []).append(a)
+    total, seen = 0.0, set()
+    for start in many_g:
+        if start in seen or not of_g[start]:
+            continue
+        seen.add(start)
+        left, right, open_ = [start], {}, [start]
+        while open_:
+            for b in of_g[open_.pop()]:
+                if b not in right:
+                    right[b] = len(right)
+                    new = [a for a in of_p[b] if a not in seen]
+                    seen.update(new)
+                    left += new
+                    open_ += new
+        table = np.zeros((len(left), len(right)))
+        for i, a in enumerate(left):
+            for b, x in of_g[a].items():
+                table[i, right[b]] = x
+        rows, cols = np.array([many_g[a] for a in left]), np.array([many_p[b] for b in right])
+        if min(table.shape) == 1:  # equal rows or columns: the greatest cells of one of them
+            values, often, most = (table[0], cols, rows[0]) if len(left) == 1 else (table[:, 0], rows, cols[0])
+            total += float(np.sort(np.repeat(values, often))[::-1][:most].sum())
+        else:
+            total += best_assignment(np.repeat(np.repeat(table, np.minimum(rows, cols.sum()), 0), np.minimum(cols, rows.sum()), 1))
+    return total
+
+
 def drop_of(gold: list[str], pred: list[str]) -> tuple[float, float]:
     """Exact match and best one-to-one F1 of answer bags; bags with other numbers never match."""
-    from itertools import permutations
 
     def bag(x: str) -> frozenset:
         x = re.sub(r"\b(a|an|the)\b", " ", x.lower().translate(PUNCTUATION))
@@ -286,21 +352,10 @@ def drop_of(gold: list[str], pred: list[str]) -> tuple[float, float]:
         if number(a) and not number(a) & number(b):
             return 0.0
         both = len(a & b)
-        return 2 * both / (len(a) + len(b)) if both else 0.0
+        return 2 * both / (len(a) + len(b)) if both else float(not a and not b)
 
     exact = float(sorted(map(sorted, g)) == sorted(map(sorted, p)))
-    table = [[f(a, b) for b in p] for a in g]
-    n, m = len(g), len(p)
-    if max(n, m) <= 6:
-        short, turned = (n, table) if n <= m else (m, [list(r) for r in zip(*table, strict=True)])
-        best = max((sum(turned[i][k] for i, k in enumerate(c)) for c in permutations(range(max(n, m)), short)), default=0.0)
-    else:
-        best, left = 0.0, sorted(((v, i, k) for i, r in enumerate(table) for k, v in enumerate(r)), reverse=True)
-        seen_i, seen_k = set(), set()
-        for v, i, k in left:
-            if i not in seen_i and k not in seen_k:
-                best, _, _ = best + v, seen_i.add(i), seen_k.add(k)
-    return exact, round(best / max(n, m, 1), 2)
+    return exact, round(best_alignment(g, p, f) / max(len(g), len(p), 1), 2)
 
 
 def drop_scores(gold: Column, pred: Column) -> Column:

@@ -1,10 +1,12 @@
 """Queries over whole tables and texts, against brute force."""
 
 import math
+from itertools import permutations
 
 import numpy as np
 import pytest
 
+from gradeloom.operators import pointwise_udf as U
 from gradeloom.queries.registry import QUERIES
 
 WORDS = ["one", "two", "three", "four", "five", "six", "seven", "eight"]
@@ -24,3 +26,30 @@ def test_perplexity_has_long_documents(spark, folder):
     assert r.perplexity == pytest.approx(math.exp(-lp.mean()), abs=1e-4)
     assert r.weighted_perplexity == pytest.approx(math.exp(-lp.sum() / w), abs=1e-6)
     assert r.bits_per_byte == pytest.approx(-lp.sum() / w / math.log(2), abs=1e-6)
+
+
+def test_drop_aligns_best_above_six_answers(spark):
+    rng = np.random.default_rng(0)
+    for shape in [(7, 7), (7, 8), (8, 7), (2, 7), (1, 1)]:
+        for _ in range(10):
+            t = np.round(rng.random(shape) * (rng.random(shape) < 0.6), 2)
+            u = t if shape[0] <= shape[1] else t.T
+            want = max(sum(u[i, k] for i, k in enumerate(c)) for c in permutations(range(u.shape[1]), u.shape[0]))
+            assert U.best_assignment(t) == pytest.approx(want)
+    # Greedy pairs "p q r" with "p q r s" (6 / 7) first, which leaves nothing to "r s t u".
+    gold = ["p q r", "r s t u", *WORDS[:5]]
+    pred = ["p q r s", "p q", *WORDS[:5]]
+    assert U.drop_of(gold, pred)[1] == pytest.approx(round((0.8 + 2 * 2 / 8 + 5) / 7, 2))
+    for _ in range(20):
+        g, p = ([" ".join(rng.choice(list("pqrstuv"), rng.integers(1, 4))) for _ in range(7)] for _ in range(2))
+        sets = [[frozenset(x.split()) for x in y] for y in (g, p)]
+        table = [[2 * len(a & b) / (len(a) + len(b)) for b in sets[1]] for a in sets[0]]
+        want = max(sum(table[i][k] for i, k in enumerate(c)) for c in permutations(range(7)))
+        assert U.drop_of(g, p)[1] == pytest.approx(want / 7, abs=0.0051)
+
+
+def test_drop_query_has_whole_texts(spark, tmp_path):
+    said = [(1, 0, "user", "q q q same words here at once"), (1, 1, "assistant", "z z z same words here at once")]
+    spark.createDataFrame(said, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    r = QUERIES["drop_metrics"](spark, str(tmp_path)).first()
+    assert (r.em, r.f1) == (0.0, round(5 / 8, 2))
