@@ -113,22 +113,37 @@ def average_pair_jaccard(rows: DataFrame, id_col: str = "id", grams: str = "v")
     return c.select(F.when(F.col("n") > 1, F.col("s") / pairs).when(F.col("n") == 0, 0.0).alias("score"), F.col("n").alias("num_samples"), pairs.cast("long").alias("num_pairs"))
 
 
-def minhash_pair_jaccard(rows: DataFrame, id_col: str = "id", grams: str = "v", num_perm: int = 128) -> DataFrame:
-    """Estimate of the same from ``num_perm`` minimum hashes, computed by expressions; empty sets give 0."""
-    low = lambda i: F.array_min(F.transform(F.col(grams), lambda g: F.xxhash64(g, F.lit(i))))
-    sign = F.array(*map(low, range(num_perm)))
-    signed = rows.select(id_col, F.coalesce(F.when(F.size(grams) > 0, sign), F.array().cast("array<bigint>")).alias("v"))
+def _minima(hashes: list[np.ndarray], num_perm: int) -> np.ndarray:
+    """Least xxhash64(gram, i) of each set for i below ``num_perm``, from the sets' xxhash64(gram): Spark's steps for an int with the first hash as seed. No set is empty."""
+    p1, p2, p3, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    u = np.uint64
+    out = np.empty((len(hashes), num_perm), np.int64)
+    starts = np.cumsum([0, *map(len, hashes)])[:-1]
+    seeds = np.concatenate(hashes).view(np.uint64) + p5 + u(4)
+    for i in range(num_perm):
+        h = seeds ^ np.array([i], np.uint64) * p1
+        h = (h << u(23) | h >> u(41)) * p2 + p3
+        h = (h ^ h >> u(33)) * p2
+        h = (h ^ h >> u(29)) * p3
+        out[:, i] = np.minimum.reduceat((h ^ h >> u(32)).view(np.int64), starts)
+    return out
 
-    def compare(t: pa.Table, other: pa.Table | None) -> dict:
-        a = [np.array(x, np.int64) for x in t.column("v").to_pylist()]
-        b = a if other is None else [np.array(x, np.int64) for x in other.column("v").to_pylist()]
-        full_a, full_b = np.array([x for x in a if len(x)]).reshape(-1, num_perm), np.array([x for x in b if len(x)]).reshape(-1, num_perm)
-        s = sum(float((full_b == x).mean(1).sum()) for x in full_a)
-        return {"s": s if other is not None else (s - len(full_a)) / 2, "n": len(a) if other is None else 0}
 
-    c = pair_cells(signed, id_col, "v", compare, "s double, n long").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+def minhash_pair_jaccard(rows: DataFrame, id_col: str = "id", grams: str = "v", num_perm: int = 128) -> DataFrame:
+    """Estimate of the same from ``num_perm`` minimum hashes; empty sets give 0. c rows of one minimum agree in c (c - 1) / 2 pairs, so that counting minima stands for all pairs."""
+
+    def sign(batches):
+        for b in batches:
+            sets = [x for x in b.column(0).to_pylist() if x]
+            for at in range(0, len(sets), 64):
+                low = _minima([np.array(x, np.int64) for x in sets[at : at + 64]], num_perm)
+                yield pa.RecordBatch.from_arrays([pa.array(list(low), pa.list_(pa.int64()))], names=["low"])
+
+    signed = rows.select(F.transform(grams, lambda g: F.xxhash64(g)).alias("v")).mapInArrow(sign, "low array<bigint>")
+    c = signed.select(F.posexplode("low").alias("i", "x")).groupBy("i", "x").count().agg(F.coalesce(F.sum(F.col("count") * (F.col("count") - 1) / 2), F.lit(0.0)).alias("s"))
+    c = rows.agg(F.count("*").alias("n")).join(F.broadcast(c))
     pairs = F.col("n") * (F.col("n") - 1) / 2
-    return c.select(F.when(F.col("n") > 1, F.col("s") / pairs).alias("score"), F.col("n").alias("num_samples"), pairs.cast("long").alias("num_pairs"))
+    return c.select(F.when(F.col("n") > 1, F.col("s") / num_perm / pairs).alias("score"), F.col("n").alias("num_samples"), pairs.cast("long").alias("num_pairs"))
 
 
 def gram_matrix(rows: DataFrame, vector: str = "v", unit: bool = True) -> tuple[np.ndarray, int]:

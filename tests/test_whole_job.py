@@ -1,12 +1,15 @@
 """Queries over whole tables and texts, against brute force."""
 
 import math
+import re
 from itertools import permutations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gradeloom.operators import pointwise_udf as U
+from gradeloom.operators import setwise as S
 from gradeloom.queries.registry import QUERIES
 
 WORDS = ["one", "two", "three", "four", "five", "six", "seven", "eight"]
@@ -28,6 +31,28 @@ def test_perplexity_has_long_documents(spark, folder):
     assert r.bits_per_byte == pytest.approx(-lp.sum() / w / math.log(2), abs=1e-6)
 
 
+def test_pair_jaccard_has_long_documents(spark, folder):
+    sets = [set(re.findall(r"\w+", t)) for t in TEXTS]
+    n = len(sets)
+    want = np.mean([len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[i + 1 :]])
+    exact, about = QUERIES["apjs_direct"](spark, folder).first(), QUERIES["apjs_minhash"](spark, folder).first()
+    assert exact.score == pytest.approx(want, abs=1e-6)
+    assert about.score == pytest.approx(want, abs=0.05)
+    assert exact[1:] == about[1:] == (n, n * (n - 1) // 2)
+
+
+def test_counted_minima_equal_all_pairs(spark):
+    rows = [(i, [f"w{j}" for j in range(i % 5, i + 20)]) for i in range(12)] + [(98, None), (99, [])]
+    df = spark.createDataFrame(rows, "id long, v array<string>")
+    low = lambda i: F.array_min(F.transform("v", lambda g: F.xxhash64(g, F.lit(i))))
+    sign = F.array(*map(low, range(16)))
+    a = np.array([r[0] for r in df.limit(12).select(sign).collect()])
+    want = sum((a[i] == a[k]).mean() for i in range(12) for k in range(i)) / 91
+    got = S.minhash_pair_jaccard(df, num_perm=16).first()
+    assert got.score == pytest.approx(want)
+    assert (got.num_samples, got.num_pairs) == (14, 91)
+
+
 def test_drop_aligns_best_above_six_answers(spark):
     rng = np.random.default_rng(0)
     for shape in [(7, 7), (7, 8), (8, 7), (2, 7), (1, 1)]:
