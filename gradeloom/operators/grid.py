@@ -7,6 +7,8 @@ row, whole-set results as one row.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -58,6 +60,20 @@ def block(id_col: str, n: int) -> Column:
     return F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
 
 
+def shared_table(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """The table, written to the folder in ``spark.checkpoint.dir``, and its path there. The files go when the driver's JVM ends."""
+    spark = df.sparkSession
+    if not (found := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = f"file://{tempfile.gettempdir()}/gradeloom-shared"
+    path = f"{found.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def pair_cells(df: DataFrame, id_col: str, value: str, compare: Callable[[pa.Table, pa.Table | None], dict], schema: str) -> DataFrame:
     """``compare(rows, None)`` on every block and ``compare(rows, others)`` on every two; each gives one row."""
     n = blocks_of(df.count())

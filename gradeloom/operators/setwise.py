@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let
 from ..functions.vector import DISTANCES, centered, doubles, named, norm
-from .grid import matrix, nearest, pair_cells, similarities
+from .grid import blocks_of, matrix, nearest, pair_cells, shared_table, similarities
 
 
 def partition_entropy(df: DataFrame, cluster: str = "cluster_id", num_clusters: int | None = None) -> DataFrame:
@@ -195,29 +195,48 @@ def log_determinant(rows: DataFrame, vector: str = "v", ridge: float = 1e-6) ->
     return spark.createDataFrame([(value, int(sign), bool(sign > 0), float(values.max()), int((values > 1e-12).sum()), int(n))], "log_det double, sign int, is_valid boolean, largest_eigenvalue double, rank int, num_samples long")
 
 
-def novelty_sum(rows: DataFrame, k: int = 5, density_power: float = 0.5, distance_power: float = 1.0, most_rows: int = 20000) -> DataFrame:
-    """Mean over rows of the density- and rank-weighted mean cosine distance to all rows. Ranks need each row's distances to all rows: blocks of rows against the whole set, for at most ``most_rows`` rows."""
-    n = rows.count()
-    if n > most_rows:
-        raise ValueError(f"{n} rows; novelty_sum ranks all pairs, for at most {most_rows} rows")
+def _slices(path: str):
+    """The parts of a table in the shared folder, one after the other: unit vectors and densities."""
+    from pyarrow import fs, parquet
+
+    store, at = fs.FileSystem.from_uri(path)
+    for f in sorted(x.path for x in store.get_file_info(fs.FileSelector(at, recursive=True)) if x.path.endswith(".parquet")):
+        with store.open_input_file(f) as opened:
+            for b in parquet.ParquetFile(opened).iter_batches(4096):
+                if b.num_rows:
+                    yield _unit(matrix(pa.Table.from_batches([b]))), b.column("density").to_numpy()
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-10)
+
+
+def novelty_sum(rows: DataFrame, k: int = 5, density_power: float = 0.5, distance_power: float = 1.0) -> DataFrame:
+    """Mean over rows of the density- and rank-weighted mean cosine distance to all rows. Exact at any number n of rows: a task goes over slices of the table in the shared folder and holds n weighted distances for each of a few rows, 64 MB or one row's."""
     distinct = rows.groupBy(doubles(F.col("v")).alias("v")).agg(F.min("id").alias("id"))
     near = nearest(rows.select("id", "v"), distinct.select("id", "v"), k + 1, "squared_euclidean", exclude_self=False)
     density = near.where(F.col("rank") > 1).groupBy(F.col("query_id").alias("id")).agg(F.pow(1 / (F.avg("distance") + 1e-9), F.lit(density_power)).alias("density"))
-    full = rows.join(density, "id").select("id", "v", "density").orderBy("id").toArrow()  # bounded by most_rows
-    held = rows.sparkSession.sparkContext.broadcast((matrix(full), np.array(full.column("density").to_pylist())))
+    held, path = shared_table(rows.join(density, "id").select(doubles(F.col("v")).alias("v"), "density"), "novelty-sum")
+    n = held.count()
+    at_once = max(1, (8 << 20) // max(n, 1))
 
     def part(batches):
-        m, w = held.value
-        unit = m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-10)
-        weights = 1 / np.arange(1, len(m) + 1) ** distance_power
+        weights = 1 / np.arange(1, n + 1) ** distance_power
         for b in batches:
-            x = matrix(pa.Table.from_batches([b]), "v") if b.num_rows else np.zeros((0, m.shape[1]))
-            x = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-10)
-            d = 1 - x @ unit.T
-            s = np.sort(d * w[None, :], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array((s @ weights) / weights.sum()), pa.array(d.mean(1))], names=["score", "cosine"])
-
-    out = rows.select(doubles(F.col("v")).alias("v")).mapInArrow(part, "score double, cosine double")
+            for start in range(0, b.num_rows, at_once):
+                x = _unit(matrix(pa.Table.from_batches([b.slice(start, at_once)])))
+                weighted, total, at = np.empty((len(x), n)), np.zeros(len(x)), 0
+                for unit, w in _slices(path):
+                    d = 1 - x @ unit.T
+                    total += d.sum(1)
+                    weighted[:, at : at + len(w)] = d * w
+                    at += len(w)
+                if at != n:
+                    raise RuntimeError(f"{at} of {n} rows in {path}")
+                weighted.sort(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array((weighted @ weights) / weights.sum()), pa.array(total / n)], names=["score", "cosine"])
+
+    out = held.select("v").repartition(max(12, blocks_of(n))).mapInArrow(part, "score double, cosine double")
     return out.agg(F.avg("score").alias("novel_sum"), F.avg("cosine").alias("cos_distance"))
 
 

@@ -78,3 +78,19 @@ def test_drop_query_has_whole_texts(spark, tmp_path):
     spark.createDataFrame(said, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     r = QUERIES["drop_metrics"](spark, str(tmp_path)).first()
     assert (r.em, r.f1) == (0.0, round(5 / 8, 2))
+
+
+def test_novelty_sum_has_no_row_cap(spark, monkeypatch):
+    n, k = 20100, 5
+    x = np.random.default_rng(1).normal(size=(n, 2))
+    monkeypatch.setattr(S, "nearest", lambda rows, *a, **b: rows.select(F.col("id").alias("query_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("rank"), (F.col("id") % 7 + 1).cast("double").alias("distance")))
+    got = S.novelty_sum(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>"), k).first()
+    density = (1 / (np.arange(n) % 7 + 1 + 1e-9)) ** 0.5
+    u = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-10)
+    w, scores, means = 1 / np.arange(1, n + 1), [], []
+    for i in range(0, n, 100):
+        d = 1 - u[i : i + 100] @ u.T
+        means.append(d.mean())
+        scores.append((np.sort(d * density, axis=1) @ w / w.sum()).mean())
+    assert got.novel_sum == pytest.approx(np.mean(scores), rel=1e-9)
+    assert got.cos_distance == pytest.approx(np.mean(means), rel=1e-9)
