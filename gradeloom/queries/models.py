@@ -155,7 +155,7 @@ def mean_stderr(spark, sf_dir):
 
 @query()
 def bootstrap_stderr(spark, sf_dir):
-    return A.bootstrap_stderr(table(spark, sf_dir, "labels"), "quality", "doc_id", 200)
+    return A.bootstrap_stderr(table(spark, sf_dir, "labels"), "quality", "doc_id", 1000)
 
 
 @query()

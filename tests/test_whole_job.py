@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gradeloom.functions import answers as A
 from gradeloom.operators import pointwise_udf as U
 from gradeloom.operators import setwise as S
 from gradeloom.queries.registry import QUERIES
@@ -94,3 +95,11 @@ def test_novelty_sum_has_no_row_cap(spark, monkeypatch):
         scores.append((np.sort(d * density, axis=1) @ w / w.sum()).mean())
     assert got.novel_sum == pytest.approx(np.mean(scores), rel=1e-9)
     assert got.cos_distance == pytest.approx(np.mean(means), rel=1e-9)
+
+
+def test_bootstrap_query_has_1000_resamples(spark, tmp_path):
+    labels = spark.createDataFrame([(i, i % 3) for i in range(30)], "doc_id long, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got, few = QUERIES["bootstrap_stderr"](spark, str(tmp_path)).first().stderr, A.bootstrap_stderr(labels, "quality", "doc_id", 200).first().stderr
+    assert got == pytest.approx(A.bootstrap_stderr(labels, "quality", "doc_id").first().stderr)
+    assert got != pytest.approx(few)
