@@ -5,12 +5,11 @@ carry its number and their place in it, so file k holds what precedes file k + 1
 whole corpus need only the token total of each file. Stripes are small enough that one file is read by many tasks; a filter
 on doc_id prunes files, stripes and row groups by their statistics and Bloom filters.
 
-Encoding calls the tokenizers library; ``chunk_cache`` remembers the ids of repeated words in each worker, in a bounded dict.
+Encoding calls the tokenizers library; ``batch_tokenizer`` encodes each distinct word of some megabytes of texts once.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,72 +21,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .chunk_cache import ChunkCache
+from .batch_tokenizer import BatchTokenizer
 from .common import SLICE, kept_in_worker, materialize, shared_dir, small_batches
 
 FILE_SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 BROADCAST_ROWS = 100_000
-
-
-class ChunkTokenizer:
-    """``encode_texts`` gives little-endian 32-bit ids of whole texts, without special tokens; special tokens' strings are ordinary text."""
-
-    def __init__(self, data: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(data.decode())
-        self.tokenizer.encode_special_tokens = True
-        self.lengths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.lengths[i] = len(token)  # a sign for each byte
-        self.chunks = ChunkCache(self._learn, lambda texts: [*map(self.whole, texts)])
-        self.encode_texts = self.chunks.encode_texts
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, chunks: list[str]) -> list[bytes]:
-        """One call for many chunks; their ids part where the bytes of the tokens add up to those of the chunks."""
-        out: list[bytes] = []
-        for k in range(0, len(chunks), 5000):
-            texts = [" " + c for c in chunks[k : k + 5000]]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, "<u4")
-            done = np.cumsum(self.lengths[ids])
-            sizes = np.cumsum([len(t.encode("utf-8", "surrogatepass")) for t in texts])
-            ends = np.searchsorted(done, sizes, "right")
-            if not (done[ends - 1] == sizes).all():
-                raise ValueError("the tokenizer does not part texts before spaces")
-            data, ends = ids.tobytes(), (4 * ends).tolist()
-            out += map(data.__getitem__, map(slice, [0, *ends[:-1]], ends))
-        return out
+#: Bytes of texts that a task encodes together; bounds its memory besides the longest text.
+ENCODED_AT_ONCE = 16 << 20
 
 
 def _encoded(data, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = kept_in_worker(("tokenizer", zlib.crc32(data.value)), lambda: ChunkTokenizer(data.value))
-        part, at, end = TaskContext.get().partitionId(), 0, int(end_id).to_bytes(4, "little")
+        t = kept_in_worker(("tokenizer", zlib.crc32(data.value)), lambda: BatchTokenizer(data.value))
+        part, at, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal at, held, size
+            docs, held, size = pa.Table.from_batches(held).combine_chunks(), [], 0
+            lists = t.encode(docs.column(1).combine_chunks(), end_id)
+            n = lists.value_lengths().to_numpy().astype(np.int64)
+            ends = at + np.cumsum(n)
+            columns = [docs.column(0).combine_chunks(), pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n), pa.array(n), lists]
+            whole = pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "at", "n_tokens", "ids"])
+            yield from (whole.slice(k, SLICE) for k in range(0, len(n), SLICE))
+            at = int(ends[-1])
+
         for batch in batches:
-            for k in range(0, batch.num_rows, SLICE):
-                docs = batch.slice(k, SLICE)
-                found = t.encode_texts([x or "" for x in docs.column(1).to_pylist()])
-                n = np.array([len(x) // 4 + 1 for x in found], np.int64)
-                ids = np.frombuffer(b"".join(y for x in found for y in (x, end)), "<i4")
-                ends = np.cumsum(n)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([docs.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(at + ends - n), pa.array(n), lists], names=["doc_id", "part", "at", "n_tokens", "ids"])
-                at += int(ends[-1])
+            held.append(batch)
+            size += batch.nbytes
+            if size >= ENCODED_AT_ONCE:
+                yield from flush()
+        if sum(b.num_rows for b in held):
+            yield from flush()
 
     return run
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 0, stripe_mb: int = 16) -> None:
-    """Every text of ``docs`` (doc_id, text), each closed by ``end_id``. Rows that repeat an id are ordered by their texts."""
+    """Every text of ``docs`` (doc_id, text), each closed by ``end_id``. Rows that repeat an id are ordered by a hash of their texts."""
     with open(tokenizer_path, "rb") as f:
         data = docs.sparkSession.sparkContext.broadcast(f.read())
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    docs = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # An id that stands on many rows, or none, is spread by the text, and equal rows by their place; these are few bytes beside the text.
+    docs = docs.select("*", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+    docs = docs.repartitionByRange("doc_id", "hash", "place").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
     options = {"compression": "snappy", "orc.stripe.size": stripe_mb << 20, "orc.create.index": "true", "orc.row.index.stride": 1000, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": 0.01}
     docs.mapInArrow(_encoded(data, end_id), FILE_SCHEMA).write.options(**options).orc(out)
 

@@ -22,7 +22,8 @@ from gradeloom.llm.queries_byte_bpe import byte_bpe_digests
 from gradeloom.llm.queries_license_scan import license_scan
 from gradeloom.llm.queries_line_rules import SQL, line_rules
 from gradeloom.llm.queries_url_filter import url_filter
-from gradeloom.llm.token_files import ChunkTokenizer, read_tokens, token_file_digests, write_tokens
+from gradeloom.llm.batch_tokenizer import BatchTokenizer
+from gradeloom.llm.token_files import read_tokens, token_file_digests, write_tokens
 from gradeloom.llm.url_filter import PATTERN_RULES, UrlFilter, host_path, sure_tokens
 
 RANKS = open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read()
@@ -97,12 +98,24 @@ def test_token_files(spark, tmp_path):
     assert read_tokens(spark, str(tmp_path / "e")).count() == 0
     twice = frame(spark, [(1, "b", "", "", 0), (1, "a", "", "", 0), (None, "c", "", "", 0)])
     assert sorted(r.start for r in token_file_digests(twice, JSON).collect()) == [0, 2, 4]
+    same = frame(spark, [(7, "b c", "", "", 0)] * 300)  # one id and text on all rows
+    assert sorted((r.start, r.n_tokens) for r in token_file_digests(same, JSON).collect()) == [(3 * i, 3) for i in range(300)]
 
 
-def test_chunks_of_tokenizer():
-    e = ChunkTokenizer(open(JSON, "rb").read())
-    texts = [t or "" for t in NASTY] * 2 + ["a   b", "end ", " \n x", "it's I'LL"]
-    assert e.encode_texts(texts) == [e.whole(t) for t in texts]
+def test_batches_equal_single_texts(monkeypatch):
+    import pyarrow as pa
+
+    from gradeloom.llm import batch_tokenizer
+
+    t, rng = BatchTokenizer(open(JSON, "rb").read()), random.Random(0)
+    signs = ["a", "Word", "été", " ", " ", "  ", "\n", "\n", "\t", "\r", ".", ",", "!", "'s", "1", "漢", "😀", "\x1c", "\x85", "　", "\xa0", "<|endoftext|>", "ſ"]
+    for most in (1 << 18, 3):
+        monkeypatch.setattr(batch_tokenizer, "REMEMBERED", most)
+        monkeypatch.setattr(batch_tokenizer, "AT_ONCE", 5 if most == 3 else 5000)
+        for _ in range(30):
+            texts = ["".join(rng.choices(signs, k=rng.randint(0, 25))) for _ in range(50)] + NASTY + ["a   b", "end ", " \n x", "it's I'LL", "one\ntwo. three\nfour"]
+            assert t.encode(pa.array(texts), 0).to_pylist() == [[*t.whole(x or ""), 0] for x in texts]
+    assert len(t.encode(pa.array([], pa.string()))) == 0
 
 
 def brute_matches(items, words):
