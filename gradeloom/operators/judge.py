@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -10,15 +11,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RESULT = "id string, mode string, metric string, result string, finish string, error string"
+from .grid import shared_table
+
+#: Prompt rows up to which a fan-out broadcasts them; more are joined as Spark sees fit.
+MOST_PROMPTS = 10_000
+RESULT = "id string, mode string, metric string, expected array<string>, result string, finish string, error string"
 #: A backend answers prompts: (prompts, temperature) -> list of (text, finish reason). It may raise ValueError for a retry.
 Backend = Callable[[list[str], float], list[tuple[str, str]]]
 
 
 def stub_backend(prompts: list[str], temperature: float) -> list[tuple[str, str]]:
     """Deterministic answers for tests: each expected key gets a score from the prompt's length."""
-    import re
-
     return [(json.dumps({k: 1 + (len(p) + i) % 10 for i, k in enumerate(re.findall(r'"(.*?)"\s*:\s*<score_integer>', p))} or {"score": 1 + len(p) % 10}), "stop") for p in prompts]
 
 
@@ -31,36 +34,69 @@ def render(template: Column, instruction: Column, output: Column) -> Column:
 
 
 def fan_out(records: DataFrame, prompts: DataFrame, done: DataFrame | None = None) -> DataFrame:
-    """A task for each record and prompt (mode, metric, template). The prompt table is a fixed handful of rows and is broadcast."""
+    """A task for each record and prompt (mode, metric, template). The prompts go along as one array on every record, so there is no join; they are read first, at most ``MOST_PROMPTS``."""
     if done is not None:
         from .merging import resume
 
         records = resume(records, done)
-    tasks = records.join(F.broadcast(prompts))
+    rows = prompts.select("mode", "metric", "template").limit(MOST_PROMPTS + 1).collect()
+    if len(rows) > MOST_PROMPTS:
+        raise ValueError(f"more than {MOST_PROMPTS} prompts")
+    kind = "array<struct<mode:string,metric:string,template:string>>"
+    listed = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in r.asDict().items())) for r in rows)).cast(kind)
+    tasks = records.select("id", "instruction", "output", F.explode(listed).alias("p")).select("id", "instruction", "output", "p.*")
     return tasks.select(F.col("id").cast("string").alias("id"), "mode", "metric", render(F.col("template"), F.col("instruction"), F.col("output")).alias("prompt"), expected_keys(F.col("template")).alias("expected"))
 
 
+def answer_error(text: str | None, finish: str | None, expected: list[str], reasons: tuple[str, ...] = ("reason",)) -> str | None:
+    """What is wrong with one answer; the same rules as ``validation_error``, for asking again at once."""
+    if finish in ("length", "content_filter"):
+        return "cut off" if finish == "length" else "filtered"
+    try:
+        found = json.loads(text or "")
+    except ValueError:
+        return "no JSON object"
+    if not isinstance(found, dict):
+        return "no JSON object"
+    found = {k: v for k, v in found.items() if k not in reasons}
+    if expected and set(found) != set(expected):
+        return "other keys"
+    if not found:
+        return "empty"
+    whole = [re.fullmatch(r"\s*[+-]?\d{1,4}\s*", str(v)) if not isinstance(v, bool) else None for v in found.values()]
+    return None if all(m and 1 <= int(m[0]) <= 10 for m in whole) else "bad score"
+
+
 def call(tasks: DataFrame, backend: Backend = stub_backend, retries: int = 3, temperature: float = 0.1, batch: int = 64, wait: Callable[[float], None] = time.sleep) -> DataFrame:
-    """Asks the backend batch by batch inside each task; a failed batch waits 2 ** attempt seconds and asks hotter."""
+    """Asks the backend batch by batch inside each task, and checks every answer there. Only prompts without a valid answer are asked
+    again, hotter, after 2 ** attempt seconds; where a batch as a whole fails its prompts are asked one by one, so that one bad
+    prompt costs one error. Columns: those of ``tasks`` but the prompt, result, finish, error."""
+
+    def ask(prompts: list[str], heat: float) -> list[tuple[str | None, str | None, str | None]]:
+        try:
+            return [(*x, None) for x in backend(prompts, heat)]
+        except (ValueError, OSError) as e:
+            return [(None, None, str(e))] if len(prompts) == 1 else [x for p in prompts for x in ask([p], heat)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, batch):
-                part, got, error = b.slice(k, batch), None, None
+                part = b.slice(k, batch)
+                prompts, expected = part.column(3).to_pylist(), part.column(4).to_pylist()
+                got: list[tuple] = [(None, None, None)] * len(prompts)
+                left = list(range(len(prompts)))
                 for attempt in range(retries + 1):
-                    try:
-                        got = backend(part.column(3).to_pylist(), min(temperature * 2**attempt, 1.0))
+                    for i, (text, finish, error) in zip(left, ask([prompts[i] for i in left], min(temperature * 2**attempt, 1.0)), strict=True):
+                        got[i] = (text, finish, error or answer_error(text, finish, expected[i] or []))
+                    left = [i for i in left if got[i][2]]
+                    if not left:
                         break
-                    except (ValueError, OSError) as e:
-                        error = str(e)
-                        if attempt < retries:
-                            wait(2.0**attempt)
-                n = part.num_rows
-                text, finish = ([x[i] for x in got] for i in (0, 1)) if got else ([None] * n, [None] * n)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(text, pa.string()), pa.array(finish, pa.string()), pa.array([None if got else error] * n, pa.string())], names=["id", "mode", "metric", "result", "finish", "error"])
+                    if attempt < retries:
+                        wait(2.0**attempt)
+                columns = [pa.array(c, pa.string()) for c in zip(*got, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(4), *columns], names=["id", "mode", "metric", "expected", "result", "finish", "error"])
 
-    done = tasks.select("id", "mode", "metric", "prompt").mapInArrow(run, RESULT)
-    return done.join(tasks.select("id", "mode", "metric", "expected"), ["id", "mode", "metric"])
+    return tasks.select("id", "mode", "metric", "prompt", "expected").mapInArrow(run, RESULT)
 
 
 def validation_error(result: Column, finish: Column, expected: Column, reasons: tuple[str, ...] = ("reason",)) -> Column:
@@ -82,7 +118,11 @@ def scores_of(result: Column) -> Column:
 
 
 def collect(called: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scored (id, scores: mode.metric -> keys -> int) if any metric succeeded; errors; ids that are complete because all did."""
+    """Scored (id, scores: mode.metric -> keys -> int) if any metric succeeded; errors; ids that are complete because all did.
+
+    The answers are written to the shared folder first: the three tables come from one set of calls.
+    """
+    called, _ = shared_table(called, "judged")
     checked = called.withColumn("error", F.coalesce("error", validation_error(F.col("result"), F.col("finish"), F.col("expected"))))
     ok = checked.where("error is null").select("id", F.concat_ws(".", "mode", "metric").alias("what"), scores_of(F.col("result")).alias("s"))
     scored = ok.groupBy("id").agg(F.map_from_entries(F.array_sort(F.transform(F.collect_list(F.struct("what", F.map_entries("s").alias("e"))), lambda x: x))).alias("entries"))

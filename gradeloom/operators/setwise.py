@@ -146,34 +146,56 @@ def minhash_pair_jaccard(rows: DataFrame, id_col: str = "id", grams: str = "v",
     return c.select(F.when(F.col("n") > 1, F.col("s") / num_perm / pairs).alias("score"), F.col("n").alias("num_samples"), pairs.cast("long").alias("num_pairs"))
 
 
-def gram_matrix(rows: DataFrame, vector: str = "v", unit: bool = True) -> tuple[np.ndarray, int]:
-    """Sum of outer products (d x d, whatever the rows) and the row count; tasks send one d x d matrix each."""
+GRAM_BLOCK = 1 << 17
+
+
+def gram_matrix(rows: DataFrame, vector: str = "v", unit: bool = True) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Sum of outer products (d x d, whatever the rows), sum of the vectors, rows, and rows without length. Tasks send their d x d
+    matrix in blocks of rows, which are summed by block; the driver gets d x d numbers as bytes, once."""
 
     def part(batches):
-        s, n = None, 0
+        s, t, n, zero = None, None, 0, 0
         for b in batches:
             if not b.num_rows:
                 continue
             m = matrix(pa.Table.from_batches([b]), "v")
+            length = np.linalg.norm(m, axis=1, keepdims=True)
+            zero += int((length == 0).sum())
             if unit:
-                length = np.linalg.norm(m, axis=1, keepdims=True)
                 m = np.where(length > 0, m / np.where(length > 0, length, 1), 0.0)
-            s, n = (m.T @ m) + (0 if s is None else s), n + len(m)
+            s, t, n = (m.T @ m) + (0 if s is None else s), m.sum(0) + (0 if t is None else t), n + len(m)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([s.ravel().tolist()], pa.list_(pa.float64())), pa.array([n], pa.int64())], names=["g", "n"])
+            step = max(1, GRAM_BLOCK // len(s))
+            cut = [s[i : i + step] for i in range(0, len(s), step)] + [t]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary()), pa.array([n] + [0] * (len(cut) - 1), pa.int64()), pa.array([zero] + [0] * (len(cut) - 1), pa.int64())], names=["block", "g", "n", "zero"])
 
-    parts = rows.select(F.col(vector).alias("v")).mapInArrow(part, "g array<double>, n long")
-    dims = parts.select(F.posexplode("g").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).orderBy("k").collect()  # d * d numbers
-    n = parts.agg(F.sum("n")).first()[0] or 0
-    d = int(len(dims) ** 0.5)
-    return np.array([r.x for r in dims]).reshape(d, d), n
+    def summed(batches):
+        now, total, n, zero = None, None, 0, 0
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64()), pa.array([zero], pa.int64())], names=["block", "g", "n", "zero"])
+        for b in batches:
+            for block, g, k, z in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if block != now:
+                    if now is not None:
+                        yield row()
+                    now, total, n, zero = block, 0.0, 0, 0
+                total, n, zero = total + np.frombuffer(g), n + k, zero + z
+        if now is not None:
+            yield row()
+
+    schema = "block int, g binary, n long, zero long"
+    parts = rows.select(F.col(vector).alias("v")).mapInArrow(part, schema)
+    got = parts.repartition("block").sortWithinPartitions("block").mapInArrow(summed, schema).collect()
+    if not got:
+        return np.zeros((0, 0)), np.zeros(0), 0, 0
+    *cut, last = (np.frombuffer(bytes(r.g)) for r in sorted(got, key=lambda r: r.block))
+    return np.concatenate(cut).reshape(len(last), -1), last, sum(r.n for r in got), sum(r.zero for r in got)
 
 
 def vendi(rows: DataFrame, vector: str = "v", metric: str = "cosine", most_rows: int = 5000) -> DataFrame:
     """exp of the entropy of the eigenvalues of K / n. Cosine and dot product share their spectrum with the d x d matrix; other kernels need all rows, at most ``most_rows``."""
     spark = rows.sparkSession
     if metric in ("cosine", "dot_product"):
-        g, n = gram_matrix(rows, vector, unit=metric == "cosine")
+        g, _, n, _ = gram_matrix(rows, vector, unit=metric == "cosine")
         values = np.linalg.eigvalsh(g / n) if n else np.zeros(0)
     else:
         n = rows.count()
@@ -185,14 +207,25 @@ def vendi(rows: DataFrame, vector: str = "v", metric: str = "cosine", most_rows:
     return spark.createDataFrame([(float(np.exp(-(p * np.log(p)).sum())), int(n), metric)], "vendi_score double, num_samples long, similarity_metric string")
 
 
+LOG_DET = "log_det double, log_det_is_inf boolean, sign int, is_valid boolean, is_positive_definite boolean, is_positive_semidefinite boolean, num_samples long, embedding_dimension int, similarity_metric string, eigenvalue_stats struct<min:double,max:double,num_negative:long>, similarity_matrix_stats struct<max:double,mean:double,std:double,diagonal_mean:double>, warning string"
+
+
 def log_determinant(rows: DataFrame, vector: str = "v", ridge: float = 1e-6) -> DataFrame:
-    """Of the cosine matrix plus ridge: by the determinant lemma, n - d times ln(ridge) and the d x d determinant."""
-    spark = rows.sparkSession
-    g, n = gram_matrix(rows, vector)
-    sign, value = np.linalg.slogdet(g / ridge + np.eye(len(g)))
-    value = float(value + n * np.log(ridge))
-    values = np.linalg.eigvalsh(g)
-    return spark.createDataFrame([(value, int(sign), bool(sign > 0), float(values.max()), int((values > 1e-12).sum()), int(n))], "log_det double, sign int, is_valid boolean, largest_eigenvalue double, rank int, num_samples long")
+    """Of the cosine matrix, 1 on its diagonal, plus ridge. A row without length stands alone there and adds ln(1 + ridge); for the n others the
+    determinant lemma gives (n - d) ln(ridge) and a d x d determinant. All statistics come from d x d sums too; the least
+    entry of the matrix would need all pairs and is left out."""
+    g, t, n, zero = gram_matrix(rows, vector)
+    d, m = len(g), n - zero
+    values = np.sort(np.linalg.eigvalsh(g))[::-1][:m].clip(0) if m else np.zeros(0)
+    own = np.concatenate([values, np.zeros(m - len(values)) if m <= d else np.zeros(1), np.ones(1) if zero else np.zeros(0)]) + ridge
+    with np.errstate(divide="ignore"):
+        value = float(np.log(values + ridge).sum() + (max(m - d, 0) * np.log(ridge) if m > d else 0) + zero * np.log1p(ridge))
+    bad = not np.isfinite(value)
+    mean = (t @ t + zero + n * ridge) / n**2 if n else 0.0
+    square = ((g**2).sum() - m + n * (1 + ridge) ** 2) / n**2 if n else 0.0
+    least, most = (float(own.min()), float(own.max())) if n else (0.0, 0.0)
+    row = (None if bad else value, bad, 0 if bad else 1, not bad, least > 0, least >= -1e-10, int(n), d, "cosine", (least, most, 0), (1 + ridge, float(mean), float(max(square - mean**2, 0) ** 0.5), 1 + ridge), "the determinant is zero" if bad else None)
+    return rows.sparkSession.createDataFrame([row], LOG_DET)
 
 
 def _slices(path: str):

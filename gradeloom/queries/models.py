@@ -142,7 +142,7 @@ def matthews(spark, sf_dir):
     return A.matthews(table(spark, sf_dir, "labels"), "quality", "toxic").select(rounded(F.col("mcc")).alias("mcc"))
 
 
-@query("""with d as (select -length(text) / 100.0::double lp, strlen(text) w from documents) select round(exp(-avg(lp)), 4) perplexity, round(exp(-sum(lp) / sum(w)), 6) weighted_perplexity, round(-sum(lp) / sum(w) / ln(2), 6) bits_per_byte from d where -lp < 30""")
+@query("""with d as (select -length(text) / 100.0::double lp, strlen(text) w from documents) select round(exp(-avg(lp)), 4) perplexity, round(exp(-sum(lp) / sum(w)), 6) weighted_perplexity, round(-sum(lp) / sum(w) / ln(2), 6) bits_per_byte from d""")
 def perplexity(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select((-F.length("text") / F.lit(100.0)).alias("lp"), F.octet_length("text").alias("w"))
     return A.corpus_perplexity(d, "lp", "w").select(rounded(F.col("perplexity"), 4).alias("perplexity"), rounded(F.col("weighted_perplexity")).alias("weighted_perplexity"), rounded(F.col("bits_per_byte")).alias("bits_per_byte"))
@@ -233,7 +233,13 @@ def judge_validate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", J.validation_error(r, F.lit("stop"), F.array(F.lit("a"), F.lit("b"))).alias("error"))
 
 
-@query()
+def _judge_sql() -> str:
+    size = lambda t: f"length(replace(replace('{t}', '{{instruction}}', instruction), '{{output}}', output))".replace("\n", "' || chr(10) || '")
+    all_q, all_qa, clarity = (size(t) for _, _, t in PROMPTS)
+    return f"""with {REC} select id, '{{"Q.All":{{"Clarity":' || (1 + {all_q} % 10) || ',"Difficulty":' || (1 + ({all_q} + 1) % 10) || '}},"Q.Clarity":{{"score":' || (1 + {clarity} % 10) || '}},"QA.All":{{"Relevance":' || (1 + {all_qa} % 10) || '}}}}' scores from rec"""
+
+
+@query(_judge_sql())
 def judge_run(spark, sf_dir):
     """Prompts, the stub backend, validation and collection."""
     scored, errors, complete = J.collect(J.call(J.fan_out(records(spark, sf_dir), _prompts(spark))))

@@ -57,7 +57,18 @@ def test_vendi_and_log_det(points):
     v = v[v > 1e-12]
     assert S.vendi(df).first().vendi_score == pytest.approx(np.exp(-(v * np.log(v)).sum()), rel=1e-6)
     full = np.vstack([u, np.zeros(4)])
-    assert S.log_determinant(df).first().log_det == pytest.approx(np.linalg.slogdet(full @ full.T + 1e-6 * np.eye(60))[1], rel=1e-6)
+    cosine = full @ full.T
+    np.fill_diagonal(cosine, 1)  # a row without length too
+    ridged = cosine + 1e-6 * np.eye(60)
+    got = S.log_determinant(df).first()
+    assert got.log_det == pytest.approx(np.linalg.slogdet(ridged)[1], rel=1e-6)
+    assert got.similarity_matrix_stats.mean == pytest.approx(ridged.mean()) and got.similarity_matrix_stats.std == pytest.approx(ridged.std())
+    assert got.eigenvalue_stats.max == pytest.approx(np.linalg.eigvalsh(ridged).max()) and got.is_positive_definite and (got.num_samples, got.embedding_dimension) == (60, 4)
+    two = S.log_determinant(df.sparkSession.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 0.0])], "id long, v array<double>")).first()
+    assert two.log_det == pytest.approx(2 * np.log1p(1e-6)) and two.is_valid
+    same = S.log_determinant(df.sparkSession.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0])], "id long, v array<double>"), ridge=0.0).first()
+    assert same.log_det is None and same.log_det_is_inf and same.sign == 0 and same.warning
+    assert S.log_determinant(df.limit(0)).first().num_samples == 0
     with pytest.raises(ValueError):
         S.vendi(df, metric="euclidean", most_rows=10)
 
@@ -136,21 +147,53 @@ def test_plan_errors_and_subset():
     assert _subset("a: 1\nscorers:\n  - name: hdd\n    sample_size: 10\n  - {name: x, words: [a, b]}\n") == {"a": 1, "scorers": [{"name": "hdd", "sample_size": 10}, {"name": "x", "words": ["a", "b"]}]}
 
 
-def test_judge_retries_and_collects(spark):
-    calls = []
+PROMPT = [("Q", "All", '{instruction} "Clarity": <score_integer>')]
+
+
+def judged(spark, tmp_path, rows, answer, **args):
+    """Tables of a run, and the prompts that the backend was asked, from files as it runs in other processes."""
+    at = str(tmp_path / "asked")
 
     def backend(prompts, temperature):
-        if any("fail" in p for p in prompts):
+        with open(at, "a") as f:
+            f.writelines(f"{temperature:g} {p}\n" for p in prompts)
+        return [answer(p, temperature) for p in prompts]
+
+    rec = spark.createDataFrame([(str(i), x, "x") for i, x in enumerate(rows)], "id string, instruction string, output string").coalesce(1)
+    prompts = spark.createDataFrame(PROMPT, "mode string, metric string, template string")
+    tables = J.collect(J.call(J.fan_out(rec, prompts), backend, wait=lambda s: None, **args))
+    out = [sorted(map(tuple, t.collect())) for t in tables]
+    with open(at) as f:
+        return (*out, f.read().splitlines())
+
+
+def test_judge_asks_each_prompt_once(spark, tmp_path):
+    scored, errors, complete, asked = judged(spark, tmp_path, ["good"] * 100, lambda p, t: (json.dumps({"Clarity": 5}), "stop"))
+    assert len(asked) == 100 and len(complete) == 100 and not errors and scored[0] == ("0", {"Q.All": {"Clarity": 5}})
+
+
+def test_judge_asks_bad_answers_again_hotter(spark, tmp_path):
+    def answer(p, t):
+        if "raise" in p:
             raise ValueError("no")
-        return [(json.dumps({"Clarity": 5}), "stop") for _ in prompts]
-
-    rec = spark.createDataFrame([("1", "good", "x"), ("2", "fail", "x")], "id string, instruction string, output string")
-    prompts = spark.createDataFrame([("Q", "All", '{instruction} "Clarity": <score_integer>')], "mode string, metric string, template string")
-    called = J.call(J.fan_out(rec, prompts), backend, retries=1, batch=1, wait=calls.append)
-    scored, errors, complete = J.collect(called)
-    assert [(r.id, r.scores) for r in scored.collect()] == [("1", {"Q.All": {"Clarity": 5}})]
-    assert [(r.id, r.error) for r in errors.collect()] == [("2", "no")]
-    assert [r.id for r in complete.collect()] == ["1"]
+        bad = {"json": "{", "keys": '{"Other": 5}', "high": '{"Clarity": 11}', "list": "[1]", "late": '{"Clarity": 5}' if t > 0.3 else "no"}
+        return next((v for k, v in bad.items() if k in p), '{"Clarity": 5}'), "length" if "cut" in p else "stop"
+
+    rows = ["good"] * 58 + ["raise", "json", "keys", "high", "late", "cut"]
+    scored, errors, complete, asked = judged(spark, tmp_path, rows, answer, retries=2)
+    assert [(i, e) for i, _, _, e in errors] == [("58", "no"), ("59", "no JSON object"), ("60", "other keys"), ("61", "bad score"), ("63", "cut off")]
+    assert len(scored) == len(complete) == 59
+    assert sum("late" in x for x in asked) >= 3 and max(float(x.split()[0]) for x in asked) == 0.4
+    one_by_one = sum("good" in x for x in asked)
+    assert one_by_one <= 2 * 58  # a batch that fails as a whole is asked one by one, once
+
+
+@pytest.mark.parametrize("text", ['{"a": 3}', '{"a": " 7 "}', '{"a": 0}', '{"a": 11}', '{"a": "x"}', '{"b": 3}', '{"a": 3, "b": 1}', "[1]", "no", "{}", None, '{"a": null}', '{"a": 3, "reason": "so"}', '{"a": true}', '{"a": 2.5}'])
+def test_answer_rules_agree(spark, text):
+    for expected in (["a"], []):
+        for finish in ("stop", "length"):
+            df = spark.createDataFrame([(text, finish, expected)], "r string, f string, e array<string>")
+            assert J.answer_error(text, finish, expected) == df.select(J.validation_error(F.col("r"), F.col("f"), F.col("e"))).first()[0]
 
 
 def test_pass_at_is_monotone(spark):
