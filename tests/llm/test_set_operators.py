@@ -111,14 +111,15 @@ def brute_substring(rows, width):
     return out
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_substring(spark, small, monkeypatch):
-    if small:  # flushes after every text, a sketch so small that it passes nearly all
-        monkeypatch.setattr(substring, "FLUSH", 1)
-        monkeypatch.setattr(substring, "COUNTED_AT_ONCE", 1)
+SMALL = {"shard_bits": 8, "bucket_windows": 50}
+
+
+@pytest.mark.parametrize("args", [{}, SMALL, SMALL | {"cells_per_anchor": 0}, SMALL | {"hot": 2}])
+def test_substring(spark, args, monkeypatch):
+    if args:  # units of a text each or two
+        monkeypatch.setattr(substring, "UNIT_BYTES", 300)
     rows = documents()
     df = frame(spark, rows)
-    args = {"most_cells": 1 << 12} if small else {}
     got = {r.doc_id: tuple(r)[1:] for r in substring_dedup(df, **args).collect()}
     assert got == brute_substring(rows, 20)
     text = substring_dedup(df, as_text=True, **args)
@@ -128,6 +129,70 @@ def test_substring(spark, small, monkeypatch):
     assert all(kept[r[0]] == (r[1] or "") for r in rows if got[r[0]][1] == 0)
 
 
+@pytest.mark.parametrize("width", [1, 2, 3, 7])
+def test_substring_of_other_widths(spark, width, monkeypatch):
+    monkeypatch.setattr(substring, "UNIT_BYTES", 200)
+    rng = np.random.default_rng(width)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 3 if i % 2 else 9, rng.integers(0, 40))), "", "", 0) for i in range(30)]
+    got = {r.doc_id: tuple(r)[1:] for r in substring_dedup(frame(spark, rows), width=width, **SMALL).collect()}
+    assert got == brute_substring(rows, width)
+
+
+@pytest.mark.parametrize("n", [20_000, 200_000, 2_000_000])
+def test_sketch_passes_few_unique_anchors_at_any_size(n):
+    """Far more windows than a shard has cells: shards get more, so that few unique anchors pass. Their text is one sixth of n."""
+    shards, bits = substring.layout(n, shard_bits=10)
+    h = np.random.default_rng(0).integers(0, 2**64, n // 6, np.uint64)
+    first, second = substring.cells(h, shards, bits)
+    x, y = np.bincount(first.astype(np.int64)), np.bincount(((first >> np.uint64(bits)) << np.uint64(bits)).astype(np.int64) + second)
+    passed = (x[first.astype(np.int64)] > 1) & (y[((first >> np.uint64(bits)) << np.uint64(bits)).astype(np.int64) + second] > 1)
+    assert passed.mean() < 0.05
+    assert substring.layout(10**12)[1] <= substring.SHARD_BITS
+
+
+def test_answers_lose_no_repeat():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    shards, bits, units = 4, 9, [rng.integers(0, 3000, 400).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(6)]
+    counts = {}
+    for u in units:
+        for x in u.tolist():
+            counts[x] = counts.get(x, 0) + 1
+    for s in range(shards):
+        rows, want = [], []
+        for k, u in enumerate(units):
+            first, second, often, _ = substring.distinct(u, shards, bits)
+            own = (first >> np.uint64(bits)) == s
+            of_cell = {(a, b): 0 for a, b in zip(first.tolist(), second.tolist(), strict=True)}
+            for x in np.unique(u).tolist():
+                a, b = substring.cells(np.array([x], np.uint64), shards, bits)
+                of_cell[int(a[0]), int(b[0])] = counts[x]
+            want.append([of_cell[z] for z in zip(first[own].tolist(), second[own].tolist(), strict=True)])
+            three = np.ascontiguousarray(second[own].astype("<u4")).view(np.uint8).reshape(-1, 4)[:, :3]
+            rows.append((s, k, substring.coded(first[own] & np.uint64((1 << bits) - 1)), three.tobytes(), zlib.compress(often[own].astype(np.uint8).tobytes())))
+        t = pa.table(dict(zip(("shard", "unit", "first", "second", "often"), map(list, zip(*rows, strict=True)), strict=True)))
+        for r in substring._merged(bits, 1 << 15)(t).to_pylist():
+            twice = np.unpackbits(np.frombuffer(r["twice"], np.uint8), count=len(want[r["unit"]]))
+            assert all(b for b, n in zip(twice.tolist(), want[r["unit"]], strict=True) if n > 1)
+    assert min(counts.values()) == 1
+
+
+def test_anchors_cover_windows_alike():
+    """Every window has an anchor, and equal windows have anchors of equal hash at equal offsets."""
+    rng = np.random.default_rng(1)
+    words = [b"%d" % x for x in rng.integers(0, 4, 300)]
+    for width in (1, 2, 5, 20):
+        u = substring.Unit(words, np.array([120, 0, 180]), WordHashes(), width)
+        at = u.anchors()
+        assert u.windows(at).tolist() == np.flatnonzero(u.starts).tolist()
+        assert u.starts.sum() == 300 - 2 * (width - 1)
+        by = {}
+        for i in np.flatnonzero(u.starts).tolist():
+            own = [int(p) - i for p in at if i <= p < i + u.span and u.h[p] == u.low[i]]
+            assert own and by.setdefault(tuple(words[i : i + width]), own) == own
+
+
 def test_substring_edges(spark):
     assert substring_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
     t = " ".join(f"w{i}" for i in range(30))
@@ -149,16 +214,6 @@ def test_runs_are_hashes_of_words():
     assert joined(w[:1], w[1:2]) != joined(w[1:2], w[:1])
 
 
-def test_anchors_are_least_runs():
-    h = WordHashes()
-    words = [f"w{i % 11}".encode() for i in range(50)]
-    for width in (3, 5, 6, 13, 20):
-        size = min(5, width)
-        r = runs(h.of(words)[0], size)
-        want = [min(r[i : i + width - size + 1]) for i in range(50 - width + 1)]
-        assert substring.anchors(words, h, width).tolist() == want
-
-
 def brute_near(rows, percent=85):
     sets = {}
     for doc_id, text, *_ in rows:
