@@ -80,16 +80,75 @@ def test_top_k(spark):
     assert top_k(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("spread", [1.0, 30.0])
+def test_cells_pass_bars_on(spark, spread, monkeypatch):
+    """Rows in far clusters: most pairs of cells are never joined. Without clusters all are, and the result is the same."""
+    from gradeloom.llm import top_k as module
+
+    for name, n in (("CELL_ROWS", 60), ("QUERY_ROWS", 8), ("PART_ROWS", 50)):
+        monkeypatch.setattr(module, name, n)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([c + rng.normal(size=(60, 6)) for c in rng.normal(size=(20, 6)) * spread])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    report = {}
+    got = {tuple(r) for r in top_k(df, every=20, report=report).collect()}
+    assert got == brute_top(np.arange(1200), np.floor(x * 256), 5, np.arange(1200) % 20 == 0)
+    assert report["first"] + report["later"] + report["dropped"] == report["pairs"] > 50
+    if spread > 1:
+        assert report["dropped"] > 0.4 * report["pairs"]
+
+
+def test_top_k_repeated_ids_and_ties(spark):
+    same = [(i, [1.0, 2.0]) for i in range(60)] + [(50, [1.0, 2.0]), (50, [3.0, 1.0]), (7, [1.0, 2.0])]
+    got = sorted(tuple(r) for r in top_k(spark.createDataFrame(same, "vec_id long, embedding array<double>")).collect())
+    pairs = {q: sorted(((-int(256 * 256 * (a[0] * b[0] + a[1] * b[1])), j) for i, a in same if i == q for j, b in same if j != q))[:5] for q in (0, 50)}
+    assert got == [(q, r + 1, j, -v) for q in (0, 50) for r, (v, j) in enumerate(pairs[q])]
+    assert all(g[0] in (0, 50) and g[0] != g[2] for g in got) and len(got) == 10
+
+
+def test_nets_cover_and_are_apart():
+    rng = np.random.default_rng(0)
+    x = np.concatenate([c + rng.normal(size=(100, 3)) for c in rng.normal(size=(12, 3)) * 50])
+
+    def walk(node):
+        d = np.linalg.norm(x[node.at] - node.center, axis=1)
+        assert d.max() <= node.radius
+        if node.kids:
+            assert sorted(i for k in node.kids for i in k.at.tolist()) == sorted(node.at.tolist())
+            assert all(k.radius <= node.radius / 2 + 1e-6 for k in node.kids)
+            c = np.array([k.center for k in node.kids])
+            apart = np.linalg.norm(c[:, None] - c[None], axis=2)[np.triu_indices(len(c), 1)]
+            assert (apart > node.radius / 2 - 1e-6).all()
+        return 1 + sum(map(walk, node.kids))
+
+    assert walk(build(x, 10)) > 20
+
+
+def test_embeddings_of_the_tables_have_no_structure():
+    """Why nothing is dropped there: unit vectors without clusters. No half-radius net is small, and bounds of any balls exceed the kth scores."""
+    import pyarrow.parquet as pq
+
+    v = pq.read_table("/root/testdata/sf0.1/embeddings.parquet", columns=["embedding"]).column(0).combine_chunks()
+    x = np.floor(v.flatten().to_numpy().astype(float).reshape(len(v), -1) * 256)
+    assert not build(x).kids
+    ids = np.arange(len(x))
+    found, told = search(ids[::50], x[::50], ids, x, 5)
+    assert told["dropped"] == 0 and found[0] == sorted((-int(x[0] @ x[j]), int(j)) for j in ids if j)[:5]
+
+
 def test_search_prunes_and_stays_exact():
     rng = np.random.default_rng(0)
     centers = rng.normal(size=(20, 3)) * 100
     x = np.floor(np.concatenate([c + rng.normal(size=(200, 3)) for c in centers]))
     ids = np.arange(len(x))
-    found, scored = search(ids[:50], x[:50], ids, x, 5)
+    found, told = search(ids[:50], x[:50], ids, x, 5)
     for i in range(50):
         s = sorted((-int(x[i] @ x[j]), int(j)) for j in ids if j != i)[:5]
         assert found[i] == s
-    assert scored < 60
+    assert told["scored"] < 0.2 * told["leaves"] and told["dropped"] > 0
+    low = np.array([-h[-1][0] for h in found], float)
+    again, less = search(ids[:50], x[:50], ids, x, 5, floor=low)
+    assert again == found and less["scored"] <= told["scored"]
     big = np.floor(rng.normal(size=(30, 2)) * 2.0**60)
     found, _ = search(ids[:5], big[:5], ids[:30], big, 3)
     want = [sorted((-(int(a[0]) * int(b[0]) + int(a[1]) * int(b[1])), j) for j, b in enumerate(big) if j != i)[:3] for i, a in enumerate(big[:5])]
