@@ -206,12 +206,37 @@ def brute_verdict(url):
 
 def test_url_index_misses_no_rule():
     rng, f = random.Random(3), UrlFilter()
-    parts = ["ads", "blog", "m", "www", "login", "wp-login.php", "cart", "tag", "page", "7", "utm_source=feed", "ref=x", "sessionid=0123abcd", "replytocom=5", "a.zip", "fr", "x"]
-    for _ in range(4000):
-        url = f"http://{rng.choice(parts[:4])}.site.info/" + "/".join(rng.choices(parts, k=rng.randint(0, 3))) + rng.choice(["", "?", "#t"]) + "&".join(rng.choices(parts[10:], k=rng.randint(0, 2)))
+    hosts = ["ads", "blog", "m", "www", "tracker", "archive", "casino", "x-casino-y", "1.2.3.4", "pixel"]
+    parts = ["login", "wp-login.php", "wp-admin", "cart", "mycart", "tag", "page", "7", "a.zip", "a.tar.gz", "fr", "x", "feed", "feed.xml", "search", "docs", "licences", "my-account", "myaccount", "calendar", "2024", "05", "cgi-bin", "xmlrpc.php", "banner", "banners"]
+    args = ["utm_source=feed", "ref=x", "sessionid=0123abcd", "replytocom=5", "sid=0123456789abcdef", "sortby=name", "order=up", "print=1", "print=12", "utm_campaign=big-spam", "add-to-cart=7"]
+    hits = set()
+    for _ in range(6000):
+        url = f"http://{rng.choice(hosts)}{rng.choice(['.site.info', '', ':80'])}" + rng.choice(["/", "", "//"]) + "/".join(rng.choices(parts, k=rng.randint(0, 4))) + rng.choice(["", "/", "?", "#t", "?q&"]) + "&".join(rng.choices(args, k=rng.randint(0, 2)))
         assert f.judge(url)[3] == brute_verdict(url), url
-    assert sure_tokens(r"/cart(?:[/?#]|$)") <= {"cart"}
-    assert sure_tokens(r"a.cart/") == set() and sure_tokens(r"a\.cart/") == {"cart"}  # a bare dot may be a letter
+        hits |= {p for _, p in PATTERN_RULES if re.search(p, url)}
+    assert len(hits) > 0.9 * len(PATTERN_RULES)
+    assert len(f.always) <= 0.1 * len(PATTERN_RULES)
+
+
+def test_tokens_from_expression_trees():
+    assert sure_tokens(r"/cart(?:[/?#]|$)") == [{"cart"}] * 2
+    assert sure_tokens(r"a.cart/") == [set()] and sure_tokens(r"a\.cart/") == [{"cart"}]  # a bare dot may be a letter
+    assert sure_tokens(r"/(?:ads|pixel)/") == [{"ads"}, {"pixel"}]
+    assert sure_tokens(r"/tags?/x/") == [{"tag", "x"}, {"tags", "x"}]
+    assert sure_tokens(r"[?&]ref=\w+-end\b") == [{"ref", "end"}]
+    assert sure_tokens(r"/a+/-+b/") == [{"b"}]
+    assert sure_tokens(r"x(?:/|yy)") == [set(), set()]
+    many = "/" + "(?:a|b|c|d)/" * 8
+    assert all(sure_tokens(many)) and len(sure_tokens(many)) <= 256
+
+
+def test_few_rules_run_on_the_tables_urls():
+    import pyarrow.parquet as pq
+
+    f = UrlFilter()
+    urls = pq.read_table("/root/testdata/sf0.1/pages.parquet", columns=["url"]).column(0).to_pylist()
+    found = [x for x in map(f.judge, urls) if x[2] is None]
+    assert sum(x[4] for x in found) <= (len(f.always) + 1) * len(found)
 
 
 def test_url_rules(spark):
