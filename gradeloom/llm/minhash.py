@@ -6,16 +6,18 @@ halves ** 2 tables, whose keys have 2 * width hashes, need only 2 * halves * wid
 a table with probability (1 - (1 - s ** width) ** halves) ** 2: with 7 and 2, 0.99975 at 0.85 and 0.99998 at 0.9.
 
 1. Texts with equal shingle sets form a class (a 128-bit digest of the set, pre-aggregated); only its smallest id goes on.
-2. Tables of up to ``all_pairs`` texts give their pairs, of which those stay whose 48 minimum hashes agree often enough (26; at
-   0.85 fewer do with probability below 1e-6). Larger tables give a star to their smallest id. The components of these edges
-   hold all candidates, without all pairs of any group.
-3. Within each such component every pair is compared on full sets by a matrix product over the shingles that two
-   texts share. Components above a block's size are parted into blocks, and each pair of blocks is a task of its own, so no task
-   gathers a group of unbounded size; what comes out is a spanning forest of the confirmed links.
-4. The components of the confirmed links are the result.
-
-Candidate search is the only step that may miss a link, with the probabilities above. Rows that repeat an id count as one document
-with several texts. Null ids take the component of their set's other rows, if any.
+2. Candidates come from the tables by minimum hashes alone. A table of up to ``ALL_PAIRS`` texts gives its pairs. In a larger one all texts are compared with a hub,
+   its smallest id: with ``NEAR`` or more of 48 equal minima (similarity 0.7, less chance) a text is tied to the hub, and with ``DONE`` or more (0.85)
+   it leaves the table, as whatever is linked with it has similarity 0.7 to the hub too. The rest meet two hubs, then
+   four, and so on until none is left, so that texts which merely share a table's key aren't tied together. No group gives all its pairs.
+3. Candidate pairs with ``AGREE`` or more equal minima (at 0.85 fewer are with probability below 1e-6) are compared on full sets: a hub against its texts, in blocks.
+4. Where texts are tied together but not all linked so far, those outside the largest linked part are compared with all the
+   others on full sets, block by block, by a matrix product over the shingles that two texts share.
+5. The components of the confirmed links are the result.
+
+No task gathers a group of unbounded size. A link can be missed only as far as minimum hashes mislead, with the probabilities above; what is
+confirmed is right as far as shingles, compared as 64-bit hashes, and sets, compared as 128-bit digests, don't collide. Rows that repeat an id count as one document
+with several texts. Null ids take the component of their set's other rows, if any. Null and empty texts are linked with nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, components, kept_in_worker, materialize
 from .shingles import WordHashes, shingle_set
 
-HALVES, WIDTH, SIGNS, AGREE = 7, 2, 48, 26
+HALVES, WIDTH, SIGNS = 7, 2, 48
+NEAR, AGREE, DONE = 20, 26, 41
 ALL_PAIRS, BLOCK_TEXTS, BLOCK_SHINGLES = 8, 1024, 1 << 20
 
 
@@ -68,7 +71,7 @@ def _sketches(size: int):
 
 def _sets(size: int):
     hashes = kept_in_worker("words", WordHashes)
-    return lambda rows: [(node, block, cells, shingle_set(words_of(text), hashes, size).view(np.int64)) for node, block, cells, text in rows]
+    return lambda rows: [(node, cells, shingle_set(words_of(text), hashes, size).view(np.int64)) for node, cells, text in rows]
 
 
 def confirmed(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
@@ -116,29 +119,81 @@ def forest(n: int, left: np.ndarray, right: np.ndarray, links: np.ndarray) -> np
 
 
 def _compare(percent: int):
+    """One cell: the links between its left and its right texts, as a spanning forest."""
+
     def run(t: pa.Table) -> pa.Table:
-        order = np.lexsort((t.column("block").to_numpy(), t.column("node").to_numpy()))
-        node, block = t.column("node").to_numpy()[order], t.column("block").to_numpy()[order]
+        t = t.take(pa.array(np.argsort(t.column("node").to_numpy(), kind="stable")))
+        node, is_left, is_right = (t.column(c).to_numpy(zero_copy_only=False) for c in ("node", "is_left", "is_right"))
         lists = t.column("shingles").combine_chunks()
-        parts = np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1])
-        sets = [parts[i] for i in order]
-        rows = np.arange(len(node))
-        if (block == block[0]).all():
-            left = right = rows
-        else:
-            left, right = rows[block == block.min()], rows[block != block.min()]
-        label = forest(len(node), left, right, confirmed(sets, left, right, percent)) if len(node) > 1 else rows
-        at = np.flatnonzero(node[label] != node)
-        return pa.table({"a": pa.array(node[label[at]], pa.int64()), "b": pa.array(node[at], pa.int64())})
+        sets = np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1])
+        left, right = np.flatnonzero(is_left), np.flatnonzero(is_right)
+        at = np.empty(0, np.int64)
+        if len(left) and len(right):
+            label = forest(len(node), left, right, confirmed(sets, left, right, percent))
+            at = np.flatnonzero(node[label] != node)
+        return pa.table({"a": pa.array(node[label[at]] if len(at) else at, pa.int64()), "b": pa.array(node[at], pa.int64())})
 
     return run
 
 
+CELL = "array<struct<comp:long,i:int,k:int,is_left:boolean,is_right:boolean>>"
+
+
+def _cell(comp, i, k, left: bool, right: bool):
+    return F.struct(F.col(comp).alias("comp"), i.cast("int").alias("i"), k.cast("int").alias("k"), F.lit(left).alias("is_left"), F.lit(right).alias("is_right"))
+
+
+def _confirmed(text: DataFrame, cells: DataFrame, percent: int, size: int) -> DataFrame:
+    """Links (a, b) between left and right texts of each cell. cells: (node, cell), a row for each cell of a node."""
+    # A node twice in a cell is one row there.
+    one = cells.select("node", "cell.*").groupBy("node", "comp", "i", "k").agg(F.max("is_left").alias("is_left"), F.max("is_right").alias("is_right"))
+    own = one.groupBy("node").agg(F.collect_list(F.struct("comp", "i", "k", "is_left", "is_right")).alias("cells"))
+    found = text.join(own, text.doc_id == own.node).select("node", "cells", "text")
+    found = arrow_map(found, f"node long, cells {CELL}, shingles array<long>", _sets, size)
+    found = found.select("node", F.explode("cells").alias("cell"), "shingles").select("node", "cell.*", "shingles")
+    return found.groupBy("comp", "i", "k").applyInArrow(_compare(percent), "a long, b long")
+
+
+def _blocks(n: str, shingles: str):
+    """How many blocks hold texts of such a count and sum of set sizes."""
+    return F.greatest(F.ceil(F.col(n) / BLOCK_TEXTS), F.ceil(F.col(shingles) / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+
+def _agreeing(pairs: DataFrame, signs: DataFrame) -> DataFrame:
+    """(a, b, agree): equal minima of distinct pairs."""
+    side = lambda c: signs.select(F.col("node").alias(c), F.col("signs").alias(f"s{c}"))
+    agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    return pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", agree.alias("agree"))
+
+
+def candidates(hits: DataFrame, signs: DataFrame) -> DataFrame:
+    """(a, b, agree) of pairs that tables tie together. hits: (key, node, n), n texts in a table, at least two."""
+    few = hits.where(F.col("n") <= ALL_PAIRS).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("v")).select("v").distinct()
+    pairs = few.select(F.explode(F.flatten(F.transform("v", lambda x, i: F.transform(F.slice("v", i + 2, ALL_PAIRS), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
+    out = _agreeing(pairs.select("p.a", "p.b"), signs).where(F.col("agree") >= AGREE)
+    rest, hubs_each = hits.where(F.col("n") > ALL_PAIRS).select("key", "node"), 1
+    while not rest.isEmpty():
+        # A hub for each of some classes of a table's texts; the first round has one class, so that a group's tables mostly share their hub.
+        part = F.pmod(F.xxhash64("node", F.lit(hubs_each)), F.lit(hubs_each))
+        hubs = rest.groupBy("key", part.alias("part")).agg(F.min("node").alias("hub")).select("key", "hub")
+        met = rest.join(hubs, "key").select("key", "node", "hub")
+        pairs = met.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+        told = materialize(_agreeing(pairs, signs), "near-hubs")
+        out = out.union(told.where(F.col("agree") >= NEAR))
+        # Left are texts that are no hub of their table and near enough to none.
+        gone = told.where(F.col("agree") >= DONE)
+        gone = met.join(gone.select(F.col("a").alias("node"), F.col("b").alias("hub")).union(gone.select(F.col("b").alias("node"), F.col("a").alias("hub"))), ["node", "hub"]).select("key", "node")
+        gone = gone.union(hubs.select("key", F.col("hub").alias("node")))
+        rest = materialize(rest.join(gone, ["key", "node"], "left_anti"), "near-rest")
+        hubs_each *= 2
+    return out
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = materialize(arrow_map(text, "doc_id long, n_shingles long, digest binary, signs array<int>", _sketches, size), "near-sketches")
-    reps = rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("signs").alias("signs"))
+    reps = rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("signs").alias("signs"), F.first("n_shingles").alias("size"))
     reps = materialize(reps, "near-classes")
 
     s = F.col("signs")
@@ -146,29 +201,42 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFr
     first, second = (F.array(*(half(side, i) for i in range(HALVES))) for side in (0, 1))
     keys = reps.select("node", first.alias("x"), second.alias("y"))
     keys = keys.select("node", F.explode(F.flatten(F.transform("x", lambda x: F.transform("y", lambda y: F.xxhash64(x, y))))).alias("key"))
-    met = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
-    hits = materialize(keys.join(met, "key"), "near-hits")
-    stars = hits.where((F.col("n") > ALL_PAIRS) & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    few = hits.where(F.col("n") <= ALL_PAIRS).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("v")).select("v").distinct()
-    pairs = few.select(F.explode(F.flatten(F.transform("v", lambda x, i: F.transform(F.slice("v", i + 2, ALL_PAIRS), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
-    pairs = pairs.select("p.a", "p.b").distinct()
-    one = reps.select("node", "signs")
-    pairs = pairs.join(one.select(F.col("node").alias("a"), F.col("signs").alias("sa")), "a").join(one.select(F.col("node").alias("b"), F.col("signs").alias("sb")), "b")
-    agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    pairs = pairs.where(agree >= AGREE).select("a", "b")
-    coarse = components(stars.union(pairs), "near-coarse")
-
-    sized = coarse.join(rows.where("doc_id is not null").groupBy(F.col("doc_id").alias("node")).agg(F.sum("n_shingles").alias("size")), "node")
-    total = sized.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    cells = sized.join(total, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    cells = cells.select("node", "block", F.transform(other, lambda k: F.struct(F.col("comp").alias("comp"), F.least("block", k).alias("low"), F.greatest("block", k).alias("high"))).alias("cells"))
-    found = text.join(cells, text.doc_id == cells.node).select("node", "block", "cells", "text")
-    kind = "array<struct<comp:long,low:int,high:int>>"
-    found = arrow_map(found, f"node long, block int, cells {kind}, shingles array<long>", _sets, size)
-    found = found.select("node", "block", F.explode("cells").alias("cell"), "shingles").select("node", "block", "cell.comp", "cell.low", "cell.high", "shingles")
-    links = found.groupBy("comp", "low", "high").applyInArrow(_compare(percent), "a long, b long")
-    comps = components(links, "near-links")
+    met = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    hits = materialize(keys.join(met, "key").distinct(), "near-hits")
+    sizes = reps.groupBy("node").agg(F.sum("size").alias("size"))  # an id may stand on several sets
+    pairs = materialize(candidates(hits, reps.select("node", "signs")), "near-candidates")
+
+    # Hubs against their texts. Of a pair the smaller id is the hub, whatever it was before.
+    tried = pairs.where(F.col("agree") >= AGREE).select("a", "b").distinct()
+    degree = tried.join(sizes, tried.b == sizes.node).groupBy("a").agg(F.count("*").alias("n"), F.sum("size").alias("s")).select("a", _blocks("n", "s").alias("blocks"))
+    members = tried.join(degree, "a").select(F.col("b").alias("node"), _cell("a", F.lit(0), F.pmod(F.xxhash64("b"), "blocks"), False, True).alias("cell"))
+    hubs = degree.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k")).select("node", _cell("a", F.lit(0), F.col("k"), True, False).alias("cell"))
+    parts = materialize(components(materialize(_confirmed(text, members.union(hubs), percent, size), "near-links"), "near-parts"), "near-part")
+
+    # Ties between parts. From here on a part stands for its texts.
+    of = lambda c: parts.select(F.col("node").alias(c), F.col("comp").alias(f"part_{c}"))
+    ties = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b"))
+    ties = materialize(ties.where("a <> b").distinct(), "near-ties")
+    comps = parts
+    if not ties.isEmpty():
+        tied = components(ties, "near-tied").withColumnRenamed("node", "part")
+        within = sizes.join(parts, "node", "left").select("node", "size", F.coalesce(parts["comp"], "node").alias("part"))
+        within = materialize(within.join(tied, "part"), "near-within")  # node, size, part, comp
+        each = within.groupBy("comp", "part").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+        main = each.groupBy("comp").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+        outside = each.join(main.select("comp", "main"), "comp").where("part <> main").groupBy("comp").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+        shape = main.select("comp", "main", _blocks("n", "s").alias("all_blocks")).join(outside.select("comp", _blocks("n", "s").alias("out_blocks")), "comp")
+        placed = within.join(shape, "comp")
+        block = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
+        left = placed.where("part <> main").select("node", "comp", block("out_blocks", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("k"))
+        right = placed.select("node", "comp", F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("i"), block("all_blocks", 2).alias("k"))
+        cells = left.select("node", _cell("comp", F.col("i"), F.col("k"), True, False).alias("cell")).union(right.select("node", _cell("comp", F.col("i"), F.col("k"), False, True).alias("cell")))
+        more = _confirmed(text, cells, percent, size)
+        more = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b")).where("a <> b")
+        whole = components(materialize(more, "near-more"), "near-whole")
+        grown = parts.join(whole.select(F.col("node").alias("comp"), F.col("comp").alias("up")), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))
+        alone = whole.join(parts.select("node"), "node", "left_anti").select("node", "comp")
+        comps = materialize(grown.union(alone), "near-comps")
 
     classes = reps.join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("of_class"))
     out = rows.join(classes, "digest", "left")

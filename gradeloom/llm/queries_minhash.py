@@ -1,4 +1,4 @@
-"""Query op7_minhash_near_dedup. Its SQL compares all texts that share a shingle, so it serves small tables only: see the tests."""
+"""Query op7_minhash_near_dedup and its SQL, which compares all texts that share a shingle."""
 
 from .minhash import near_duplicates
 
@@ -7,5 +7,17 @@ def op7_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select doc_id, unnest(case when len(w) >= 5 then list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] for i in range(1, len(w) - 3)]) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) g from w),
+n as (select doc_id, count(*) n from s group by 1),
+p as (select a.doc_id a, b.doc_id b, count(*) i from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 85 * (x.n + y.n - i)),
+e as (select a, b from l union select b, a from l),
+r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a),
+c as (select a, min(b) m from r group by 1)
+select w.doc_id, coalesce(n.n, 0)::bigint n_shingles, least(w.doc_id, coalesce(c.m, w.doc_id)) component_id, w.doc_id <= coalesce(c.m, w.doc_id) kept
+from w left join n using (doc_id) left join c on c.a = w.doc_id
+"""
 QUERIES = {"op7_minhash_near_dedup": op7_minhash_near_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op7_minhash_near_dedup": SQL}

@@ -1,6 +1,7 @@
 """Mixing, top-k, substring and near dedup, toxicity."""
 
 import hashlib
+import math
 import zlib
 from itertools import combinations
 
@@ -297,11 +298,96 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     from gradeloom.llm import minhash
 
     monkeypatch.setattr(minhash, "BLOCK_TEXTS", 10)
+    monkeypatch.setattr(minhash, "ALL_PAIRS", 3)
     rows = documents(240, seed=5)
     got = {r.doc_id: tuple(r)[1:] for r in near_duplicates(frame(spark, rows)).collect()}
     assert got == brute_near(rows)
 
 
+def test_texts_that_share_a_key_only_are_not_tied(spark):
+    """A table key that 60 unlike texts share gives hubs, but no candidates; two families in it stay apart."""
+    from gradeloom.llm.minhash import candidates
+
+    rng = np.random.default_rng(0)
+    sign = lambda base, change: [int(x) if rng.random() > change else int(rng.integers(1 << 30)) for x in base]
+    one, two = (rng.integers(0, 1 << 30, 48) for _ in range(2))
+    signs = [(i, sign(one, 0.05)) for i in range(20)] + [(i, sign(two, 0.05)) for i in range(20, 40)] + [(i, sign(one, 1.0)) for i in range(40, 100)]
+    df = spark.createDataFrame(signs, "node long, signs array<int>")
+    hits = spark.createDataFrame([(7, i, 100) for i in range(100)], "key long, node long, n long")
+    got = candidates(hits, df).collect()
+    assert all((r.a < 20) == (r.b < 20) and max(r.a, r.b) < 40 for r in got)
+    for family in (range(20), range(20, 40)):
+        linked = {family[0]}
+        for _ in range(20):
+            linked |= {x for r in got for x in (r.a, r.b) if {r.a, r.b} & linked}
+        assert linked == set(family)
+    assert len(got) < 100  # hubs, not all pairs
+
+
+def test_chains_between_parts_are_found(spark, monkeypatch):
+    """A link between two texts of which neither is linked with the hub of their tables."""
+    from gradeloom.llm import minhash
+
+    monkeypatch.setattr(minhash, "ALL_PAIRS", 2)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(14):  # each text changes one word more: neighbours are linked, far ones aren't
+        w = list(words)
+        for k in range(i):
+            w[15 + 20 * k] = f"x{k}"
+        rows.append((i, " ".join(w), "", "", 0))
+    want = brute_near(rows)
+    assert len({c for _, c, _ in want.values()}) == 1
+    assert {r.doc_id: tuple(r)[1:] for r in near_duplicates(frame(spark, rows)).collect()} == want
+
+
+def test_near_duplicates_recall():
+    """Linked pairs of sf0.1, and of texts of sf0.1 with their copies changed down to 0.85: nearly all meet in a table and agree often enough."""
+    import pyarrow.parquet as pq
+
+    from gradeloom.llm import minhash
+    from gradeloom.llm.shingles import shingle_set
+
+    t = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist()
+    h, (a, b) = WordHashes(), minhash.hash_family(minhash.SIGNS)
+
+    def found(x: np.ndarray, y: np.ndarray) -> bool:
+        x, y = (minhash.signature(z, a, b) for z in (x, y))
+        same = (x == y)[: 4 * minhash.HALVES].reshape(2, minhash.HALVES, minhash.WIDTH).all(2)
+        return bool(same[0].any() and same[1].any() and (x == y).sum() >= minhash.AGREE)
+
+    sets = [x for x in {x.tobytes(): x for x in (shingle_set(minhash.words_of(x), h) for x in t)}.values() if len(x)]
+    size = np.array(list(map(len, sets)))
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    edge = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+    both = {}
+    for i, e in zip(edge.tolist(), np.append(edge[1:], len(flat)).tolist(), strict=True):
+        if e - i > 1:
+            for x, y in combinations(owner[i:e].tolist(), 2):
+                both[x, y] = both.get((x, y), 0) + 1
+    linked = [(x, y) for (x, y), n in both.items() if 100 * n >= 85 * (size[x] + size[y] - n)]
+    assert len(linked) > 10 and all(found(sets[x], sets[y]) for x, y in linked)
+
+    rng, seen = np.random.default_rng(0), []
+    for text in t:
+        words = minhash.words_of(text)
+        if len(words) < 100 or len(seen) >= 2000:
+            continue
+        one, two, last = shingle_set(words, h), None, list(words)
+        while True:
+            last[int(rng.integers(len(last)))] = b"changed%d" % rng.integers(1 << 30)
+            new = shingle_set(last, h)
+            n = len(np.intersect1d(one, new))
+            if 100 * n < 85 * (len(one) + len(new) - n):
+                break
+            two = new
+        if two is not None:
+            seen.append(found(one, two))
+    assert len(seen) > 1000 and np.mean(seen) >= 0.998
+
+
 def test_near_duplicate_edges(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     t = "one two three four five six"
@@ -339,6 +425,44 @@ def test_pu_learns_from_positive_and_unlabelled():
     assert np.isfinite(m.risks).all() and min(m.risks) >= 0
 
 
+def test_risk_and_its_gradient():
+    """Against risks summed text by text, and differences of them."""
+    from gradeloom.llm.toxicity import risk_and_step
+
+    rng = np.random.default_rng(0)
+    for prior, shift in ((0.1, 0.0), (0.6, -3.0), (0.9, -6.0)):
+        texts = [np.unique(rng.integers(0, 6, 3)) for _ in range(12)]
+        cols, own = np.concatenate(texts), np.repeat(np.arange(12), [*map(len, texts)])
+        theta = np.append(rng.normal(size=6), shift)
+
+        def parts(t):
+            g = [sum(t[x]) + t[-1] for x in texts]
+            loss = lambda x: math.log1p(math.exp(-x))
+            up, down = np.mean([loss(x) for x in g[:5]]), np.mean([loss(-x) for x in g[:5]])
+            return prior * up, np.mean([loss(-x) for x in g[5:]]) - prior * down
+
+        risk, step = risk_and_step(theta, cols, own, 5, 12, prior)
+        toxic, clean = parts(theta)
+        assert risk == pytest.approx(toxic + max(0, clean))
+        for i in range(7):
+            e = np.eye(7)[i] * 1e-6
+            (t1, c1), (t0, c0) = parts(theta + e), parts(theta - e)
+            want = (t1 + c1 - t0 - c0) / 2e-6 if clean >= 0 else -(c1 - c0) / 2e-6
+            assert step[i] == pytest.approx(want, abs=1e-6)
+    assert clean < 0  # the last one takes the step back
+
+
+def test_features_chosen_in_spark_are_those_of_numpy(spark):
+    from gradeloom.llm.toxicity import _chosen
+
+    rng = np.random.default_rng(0)
+    draw = lambda toxic: np.unique(np.append(rng.integers(20, 200, 20), rng.integers(0, 20, 4) if toxic else [500]))
+    positive, unlabelled = [draw(True) for _ in range(80)], [draw(i % 5 == 0) for i in range(300)]
+    rows = spark.createDataFrame([(1, x.tolist()) for x in positive] + [(0, x.tolist()) for x in unlabelled], "positive int, words array<long>")
+    model = NonNegativePU(least_z=3.0, most_features=12)
+    assert _chosen(rows, 80, 300, model).tolist() == model._choose(positive, unlabelled).tolist() != []
+
+
 def test_toxicity_held_out(spark):
     d, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     got = toxicity(d, labels).join(labels, "doc_id").where("held_out").collect()
