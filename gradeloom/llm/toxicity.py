@@ -7,23 +7,29 @@ stepped back, as the published method does. The classifier is logistic over the
 (three to five signs, so that inflected forms share evidence) and is trained in numpy by Adam on all drawn texts.
 
 What is learned from is bounded by parameters: at most ``most_positive`` confirmed toxic texts and
-``most_unlabelled`` texts of the training folds, drawn by a hash of the id; every one of them is used whole. Their
-features, as 64-bit hashes, go to the driver, which trains. The class prior is the share of toxic rows among all labelled rows of
+``most_unlabelled`` texts of the training folds, drawn by a hash of the id; every one of them is used whole. Spark counts their
+features, 64-bit hashes, by class and chooses among them; the driver gets the chosen ones, at most ``most_features``, and which of
+them each drawn text holds, and trains. Copies among the drawn texts count once. The class prior is the share of toxic rows among all labelled rows of
 the training folds. Features are those that stand in ``least_texts`` positive texts and whose shares in positive and unlabelled texts
 differ by ``least_z`` standard errors; the ``most_features`` clearest are kept. Scoring is a map over all
 texts, each seen whole: no shuffle.
 
 Labels are learned from rows outside the held-out fold only, and never scored with; lang, source and doc_id aren't inputs.
+
+Rows that repeat a doc_id are scored each by its own text, and take part in training with all their texts; labels that repeat one count as
+toxic if any is. Null ids and null labels aren't learned from. Without a toxic or an unlabelled text every score is that of the bias; null and empty
+texts always get it. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, kept_in_worker
+from .common import arrow_map, kept_in_worker, materialize
 
 STRIP = "".join(chr(b) for b in range(128) if not chr(b).isalnum())
 BEGINNINGS = (3, 4, 5)
@@ -53,6 +59,24 @@ def _drawn(rows: DataFrame, most: int) -> DataFrame:
     return rows.select("doc_id").orderBy(F.md5(F.concat(F.lit("pu:"), F.col("doc_id").cast("string"))), "doc_id").limit(most)
 
 
+def risk_and_step(theta: np.ndarray, cols: np.ndarray, own: np.ndarray, n_p: int, n: int, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk, and the gradient to step along: that of the risk, or of the clean part turned round where it is below 0.
+
+    Text ``own[i]`` of n, of which the first n_p are positive, holds feature ``cols[i]``; theta ends with the bias.
+    Logistic losses l(g) = log(1 + exp(-g)) and l(-g) = log(1 + exp(g)).
+    """
+    g = np.bincount(own, theta[cols], n) + theta[-1]
+    p, u, s = g[:n_p], g[n_p:], 1 / (1 + np.exp(-np.clip(g, -30, 30)))
+    clean = np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()
+    slope = np.concatenate([-prior * s[:n_p] / n_p, s[n_p:] / len(u)])
+    if clean < 0:
+        slope = -slope
+    else:
+        slope[:n_p] += prior * (s[:n_p] - 1) / n_p
+    risk = float(prior * np.logaddexp(0, -p).mean() + max(0.0, clean))
+    return risk, np.append(np.bincount(cols, slope[own], len(theta) - 1), slope.sum())
+
+
 class NonNegativePU:
     """``fit`` on sparse rows (arrays of feature numbers); ``table`` maps features to weights."""
 
@@ -76,31 +100,28 @@ class NonNegativePU:
         return np.sort(found[best[z[best] >= self.least_z]])
 
     def fit(self, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> NonNegativePU:
+        """From each text's sorted features."""
+        if not positive or not unlabelled:
+            return self
+        words = self._choose(positive, unlabelled)
+        place = lambda r: (lambda at: at[words[at] == r])(np.minimum(np.searchsorted(words, r), len(words) - 1)) if len(words) else np.empty(0, np.int64)
+        return self.learn(words, [*map(place, positive)], [*map(place, unlabelled)], prior)
+
+    def learn(self, words: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> NonNegativePU:
+        """From the chosen features, sorted, and the numbers of those that each text holds."""
         if not positive or not unlabelled or not 0 < prior < 1:
             return self  # nothing to learn from: every score is that of the bias
-        self.words, n_p = self._choose(positive, unlabelled), len(positive)
-        self.weights = np.zeros(len(self.words))
-        if not len(self.words):
+        self.words, self.weights = words, np.zeros(len(words))
+        if not len(words):
             return self
-        kept = []
-        for r in (*positive, *unlabelled):
-            at = np.minimum(np.searchsorted(self.words, r), len(self.words) - 1)
-            kept.append(at[self.words[at] == r])
-        theta, n = np.append(self.weights, self.bias), len(kept)
+        kept, n_p = [*positive, *unlabelled], len(positive)
+        theta = np.append(self.weights, self.bias)
         m, v = np.zeros_like(theta), np.zeros_like(theta)
-        cols, own = np.concatenate(kept), np.repeat(np.arange(n), np.fromiter(map(len, kept), np.int64, n))
+        cols, own = np.concatenate(kept), np.repeat(np.arange(len(kept)), np.fromiter(map(len, kept), np.int64, len(kept)))
         for t in range(1, self.steps + 1):
-            g = np.bincount(own, theta[cols], n) + theta[-1]
-            p, u, s = g[:n_p], g[n_p:], 1 / (1 + np.exp(-np.clip(g, -30, 30)))
-            # Logistic losses l(g) = log(1 + exp(-g)), l(-g) = log(1 + exp(g)), and their slopes in g.
-            negative = np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()
-            slope = np.concatenate([-prior * s[:n_p] / n_p, s[n_p:] / len(u)])
-            if negative < 0:
-                slope = -slope
-            else:
-                slope[:n_p] += prior * (s[:n_p] - 1) / n_p
-            self.risks.append(float(prior * np.logaddexp(0, -p).mean() + max(0.0, negative)))
-            grad = np.append(np.bincount(cols, slope[own], len(theta) - 1), slope.sum()) + self.decay * np.append(theta[:-1], 0)
+            risk, grad = risk_and_step(theta, cols, own, n_p, len(kept), prior)
+            self.risks.append(risk)
+            grad += self.decay * np.append(theta[:-1], 0)
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
             theta -= self.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         self.weights, self.bias = theta[:-1], float(theta[-1])
@@ -154,13 +175,40 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_un
     drawn = drawn.union(_drawn(ids.distinct(), most_unlabelled).withColumn("positive", F.lit(0)))
     drawn = F.broadcast(drawn)  # at most most_positive + most_unlabelled rows of two numbers
     texts = docs.select("doc_id", "text").join(drawn, "doc_id").select("doc_id", "positive", "text")
-    rows = arrow_map(texts.select("positive", "text"), "positive int, words array<long>", _features).toArrow()
-    label, lists = rows.column("positive").to_numpy(), rows.column("words").combine_chunks()
-    ends = np.cumsum(lists.value_lengths().to_numpy())
-    words = np.split(lists.flatten().to_numpy(), ends[:-1]) if len(ends) else []
-    order = sorted(range(len(words)), key=lambda i: (label[i], words[i].tobytes()))  # reruns agree whatever the order of partitions
-    pick = lambda one: list({words[i].tobytes(): words[i] for i in order if label[i] == one}.values())  # noqa: E731  copies count once
-    return model.fit(pick(1), pick(0), float(prior))
+    rows = arrow_map(texts.select("positive", "text"), "positive int, words array<long>", _features)
+    rows = materialize(rows.dropDuplicates(["positive", "words"]), "toxicity-drawn")
+    n = dict(map(tuple, rows.groupBy("positive").count().collect()))
+    if len(n) < 2:
+        return model.learn(np.empty(0, np.int64), [], [], float(prior))
+    words = _chosen(rows, n[1], n[0], model)
+    held = rows.mapInArrow(_places(docs.sparkSession.sparkContext.broadcast(words)), "positive int, at array<int>").toArrow()  # at most most_features numbers a drawn text
+    label, lists = held.column("positive").to_numpy(), held.column("at").combine_chunks()
+    at = np.split(lists.flatten().to_numpy().astype(np.int64), np.cumsum(lists.value_lengths().to_numpy())[:-1])
+    order = sorted(range(len(at)), key=lambda i: at[i].tobytes())  # reruns agree whatever the order of partitions
+    return model.learn(words, [at[i] for i in order if label[i]], [at[i] for i in order if not label[i]], float(prior))
+
+
+def _chosen(rows: DataFrame, n: int, m: int, model: NonNegativePU) -> np.ndarray:
+    """As ``NonNegativePU._choose``, counted in Spark: at most ``most_features`` numbers come to the driver."""
+    each = rows.select("positive", F.explode("words").alias("word")).groupBy("word").agg(F.sum("positive").alias("a"), F.sum(1 - F.col("positive")).alias("b")).where(F.col("a") >= model.least)
+    p = (F.col("a") + F.col("b") + 1) / float(n + m + 2)
+    z = F.abs(F.col("a") / float(n) - F.col("b") / float(m)) / F.sqrt(p * (1 - p) * (1 / n + 1 / m))
+    best = each.select("word", z.alias("z")).where(F.col("z") >= model.least_z).orderBy(F.col("z").desc(), "word").limit(model.most)
+    return np.sort(np.array([r.word for r in best.collect()], np.int64))
+
+
+def _places(words):
+    def run(batches):
+        for b in batches:
+            lists = b.column(1)
+            flat = lists.flatten().to_numpy()
+            at = np.minimum(np.searchsorted(words.value, flat), max(len(words.value) - 1, 0))
+            hit = words.value[at] == flat if len(words.value) else np.zeros(len(flat), bool)
+            own = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
+            ends = np.append(0, np.cumsum(np.bincount(own[hit], minlength=b.num_rows)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at[hit], pa.int32()))], names=["positive", "at"])
+
+    return run
 
 
 def score(docs: DataFrame, model: NonNegativePU, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -430,10 +430,10 @@ def test_risk_and_its_gradient():
     from gradeloom.llm.toxicity import risk_and_step
 
     rng = np.random.default_rng(0)
-    for prior, shift in ((0.1, 0.0), (0.6, -3.0), (0.9, -6.0)):
-        texts = [np.unique(rng.integers(0, 6, 3)) for _ in range(12)]
+    for prior, apart in ((0.1, False), (0.6, False), (0.5, True)):
+        texts = [np.unique(rng.integers(0, 3, 3) + 3 * (i >= 5)) if apart else np.unique(rng.integers(0, 6, 3)) for i in range(12)]
         cols, own = np.concatenate(texts), np.repeat(np.arange(12), [*map(len, texts)])
-        theta = np.append(rng.normal(size=6), shift)
+        theta = np.append([2.0, 3.0, 2.5, -2.0, -3.0, -2.5], 0.1) if apart else rng.normal(size=7)
 
         def parts(t):
             g = [sum(t[x]) + t[-1] for x in texts]
