@@ -21,7 +21,8 @@ def _rows(phrases, templates):
 
 
 def license_scan(docs, phrases=None, templates=None):
-    """One row per document. A null or empty text has no words, no labels and score 0. The score is the share of words inside license wording."""
+    """One row per row of ``docs``, whatever its id: null and repeated ids stay as they are. A null or empty text has no words, no labels and score 0; an
+    empty table gives no rows; texts of any length are scanned whole. The score is the share of words inside license wording."""
     return arrow_map(docs.select("doc_id", "text"), SCHEMA, _rows, phrases or BASE_PHRASES, templates or TEMPLATES)
 
 
