@@ -1,42 +1,59 @@
-"""Query op10_line_rules. Its base columns have SQL in the tests; whole-text windows are too slow for it on large tables."""
+"""Query op10_line_rules and its SQL."""
 
-from .common import arrow_map
-from .line_rules import judge
+from .common import arrow_map, kept_in_worker
+from .line_rules import BARS, CAPITAL, CODE, ENDS, LEAST_PLACES, LETTERS, MARKED, MENU, MOST_LINES, NOTICE, SENTENCE, judge, widespread_lines
 
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_words")
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, kept_words long"
 
 
-def _rows(args):
+def _rows(args, lines):
+    held = kept_in_worker(("lines", lines.value.tobytes()), lambda: set(lines.value.tolist()))
+
     def each(rows):
         out = []
         for doc_id, text in rows:
-            x = judge(text, **args)
+            x = judge(text, **args, widespread=held)
             out.append((doc_id, *(x[f] for f in FIELDS)))
         return out
 
     return each
 
 
-def line_rules(docs, **args):
-    """One row per document; null and empty texts have no words and fail."""
-    return arrow_map(docs.select("doc_id", "text"), SCHEMA, _rows, args)
+def line_rules(docs, least_places=LEAST_PLACES, **args):
+    """One row per row of ``docs``."""
+    lines = docs.sparkSession.sparkContext.broadcast(widespread_lines(docs, least_places))  # at most MOST_LINES numbers
+    return arrow_map(docs.select("doc_id", "text"), SCHEMA, _rows, args, lines)
 
 
 def op10_line_rules(spark, sf_dir):
     return line_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-SQL = r"""
-with w as (select doc_id, text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) w from documents),
-g as (select doc_id, i, list_slice(w, i, i + 7)::varchar g from (select doc_id, w, unnest(range(1, len(w) - 6)) i from w)),
-h as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) c from g) where c > 1),
-r as (select doc_id, count(distinct p)::bigint n from (select doc_id, unnest(range(i, i + 8)) p from h) group by 1),
-l as (select doc_id, unnest(string_split(text, chr(10))) line from documents),
-d as (select doc_id, sum(c - 1)::bigint n from (select doc_id, line, count(*) c from l where regexp_matches(line, '[^\x20\x09-\x0D]') group by all) group by 1)
-select w.doc_id, len(w)::bigint n_words, list_sum([length(x) for x in w] || [0])::bigint word_chars, len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]'))::bigint n_symbols,
-  coalesce(d.n, 0) n_dup_lines, coalesce(r.n, 0) n_repeat_words
-from w left join r using (doc_id) left join d using (doc_id)
+_Q = lambda x: "'" + x.replace("'", "''") + "'"
+_STRIP = r"regexp_replace({}, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
+_WORDS = r"[^\x20\x09-\x0D]+"
+SQL = rf"""
+with w as (select row_number() over () rid, doc_id, coalesce(text, '') text, coalesce(regexp_extract_all(text, '{_WORDS}'), []) w from documents),
+g as (select rid, i, list_slice(w, i, i + 7)::varchar g from (select rid, w, unnest(range(1, len(w) - 6)) i from w)),
+h as (select rid, i from (select *, count(*) over (partition by rid, g) c from g) where c > 1),
+r as (select rid, count(distinct p)::bigint n from (select rid, unnest(range(i, i + 8)) p from h) group by 1),
+l as (select rid, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) i from w),
+m as (select rid, i, line, {_STRIP.format("line")} bare, len(regexp_extract_all(line, '{_WORDS}')) k from l where regexp_matches(line, '[^\x20\x09-\x0D]')),
+d as (select rid, sum(c - 1)::bigint n from (select rid, line, count(*) c from m group by all) group by 1),
+a as (select *, lag(bare) over o before, lead(bare) over o after, row_number() over (partition by rid, bare order by i) nth from m window o as (partition by rid order by i)),
+p as (select bare, count(distinct (before, after)) places, count(*) texts from (select bare, coalesce(before, '') before, coalesce(after, '') after from a where nth = 1) group by 1),
+f as (select bare from p where places >= greatest({LEAST_PLACES}, (select ceil(sum(texts) / {MOST_LINES}) from p)) and 2 * places >= texts),
+t as (select rid, k, line, bare, translate(bare, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') low, list_filter(regexp_extract_all(bare, {_Q(LETTERS)}), lambda x: length(x) > 3) long from m),
+j as (select rid, k, 3 * len(regexp_extract_all(bare, {_Q(BARS)})) >= k or regexp_matches(low, {_Q(MENU)}) or bare in (select bare from f)
+  or (regexp_matches(low, {_Q(NOTICE)}) and 2 * coalesce(list_sum(list_transform(list_filter(regexp_extract_all(low, {_Q(SENTENCE)}), lambda x: regexp_matches(x, {_Q(NOTICE)})), lambda x: length(x))), 0) >= length(low))
+  or (k >= 5 and not contains({_Q(ENDS)}, right(bare, 1)) and not (regexp_matches(bare, {_Q(MARKED)}) or regexp_matches(line, {_Q(CODE)})
+    or (len(long) > 0 and len(list_filter(long, lambda x: regexp_matches(x, {_Q(CAPITAL)}))) = len(long)))) fails from t),
+s as (select rid, coalesce(sum(k) filter (not fails), 0)::bigint n from j group by 1),
+b as (select w.rid, doc_id, len(w)::bigint n_words, list_sum([length(x) for x in w] || [0])::bigint word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint n_symbols, coalesce(d.n, 0) n_dup_lines,
+  coalesce(r.n, 0) n_repeat_words, coalesce(s.n, 0) kept_words from w left join r using (rid) left join d using (rid) left join s using (rid))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed,
+  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and 2 * kept_words >= n_words kept, kept_words from b
 """
 QUERIES = {"op10_line_rules": op10_line_rules}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op10_line_rules": SQL}

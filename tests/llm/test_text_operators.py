@@ -244,25 +244,49 @@ def test_license_query(spark):
         assert got[doc_id].n_words == len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")))
 
 
-def test_line_rules_base_equals_sql(spark):
+def test_line_rules_equal_sql(spark):
     import duckdb
     import pandas as pd
 
-    rows = documents() + [(500, "same line here\nsame line here\n \nx #*$", "", "", 0), (501, "a b c d e f g h " * 5, "", "", 0)]
+    rows = documents() + [(500, "same line here\nsame line here\n \nx #*$", "", "", 0), (501, "a b c d e f g h " * 5, "", "", 0), (None, "one\ntwo", "", "", 0), (500, "again", "", "", 0)]
+    words = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    shapes = ["{}.\n{}", "- {}\n  {}", "{} = {}", "A | B | {}\n{}!", "{}. All rights reserved.\n{}", "Über uns\n{}\n{};", "Tous droits réservés {}. {}", "1.2 {}\n(a) {}", "{}”\n{}…", "Zzzzz Yyyyy\r\n{}\t{}\nHOME"]
+    rows += [(600 + i, shapes[i % len(shapes)].format(words(i, 3 + i % 30), words(-i, 12)) + "\nEvery page ends so: see below now\n", "", "", 0) for i in range(60)]
     documents_table = pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"])
+    documents_table["doc_id"] = documents_table["doc_id"].astype("Int64")
     con = duckdb.connect()
     con.register("documents", documents_table)
-    want = {r[0]: r[1:] for r in con.execute(SQL).fetchall()}
-    got = {r.doc_id: r for r in line_rules(frame(spark, rows)).collect()}
-    assert {k: tuple(got[k])[1:6] for k in got} == want
-    for r in got.values():
+    found = con.execute(SQL)
+    names = [x[0] for x in found.description]
+    want = sorted(found.fetchall(), key=repr)
+    got = line_rules(frame(spark, rows)).collect()
+    assert sorted((tuple(r[c] for c in names) for r in got), key=repr) == want
+    assert len({r.kept for r in got}) == 2
+    for r in got:
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
         assert not (r.base_failed and r.kept)
+    assert line_rules(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_widespread_lines_but_not_copies(spark):
+    words = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n)) + "."
+    footer, copied = "Shop hours are nine to five, see the map for how to get here.", "\n".join(words(f"c{j}", 9) for j in range(6))
+    pages = [(i, f"{words(i, 9)}\n{footer}\n{words(-i, 3)}\n{footer}", "", "", 0) for i in range(40)]
+    near = ["\n".join(words(f"n{j}" if j != i % 20 else f"n{j}y{i}", 9) for j in range(20)) for i in range(200)]  # each copy has one line of its own
+    rows = pages + [(100 + i, copied, "", "", 0) for i in range(300)] + [(1000 + i, t, "", "", 0) for i, t in enumerate(near)]
+    got = {r.doc_id: r for r in line_rules(frame(spark, rows)).collect()}
+    assert all(not got[i].kept and got[i].kept_words == 12 for i in range(40))
+    assert all(got[i].kept and got[i].kept_words == got[i].n_words for i in got if i >= 100)
+    from gradeloom.llm.line_rules import line_hash, widespread_lines
+
+    assert widespread_lines(frame(spark, rows)).tolist() == [line_hash(footer.encode())]
+    assert widespread_lines(frame(spark, rows), most_lines=3).tolist() == []  # the bound rises with the corpus
 
 
 def test_line_rules_method():
     assert line_fails(b"Home | About | Contact", 5) == "navigation"
     assert line_fails(b"Login", 1) == "navigation"
+    assert line_fails("Über uns".encode(), 2) == line_fails("« Précédent".encode(), 1) == "navigation"
     assert line_fails(b"All rights reserved.", 3) == "boilerplate"
     assert line_fails(b"w " * 40, 40) == "punctuation"
     assert line_fails(b"w " * 40 + b"end.", 41) is None
