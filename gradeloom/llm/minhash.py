@@ -7,9 +7,9 @@ a table with probability (1 - (1 - s ** width) ** halves) ** 2: with 7 and 2, 0.
 
 1. Texts with equal shingle sets form a class (a 128-bit digest of the set, pre-aggregated); only its smallest id goes on.
 2. Candidates come from the tables by minimum hashes alone. A table of up to ``ALL_PAIRS`` texts gives its pairs. In a larger one all texts are compared with a hub,
-   its smallest id: with ``NEAR`` or more of 48 equal minima (similarity 0.7, less chance) a text is tied to the hub, and with ``DONE`` or more (0.85)
-   it leaves the table, as whatever is linked with it has similarity 0.7 to the hub too. The rest meet two hubs, then
-   four, and so on until none is left, so that texts which merely share a table's key aren't tied together. No group gives all its pairs.
+   its smallest id. With ``NEAR`` or more of 48 equal minima a text is tied to the hub; with ``DONE`` or more it leaves the table, as all texts that have over
+   48 - (DONE - NEAR) minima in common with it are tied to the hub too (two of similarity 0.85 have so many with probability 0.999, and mostly meet in many tables).
+   The rest meet two hubs, then four, and so on until none is left, so that texts which merely share a table's key aren't tied together. No group gives all its pairs.
 3. Candidate pairs with ``AGREE`` or more equal minima (at 0.85 fewer are with probability below 1e-6) are compared on full sets: a hub against its texts, in blocks.
 4. Where texts are tied together but not all linked so far, those outside the largest linked part are compared with all the
    others on full sets, block by block, by a matrix product over the shingles that two texts share.
@@ -33,7 +33,7 @@ from .common import arrow_map, components, kept_in_worker, materialize
 from .shingles import WordHashes, shingle_set
 
 HALVES, WIDTH, SIGNS = 7, 2, 48
-NEAR, AGREE, DONE = 20, 26, 41
+NEAR, AGREE, DONE = 20, 26, 35
 ALL_PAIRS, BLOCK_TEXTS, BLOCK_SHINGLES = 8, 1024, 1 << 20
 
 
