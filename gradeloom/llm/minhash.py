@@ -7,9 +7,10 @@ a table with probability (1 - (1 - s ** width) ** halves) ** 2: with 7 and 2, 0.
 
 1. Texts with equal shingle sets form a class (a 128-bit digest of the set, pre-aggregated); only its smallest id goes on.
 2. Candidates come from the tables by minimum hashes alone. A table of up to ``ALL_PAIRS`` texts gives its pairs. In a larger one all texts are compared with a hub,
-   its smallest id. With ``NEAR`` or more of 48 equal minima a text is tied to the hub; with ``DONE`` or more it leaves the table, as all texts that have over
-   48 - (DONE - NEAR) minima in common with it are tied to the hub too (two of similarity 0.85 have so many with probability 0.999, and mostly meet in many tables).
-   The rest meet two hubs, then four, and so on until none is left, so that texts which merely share a table's key aren't tied together. No group gives all its pairs.
+   its smallest id. With ``NEAR`` or more of 48 equal minima a text is tied to the hub; with ``DONE`` or more it leaves the table: what is linked with it
+   shares 0.85 of those minima, and so is tied to the hub too, but for a chance of 0.0001 in each table where both stand. The rest of the table, texts that
+   share its key but little else with the hub, are compared with each other by their minima, block by block; only a spanning forest of the
+   pairs with ``AGREE`` or more equal minima, and each text's best partner, come out. No group gives all its pairs, and unlike texts aren't tied together.
 3. Candidate pairs with ``AGREE`` or more equal minima (at 0.85 fewer are with probability below 1e-6) are compared on full sets: a hub against its texts, in blocks.
 4. Where texts are tied together but not all linked so far, those outside the largest linked part are compared with all the
    others on full sets, block by block, by a matrix product over the shingles that two texts share.
@@ -33,8 +34,8 @@ from .common import arrow_map, components, kept_in_worker, materialize
 from .shingles import WordHashes, shingle_set
 
 HALVES, WIDTH, SIGNS = 7, 2, 48
-NEAR, AGREE, DONE = 20, 26, 35
-ALL_PAIRS, BLOCK_TEXTS, BLOCK_SHINGLES = 8, 1024, 1 << 20
+NEAR, AGREE, DONE = 19, 26, 32
+ALL_PAIRS, BLOCK_TEXTS, BLOCK_SHINGLES, BLOCK_SIGNS = 8, 1024, 1 << 20, 2048
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -166,27 +167,51 @@ def _agreeing(pairs: DataFrame, signs: DataFrame) -> DataFrame:
     return pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", agree.alias("agree"))
 
 
+def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Equal minima of all rows of x with all rows of y, by 16 bits of each: two others pass for equal once in 65,536."""
+    out = np.zeros((len(x), len(y)), np.uint8)
+    for a, b in zip(x.astype(np.uint16).T, y.astype(np.uint16).T, strict=True):
+        out += a[:, None] == b[None, :]
+    return out
+
+
+def _like(t: pa.Table) -> pa.Table:
+    """One cell of a table's rest: a forest of the pairs that agree, and best partners."""
+    t = t.take(pa.array(np.argsort(t.column("node").to_numpy(), kind="stable")))
+    node, own = t.column("node").to_numpy(), t.column("own").to_numpy()
+    signs = t.column("signs").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+    low, high = (t.column(c)[0].as_py() for c in ("low", "high"))
+    left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+    a = b = np.empty(0, np.int64)
+    if len(left) and len(right):
+        same = agreement(signs[left], signs[right])
+        same[left[:, None] == right[None, :]] = 0
+        label = forest(len(node), left, right, same >= AGREE)
+        at = np.flatnonzero(node[label] != node)
+        best = same.argmax(1)
+        fine = same[np.arange(len(left)), best] >= AGREE
+        a, b = np.append(node[label[at]], node[left[fine]]), np.append(node[at], node[right[best[fine]]])
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
+    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+
 def candidates(hits: DataFrame, signs: DataFrame) -> DataFrame:
     """(a, b, agree) of pairs that tables tie together. hits: (key, node, n), n texts in a table, at least two."""
     few = hits.where(F.col("n") <= ALL_PAIRS).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("v")).select("v").distinct()
     pairs = few.select(F.explode(F.flatten(F.transform("v", lambda x, i: F.transform(F.slice("v", i + 2, ALL_PAIRS), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
-    out = _agreeing(pairs.select("p.a", "p.b"), signs).where(F.col("agree") >= AGREE)
-    rest, hubs_each = hits.where(F.col("n") > ALL_PAIRS).select("key", "node"), 1
-    while not rest.isEmpty():
-        # A hub for each of some classes of a table's texts; the first round has one class, so that a group's tables mostly share their hub.
-        part = F.pmod(F.xxhash64("node", F.lit(hubs_each)), F.lit(hubs_each))
-        hubs = rest.groupBy("key", part.alias("part")).agg(F.min("node").alias("hub")).select("key", "hub")
-        met = rest.join(hubs, "key").select("key", "node", "hub")
-        pairs = met.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        told = materialize(_agreeing(pairs, signs), "near-hubs")
-        out = out.union(told.where(F.col("agree") >= NEAR))
-        # Left are texts that are no hub of their table and near enough to none.
-        gone = told.where(F.col("agree") >= DONE)
-        gone = met.join(gone.select(F.col("a").alias("node"), F.col("b").alias("hub")).union(gone.select(F.col("b").alias("node"), F.col("a").alias("hub"))), ["node", "hub"]).select("key", "node")
-        gone = gone.union(hubs.select("key", F.col("hub").alias("node")))
-        rest = materialize(rest.join(gone, ["key", "node"], "left_anti"), "near-rest")
-        hubs_each *= 2
-    return out
+    few = _agreeing(pairs.select("p.a", "p.b"), signs).where(F.col("agree") >= AGREE)
+
+    many = hits.where(F.col("n") > ALL_PAIRS).select("key", "node")
+    met = many.join(many.groupBy("key").agg(F.min("node").alias("hub")), "key").where("node <> hub")
+    told = materialize(_agreeing(met.select(F.col("hub").alias("a"), F.col("node").alias("b")), signs), "near-hubs")
+    gone = told.where(F.col("agree") >= DONE).select(F.col("a").alias("hub"), F.col("b").alias("node"))
+    rest = materialize(met.join(gone, ["hub", "node"], "left_anti").select("key", "node"), "near-rest")
+
+    blocks = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_SIGNS).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    cells = rest.join(blocks, "key").join(signs, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = cells.select("key", "node", "signs", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", "node", "signs", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    like = cells.groupBy("key", "low", "high").applyInArrow(_like, "a long, b long").distinct()
+    return few.union(told.where(F.col("agree") >= NEAR)).union(like.withColumn("agree", F.lit(AGREE)))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:

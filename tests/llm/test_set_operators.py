@@ -304,8 +304,10 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert got == brute_near(rows)
 
 
-def test_texts_that_share_a_key_only_are_not_tied(spark):
-    """A table key that 60 unlike texts share gives hubs, but no candidates; two families in it stay apart."""
+@pytest.mark.parametrize("blocks", [2048, 16])
+def test_texts_that_share_a_key_only_are_not_tied(spark, blocks, monkeypatch):
+    """A table key that 60 unlike texts share ties none of them; two families in it stay apart."""
+    from gradeloom.llm import minhash
     from gradeloom.llm.minhash import candidates
 
     rng = np.random.default_rng(0)
@@ -314,6 +316,7 @@ def test_texts_that_share_a_key_only_are_not_tied(spark):
     signs = [(i, sign(one, 0.05)) for i in range(20)] + [(i, sign(two, 0.05)) for i in range(20, 40)] + [(i, sign(one, 1.0)) for i in range(40, 100)]
     df = spark.createDataFrame(signs, "node long, signs array<int>")
     hits = spark.createDataFrame([(7, i, 100) for i in range(100)], "key long, node long, n long")
+    monkeypatch.setattr(minhash, "BLOCK_SIGNS", blocks)
     got = candidates(hits, df).collect()
     assert all((r.a < 20) == (r.b < 20) and max(r.a, r.b) < 40 for r in got)
     for family in (range(20), range(20, 40)):
@@ -321,7 +324,16 @@ def test_texts_that_share_a_key_only_are_not_tied(spark):
         for _ in range(20):
             linked |= {x for r in got for x in (r.a, r.b) if {r.a, r.b} & linked}
         assert linked == set(family)
-    assert len(got) < 100  # hubs, not all pairs
+    assert len(got) < (100 if blocks > 100 else 400)  # not all pairs of a family, which would be 380
+
+
+def test_agreement_of_signatures():
+    rng = np.random.default_rng(0)
+    x, y = rng.integers(-(1 << 31), 1 << 31, (9, 48), np.int32), rng.integers(-(1 << 31), 1 << 31, (7, 48), np.int32)
+    y[2, :30], y[5] = x[4, :30], x[8]
+    from gradeloom.llm.minhash import agreement
+
+    assert (agreement(x, y) == [[(a == b).sum() for b in y] for a in x]).all()
 
 
 def test_chains_between_parts_are_found(spark, monkeypatch):
