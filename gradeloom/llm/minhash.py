@@ -35,6 +35,8 @@ from .shingles import WordHashes, shingle_set
 
 HALVES, WIDTH, SIGNS = 7, 2, 48
 NEAR, AGREE, DONE = 19, 26, 32
+#: Ids of texts to be compared up to which they are broadcast: 64 MB.
+BROADCAST_IDS = 1 << 22
 ALL_PAIRS, BLOCK_TEXTS, BLOCK_SHINGLES, BLOCK_SIGNS = 8, 1024, 1 << 20, 2048
 
 
@@ -148,7 +150,9 @@ def _confirmed(text: DataFrame, cells: DataFrame, percent: int, size: int) -> Da
     """Links (a, b) between left and right texts of each cell. cells: (node, cell), a row for each cell of a node."""
     # A node twice in a cell is one row there.
     one = cells.select("node", "cell.*").groupBy("node", "comp", "i", "k").agg(F.max("is_left").alias("is_left"), F.max("is_right").alias("is_right"))
-    own = one.groupBy("node").agg(F.collect_list(F.struct("comp", "i", "k", "is_left", "is_right")).alias("cells"))
+    own = materialize(one.groupBy("node").agg(F.collect_list(F.struct("comp", "i", "k", "is_left", "is_right")).alias("cells")), "near-cells")
+    if own.count() <= BROADCAST_IDS:  # else all texts travel
+        text = text.join(F.broadcast(own.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
     found = text.join(own, text.doc_id == own.node).select("node", "cells", "text")
     found = arrow_map(found, f"node long, cells {CELL}, shingles array<long>", _sets, size)
     found = found.select("node", F.explode("cells").alias("cell"), "shingles").select("node", "cell.*", "shingles")
