@@ -125,3 +125,9 @@ def logical_words(text: Column, listed: list[str], mode: str = "substring") -> C
     marks = PUNCTUATION + "，。！？；：、（）【】《》“”‘’"
     plain = F.translate(low, marks, " " * len(marks))
     return F.size(F.filter(words(plain), lambda w: w.isin(*sorted(set(listed))))).cast("long")
+
+
+def logical_word_counts(text: Column, listed: list[str], mode: str = "substring") -> Column:
+    """The same word by word, as a map; words that don't occur have 0. Case variants of a word share its count as a token."""
+    words_ = [w for w in dict.fromkeys(listed) if w]
+    return F.create_map(*(x for w in words_ for x in (F.lit(w), logical_words(text, [w], mode))))

@@ -63,6 +63,16 @@ def polynomial(a: Column, b: Column, degree: int = 3, coef0: float = 1.0) -> Col
     return F.pow(dot(a, b) + coef0, F.lit(float(degree)))
 
 
+def renyi_entropy(p: Column, q: float = 1.0) -> Column:
+    """Of order q, in nats, of shares p: Shannon's for 1, -ln of the largest for infinity. Shares of 0 don't count."""
+    some = F.filter(p, lambda x: x > 0)
+    if q == 1:
+        return -total(F.transform(some, lambda x: x * F.log(x)))
+    if q == float("inf"):
+        return -F.log(F.array_max(some))
+    return F.log(total(F.transform(some, lambda x: F.pow(x, F.lit(float(q)))))) / (1 - q)
+
+
 SIMILARITIES = {"cosine": cosine_similarity, "euclidean": lambda a, b: 1 / (1 + euclidean(a, b)), "manhattan": lambda a, b: 1 / (1 + manhattan(a, b)), "dot_product": dot, "pearson": pearson}
 DISTANCES = {"euclidean": euclidean, "squared_euclidean": squared_euclidean, "manhattan": manhattan, "cosine": cosine_distance}
 KERNELS = {"rbf": rbf, "polynomial": polynomial, "linear": dot}

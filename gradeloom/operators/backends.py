@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import types as T
 
 #: Made once a task (a model loads once); then called with lists of texts, it gives a list of arrays of doubles for each.
 BackendFactory = Callable[[], Callable[[list[str]], list[list[float]]]]
@@ -14,7 +15,7 @@ BackendFactory = Callable[[], Callable[[list[str]], list[list[float]]]]
 
 def stub_factory(width: int = 6) -> BackendFactory:
     def make():
-        return lambda texts: [[((zlib.crc32(f"{i}:{t}".encode()) % 2001) - 1000) / 250.0 for i in range(width)] for t in texts]
+        return lambda texts: [[(int(hashlib.md5(f"{i}:{t}".encode()).hexdigest()[:4], 16) % 2001 - 1000) / 250.0 for i in range(width)] for t in texts]
 
     return make
 
@@ -30,3 +31,23 @@ def with_model(df: DataFrame, text: str, backend: BackendFactory, out: str = "mo
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model([x or "" for x in part.column(1).to_pylist()]), pa.list_(pa.float64()))], names=[id_col, out])
 
     return df.select(df[id_col].cast("string").alias(id_col), text).mapInArrow(run, f"{id_col} string, {out} array<double>")
+
+
+def append_model(df: DataFrame, text: Column, backend: Callable, out: str, kind: str = "array<double>", batch: int = 64) -> DataFrame:
+    """All columns of ``df`` and the backend's answers: a map without a join, so that many backends can follow each other. ``kind``: array<double>, or string for generated text."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    rows = df.withColumn(out, text)
+    fields = [*df.columns, out]
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T._parse_datatype_string(kind))])
+    last = to_arrow_schema(schema).field(out).type
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = backend()
+        for b in batches:
+            for k in range(0, b.num_rows, batch):
+                part = b.slice(k, batch)
+                answers = pa.array(model([x or "" for x in part.column(part.num_columns - 1).to_pylist()]), last)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], answers], names=fields)
+
+    return rows.mapInArrow(run, schema)

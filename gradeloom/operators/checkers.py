@@ -7,6 +7,16 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import SPACES
+
+#: A sign of a word in any script, as Python's regular expressions have it; Java's own class is ASCII only.
+W = r"[\p{L}\p{N}_]"
+
+
+def stripped(v: Column) -> Column:
+    """Without white space of any kind around it."""
+    return F.regexp_replace(v, rf"^[{SPACES}]+|[{SPACES}]+$", "")
+
 
 def _relation(n: Column, relation: str, k: int) -> Column:
     return n < k if relation == "less than" else n >= k
@@ -25,15 +35,15 @@ def _any(conditions: list[Column]) -> Column:
 
 
 def keywords(v, words):
-    return _all([v.rlike(f"(?i){w}") for w in words])
+    return _all([v.rlike(f"(?iu){w}") for w in words])
 
 
 def keyword_frequency(v, word, relation, k):
-    return _relation(_count(v, f"(?i){word}"), relation, k)
+    return _relation(_count(v, f"(?iu){word}"), relation, k)
 
 
 def forbidden(v, words):
-    return ~_any([v.rlike(rf"(?i)\b{w}\b") for w in words])
+    return ~_any([v.rlike(rf"(?iu)(?<!{W}){w}(?!{W})") for w in words])
 
 
 def letter_frequency(v, letter, relation, k):
@@ -47,22 +57,23 @@ def language(label, code):
 
 
 def sentences(v, relation, k):
+    """Runs that end in . ! or ? count; a stated stand-in for a trained sentence splitter."""
     return _relation(_count(v, r"[^.!?]+[.!?]+"), relation, k)
 
 
 def paragraphs(v, k):
-    parts = F.transform(F.split(v, r"\s?\*\*\*\s?"), lambda p: F.trim(p) != "")
+    parts = F.transform(F.split(v, r"\s?\*\*\*\s?"), lambda p: stripped(p) != "")
     inner = F.forall(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda x: x)
     return inner & (F.size(F.filter(parts, lambda x: x)) == k)
 
 
 def word_count(v, relation, k):
-    return _relation(_count(v, r"\w+"), relation, k)
+    return _relation(_count(v, f"{W}+"), relation, k)
 
 
 def paragraph_first_word(v, k, nth, word):
-    parts = F.filter(F.split(v, r"\n\n"), lambda p: F.trim(p) != "")
-    first = F.lower(F.regexp_extract(F.try_element_at(parts, F.lit(nth)), r"""^\s*['"]*([^\s.,?!'"]*)""", 1))
+    parts = F.filter(F.split(v, r"\n\n"), lambda p: stripped(p) != "")
+    first = F.lower(F.regexp_extract(stripped(F.try_element_at(parts, F.lit(nth))), r"""^\s*['"]*([^\s.,?!'"]*)""", 1))
     return (F.size(parts) == k) & F.coalesce(first == word.lower(), F.lit(False))
 
 
@@ -71,8 +82,8 @@ def placeholders(v, k):
 
 
 def postscript(v, marker="P.S."):
-    patterns = {"P.P.S": r"(?m)\s*p\.\s?p\.\s?s.*$", "P.S.": r"(?m)\s*p\.\s?s\..*$"}
-    return F.lower(v).rlike(patterns.get(marker, rf"(?m)\s*{marker.lower()}.*$"))
+    patterns = {"P.P.S": r"(?mU)\s*p\.\s?p\.\s?s.*$", "P.S.": r"(?mU)\s*p\.\s?s\..*$"}
+    return F.lower(v).rlike(patterns.get(marker, rf"(?mU)\s*{marker.lower()}.*$"))
 
 
 def bullets(v, k):
@@ -84,8 +95,8 @@ def constrained(v, options=("My answer is yes.", "My answer is no.", "My answer
 
 
 def highlights(v, k):
-    one = F.size(F.filter(F.regexp_extract_all(v, F.lit(r"\*([^\n\*]*)\*"), F.lit(1)), lambda x: F.trim(x) != ""))
-    two = F.size(F.filter(F.regexp_extract_all(v, F.lit(r"\*\*([^\n\*]*)\*\*"), F.lit(1)), lambda x: F.trim(x) != ""))
+    one = F.size(F.filter(F.regexp_extract_all(v, F.lit(r"\*([^\n\*]*)\*"), F.lit(1)), lambda x: stripped(x) != ""))
+    two = F.size(F.filter(F.regexp_extract_all(v, F.lit(r"\*\*([^\n\*]*)\*\*"), F.lit(1)), lambda x: stripped(x) != ""))
     return one + two >= k
 
 
@@ -94,36 +105,37 @@ def sections(v, splitter, k):
 
 
 def json_format(v):
-    body = F.regexp_replace(F.trim(v), r"(?i)^```(?:json)?\s*|\s*```$", "")
+    body = F.regexp_replace(stripped(v), r"(?i)^```(?:json)?\s*|\s*```$", "")
     return F.try_parse_json(body).isNotNull()
 
 
 def title(v):
-    return F.exists(F.regexp_extract_all(v, F.lit(r"<<([^\n]+)>>"), F.lit(1)), lambda x: F.trim(x) != "")
+    return F.exists(F.regexp_extract_all(v, F.lit(r"<<([^\n]+)>>"), F.lit(1)), lambda x: stripped(x) != "")
 
 
 def two_responses(v):
-    parts = F.transform(F.split(v, r"\*\*\*\*\*\*"), lambda p: F.trim(p))
+    parts = F.transform(F.split(v, r"\*\*\*\*\*\*"), lambda p: stripped(p))
     inner = F.forall(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda x: x != "")
     given = F.filter(parts, lambda x: x != "")
     return inner & (F.size(given) == 2) & (F.size(F.array_distinct(given)) == 2)
 
 
 def repeats_prompt(v, prompt):
-    return F.startswith(F.lower(F.trim(v)), F.lower(F.trim(prompt)))
+    return F.startswith(F.lower(stripped(v)), F.lower(stripped(prompt)))
 
 
 def ends_with(v, phrase):
-    return F.lower(F.regexp_replace(F.trim(v), r'^"+|"+$', "")).endswith(phrase.strip().lower())
+    return F.lower(F.regexp_replace(stripped(v), r'^"+|"+$', "")).endswith(phrase.strip().lower())
 
 
 def quoted(v):
-    t = F.trim(v)
+    t = stripped(v)
     return (F.length(t) > 1) & t.startswith('"') & t.endswith('"')
 
 
 def capital_words(v, relation, k):
-    return _relation(_count(v, r"\b[A-Z][A-Z0-9]*\b"), relation, k)
+    """Words (runs of letters and digits) with letters of which none is lower case."""
+    return _relation(F.size(F.filter(F.regexp_extract_all(v, F.lit(f"{W}+"), F.lit(0)), lambda w: w.rlike(r"\p{Lu}") & ~w.rlike(r"\p{Ll}"))), relation, k)
 
 
 def all_capitals(v, label):
@@ -139,7 +151,7 @@ def no_comma(v):
 
 
 def starts_some_line(v, starter):
-    return v.rlike(rf"(?m)^\s*{starter}.*$")
+    return v.rlike(rf"(?mU)^\s*{starter}.*$")
 
 
 def rephrased(v, original):
@@ -153,19 +165,19 @@ def key_sentences(v, listed, k):
 
 def word_overlap(v, original, low, high):
     """Distinct words in common, within bounds."""
-    a, b = (F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(r"\w+"), F.lit(0))) for x in (v, original))
+    a, b = (F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(f"{W}+"), F.lit(0))) for x in (v, original))
     return F.size(F.array_intersect(a, b)).between(low, high)
 
 
 def followed(v: Column, check, *args) -> Column:
-    return F.coalesce((F.trim(v) != "") & check(v, *args), F.lit(False))
+    return F.coalesce((stripped(v) != "") & check(v, *args), F.lit(False))
 
 
 def loose_variants(v: Column) -> Column:
     """With and without asterisks, first line, last line, and both lines."""
     lines = F.split(v, "\n")
     n = F.size(lines)
-    part = lambda a, k: F.trim(F.array_join(F.slice(lines, a, F.greatest(n - k, F.lit(0))), "\n"))
+    part = lambda a, k: stripped(F.array_join(F.slice(lines, a, F.greatest(n - k, F.lit(0))), "\n"))
     base = [v, part(2, 1), part(1, 1), part(2, 2)]
     return F.array(*base, *(F.replace(x, F.lit("*")) for x in base))
 

@@ -32,6 +32,17 @@ def merge_pointwise(scored: dict[str, DataFrame], id_col: str = "id") -> DataFra
     return rows.groupBy("id").agg(F.map_from_entries(entries).alias("scores"))
 
 
+def merge_records(scored: dict[str, DataFrame], id_col: str = "id") -> DataFrame:
+    """As ``merge_pointwise``, but what a scorer says of an id is kept whole (score, error, whatever else), as JSON."""
+    parts = []
+    for name, df in scored.items():
+        pos = F.col("pos") if "pos" in df.columns else F.lit(0)
+        rest = F.to_json(F.struct(*(c for c in df.columns if c not in (id_col, "pos"))))
+        parts.append(df.select(normalized_id(id_col).alias("id"), F.lit(name).alias("scorer"), pos.cast("long").alias("pos"), rest.alias("said")))
+    rows = reduce(DataFrame.union, parts).groupBy("id", "scorer").agg(F.max_by("said", "pos").alias("said"))
+    return rows.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("scorer", "said")))).alias("scores"))
+
+
 def merge_setwise(results: dict[str, DataFrame]) -> DataFrame:
     """One row per scorer with its result as JSON."""
     return reduce(DataFrame.union, (df.select(F.lit(n).alias("scorer"), F.to_json(F.struct(*df.columns)).alias("result")) for n, df in results.items()))
@@ -71,18 +82,31 @@ def attach_labels(records: DataFrame, labels: DataFrame, pos: str = "pos") -> Da
     return records.join(labels, pos)
 
 
+TOP_BINS = 4096
+
+
 def top_of_clusters(df: DataFrame, percent: float, cluster: str = "cluster_label", score: str = "score", pos: str = "pos", seed: int = 42) -> DataFrame:
     """Of each cluster the ceil(n * percent / 100) best scores, earlier rows first among equals; where all scores are equal, a draw by hash.
 
-    A cluster's size and extremes are pre-aggregated; only the ranking needs its rows together.
+    Sizes and extremes are pre-aggregated, and so is a histogram of each cluster's scores (ranks, where all are equal). Bins above the one that holds the last
+    place are taken whole; only the rows of that bin are ranked together, so a large cluster isn't ordered in one task.
     """
     s = F.coalesce(F.col(score).cast("double"), F.lit(0.0))
     stats = df.groupBy(cluster).agg(F.count("*").alias("_n"), F.min(s).alias("_low"), F.max(s).alias("_high"))
     rows = df.join(stats, df[cluster].eqNullSafe(stats[cluster])).drop(stats[cluster])
-    key = F.when(F.col("_low") == F.col("_high"), F.xxhash64(pos, F.lit(seed)).cast("double")).otherwise(-s)
-    k = F.ceil(F.col("_n") * percent / 100)
-    rank = F.row_number().over(W.partitionBy(cluster).orderBy(key, pos))
-    return rows.withColumn("_k", k).withColumn("_rank", rank).where("_rank <= _k").drop("_n", "_low", "_high", "_k", "_rank")
+    drawn = F.xxhash64(pos, F.lit(seed))
+    equal = F.col("_low") == F.col("_high")
+    key = F.when(equal, drawn.cast("double")).otherwise(-s)
+    share = F.when(equal, (drawn.cast("double") + float(1 << 63)) / float(1 << 64)).otherwise((F.col("_high") - s) / (F.col("_high") - F.col("_low")))
+    # Equal scores are in one bin, and better ones never in a later bin, whatever the rounding.
+    rows = rows.withColumn("_key", key).withColumn("_bin", F.least(F.floor(share * TOP_BINS), F.lit(TOP_BINS - 1)).cast("int")).withColumn("_k", F.ceil(F.col("_n") * percent / 100))
+    bins = rows.groupBy(cluster, "_bin", "_k").agg(F.count("*").alias("_size"))
+    upto = F.sum("_size").over(W.partitionBy(cluster).orderBy("_bin"))
+    cut = bins.select(cluster, "_k", "_bin", (upto - F.col("_size")).alias("_before"), upto.alias("_upto")).where("_before < _k and _upto >= _k").select(F.col(cluster).alias("_c"), F.col("_bin").alias("_cut"), "_before")
+    placed = rows.join(cut, rows[cluster].eqNullSafe(cut["_c"]))
+    above = placed.where("_bin < _cut").select(df.columns)
+    edge = placed.where("_bin = _cut").withColumn("_rank", F.row_number().over(W.partitionBy(cluster).orderBy("_key", pos)))
+    return above.union(edge.where("_rank <= _k - _before").select(df.columns))
 
 
 def list_mean(values: Column) -> Column:

@@ -48,16 +48,24 @@ def vocd_of(text: str, sample: int = 50, trials: int = 100, seed: int = 42) -> f
     words = [w for w in (x.translate(PUNCTUATION).lower() for x in text.split()) if w]
     if len(words) < sample:
         return 0.0
+    # A trial draws ``sample`` places without replacement; its first n of them are a sample of n. Types are counted at their first place.
     numbers = np.unique(words, return_inverse=True)[1]
     rng, sizes = np.random.default_rng(seed), np.arange(35, sample + 1)
-    shares = np.array([np.mean([len(np.unique(rng.choice(numbers, n, replace=False))) / n for _ in range(trials)]) for n in sizes])
+    drawn = numbers[np.stack([rng.choice(len(numbers), sample, replace=False) for _ in range(trials)])]
+    order = np.argsort(drawn, axis=1, kind="stable")
+    along = np.take_along_axis(drawn, order, 1)
+    new = np.ones_like(drawn, bool)
+    new[:, 1:] = along[:, 1:] != along[:, :-1]
+    first = np.empty_like(new)
+    np.put_along_axis(first, order, new, 1)
+    shares = first.cumsum(1)[:, sizes - 1].mean(0) / sizes
 
     def loss(d: float) -> float:
         return float(((d / sizes * (np.sqrt(1 + 2 * sizes / d) - 1) - shares) ** 2).sum())
 
     low, high, g = 1e-3, 2000.0, (math.sqrt(5) - 1) / 2
     a, b = math.log(low), math.log(high)
-    for _ in range(80):
+    for _ in range(50):
         c, d = b - g * (b - a), a + g * (b - a)
         a, b = (a, d) if loss(math.exp(c)) < loss(math.exp(d)) else (c, b)
     return math.exp((a + b) / 2)
@@ -172,12 +180,16 @@ def _trees(heads: pd.Series) -> pd.DataFrame:
 
 
 def lcs(a: list[str], b: list[str]) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence: a row of its table is one long integer, whose cleared bits are counted at the end."""
+    where: dict[str, int] = {}
+    for i, w in enumerate(a):
+        where[w] = where.get(w, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for w in b:
+        hit = row & where.get(w, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
 
 
 def rouge_of(gold: str, pred: str) -> tuple[float, float, float]:
@@ -194,6 +206,49 @@ def rouge_of(gold: str, pred: str) -> tuple[float, float, float]:
     return (*out, f(lcs(g, p), len(g), len(p)))
 
 
+def common_places(a: list[str], b: list[str]) -> dict[int, int]:
+    """One longest common subsequence: places of ``a`` and where they stand in ``b``."""
+    numbers = {w: k for k, w in enumerate(dict.fromkeys([*a, *b]))}
+    x, y = (np.fromiter((numbers[w] for w in t), np.int32, len(t)) for t in (a, b))
+    table = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    for i in range(1, len(a) + 1):
+        diagonal = np.where(y == x[i - 1], table[i - 1, :-1] + 1, 0)
+        table[i, 1:] = np.maximum.accumulate(np.maximum(table[i - 1, 1:], diagonal))
+    out, i, j = {}, len(a), len(b)
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            out[i - 1] = j - 1
+            i, j = i - 1, j - 1
+        elif table[i - 1, j] >= table[i, j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out
+
+
+def rouge_lsum_of(gold: str, pred: str) -> float:
+    """Over lines as sentences: places of each gold line in common with any predicted line, each word counted as often as both texts have it."""
+    g, p = ([re.findall(r"[a-z0-9]+", x.lower()) for x in t.split("\n")] for t in (gold, pred))
+    g, p = [x for x in g if x], [x for x in p if x]
+    left_g, left_p = Counter(w for x in g for w in x), Counter(w for x in p for w in x)
+    n, m, hits = sum(left_g.values()), sum(left_p.values()), 0
+    for x in g:
+        for i in sorted(set().union(*(common_places(x, y) for y in p))):
+            if left_g[x[i]] > 0 and left_p[x[i]] > 0:
+                hits, left_g[x[i]], left_p[x[i]] = hits + 1, left_g[x[i]] - 1, left_p[x[i]] - 1
+    return 2 * hits / (n + m) if hits else 0.0
+
+
+def novelty_of(source: str, summary: str, most: int = 3) -> list[float]:
+    """For n-grams of one to ``most`` words: the share of the summary's that the source lacks, and of those that the summary repeats."""
+    a, s = (re.findall(r"\w+", x.lower()) for x in (source, summary))
+    out = []
+    for n in range(1, most + 1):
+        have, own = set(zip(*(a[i:] for i in range(n)), strict=False)), Counter(zip(*(s[i:] for i in range(n)), strict=False))
+        out += [len(own.keys() - have) / len(own), sum(c > 1 for c in own.values()) / len(own)] if own else [0.0, 0.0]
+    return out
+
+
 def bleu_of(gold: str, pred: str, most: int = 4) -> float:
     """Sentence BLEU with one added to the counts of orders above 1."""
     g, p = gold.split(), pred.split()
@@ -210,12 +265,22 @@ def bleu_of(gold: str, pred: str, most: int = 4) -> float:
 
 
 def edit_distance(a: list[str], b: list[str]) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    """Insertions, deletions and exchanges: the vertical differences of a column of the table are two long integers."""
+    if not a or not b:
+        return len(a) + len(b)
+    where: dict[str, int] = {}
+    for i, w in enumerate(a):
+        where[w] = where.get(w, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, n = full, 0, len(a)
+    for w in b:
+        same = where.get(w, 0)
+        d0 = (((same & up) + up) ^ up) | same | down
+        plus, minus = down | full & ~(d0 | up), up & d0
+        n += bool(plus & last) - bool(minus & last)
+        plus, minus = (plus << 1 | 1) & full, minus << 1 & full
+        up, down = minus | full & ~(d0 | plus), plus & d0
+    return n
 
 
 def chrf_of(gold: str, pred: str, most: int = 6, beta: float = 2.0) -> float:
@@ -252,7 +317,7 @@ def extractive_of(source: str, summary: str) -> tuple[float, float, float]:
     return sum(pieces) / n, sum(x * x for x in pieces) / n, len(a) / n
 
 
-_OVERLAP = "rouge1 double, rouge2 double, rougeL double, bleu double, chrf double, edit_distance long, edit_similarity double, coverage double, density double, compression double"
+_OVERLAP = "rouge1 double, rouge2 double, rougeL double, rougeLsum double, bleu double, chrf double, edit_distance long, edit_similarity double, coverage double, density double, compression double, novel_1 double, repeated_1 double, novel_2 double, repeated_2 double, novel_3 double, repeated_3 double"
 
 
 def overlap(gold: Column, pred: Column) -> Column:
@@ -267,7 +332,7 @@ def _overlaps(gold: pd.Series, pred: pd.Series) -> pd.DataFrame:
         a, b = p.split(), g.split()
         b = b[: len(a)]
         d = edit_distance(a, b)
-        rows.append((*rouge_of(g, p), bleu_of(g, p), chrf_of(g, p), d, 1 - d / max(len(a), len(b), 1), *extractive_of(g, p)))
+        rows.append((*rouge_of(g, p), rouge_lsum_of(g, p), bleu_of(g, p), chrf_of(g, p), d, 1 - d / max(len(a), len(b), 1), *extractive_of(g, p), *novelty_of(g, p)))
     return pd.DataFrame(rows, columns=[x.split()[0] for x in _OVERLAP.split(", ")])
 
 
@@ -364,3 +429,31 @@ def drop_scores(gold: Column, pred: Column) -> Column:
 
 def _drops(gold: pd.Series, pred: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([drop_of(list(g), list(p)) for g, p in zip(gold, pred, strict=True)], columns=["em", "f1"])
+
+
+def singular_values(matrix: Column) -> Column:
+    """Of an array of rows, largest first; none of an empty matrix."""
+    return F.pandas_udf(_singular, "array<double>")(matrix)
+
+
+def _singular(matrices: pd.Series) -> pd.Series:
+    return pd.Series([np.linalg.svd(np.array([list(r) for r in m], float), compute_uv=False).tolist() if m is not None and len(m) and len(m[0]) else [] for m in matrices])
+
+
+def token_matching(candidate: Column, reference: Column) -> Column:
+    """precision, recall and f1 of greedy matching by cosine between the token embeddings (arrays of arrays) of a candidate and a reference."""
+    return F.pandas_udf(_matching, "precision double, recall double, f1 double")(candidate, reference)
+
+
+def _matching(candidate: pd.Series, reference: pd.Series) -> pd.DataFrame:
+    rows = []
+    for c, r in zip(candidate, reference, strict=True):
+        if c is None or r is None or not len(c) or not len(r):
+            rows.append((0.0, 0.0, 0.0))
+            continue
+        a, b = (np.array([list(x) for x in m], float) for m in (c, r))
+        a, b = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (a, b))
+        s = a @ b.T
+        p, q = float(s.max(1).mean()), float(s.max(0).mean())
+        rows.append((p, q, 2 * p * q / (p + q) if p + q > 0 else 0.0))
+    return pd.DataFrame(rows, columns=["precision", "recall", "f1"])

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import let
-from ..functions.vector import DISTANCES, centered, doubles, named, norm
+from ..functions.text import grams, let, ngrams, record_text
+from ..functions.vector import DISTANCES, SIMILARITIES, centered, doubles, named, norm
+from ..sources.records import with_positions
 from .grid import blocks_of, matrix, nearest, pair_cells, shared_table, similarities
 
 
@@ -17,9 +18,10 @@ def partition_entropy(df: DataFrame, cluster: str = "cluster_id", num_clusters:
     c = df.select(F.expr(f"try_cast({cluster} as int)").alias("c")).where("c is not null").groupBy("c").count()
     p = F.col("count") / F.col("n")
     total = c.agg(F.sum("count").alias("n"), F.count("*").alias("k"))
-    e = c.join(F.broadcast(total)).agg(F.coalesce(F.sum(-p * F.log(p)), F.lit(0.0)).alias("entropy"), F.coalesce(F.max("k"), F.lit(0)).alias("clusters"), F.coalesce(F.max("n"), F.lit(0)).alias("num_samples"))
+    listed = lambda v: F.map_from_entries(F.array_sort(F.collect_list(F.struct("c", v))))  # noqa: E731  a row per cluster
+    e = c.join(F.broadcast(total)).agg(F.coalesce(F.sum(-p * F.log(p)), F.lit(0.0)).alias("entropy"), F.coalesce(F.max("k"), F.lit(0)).alias("clusters"), F.coalesce(F.max("n"), F.lit(0)).alias("num_samples"), listed(F.col("count")).alias("counts"), listed(p.alias("p")).alias("probabilities"))
     most = F.log(F.lit(float(num_clusters))) if num_clusters else F.log(F.greatest("clusters", F.lit(1)).cast("double"))
-    return e.select("entropy", F.when(most > 0, F.col("entropy") / most).otherwise(1.0).alias("normalized_entropy"), most.alias("max_entropy"), "clusters", "num_samples")
+    return e.select("entropy", F.when(most > 0, F.col("entropy") / most).otherwise(1.0).alias("normalized_entropy"), most.alias("max_entropy"), "clusters", "num_samples", "counts", "probabilities")
 
 
 def radius(df: DataFrame, vector: str = "v") -> DataFrame:
@@ -45,6 +47,13 @@ def inertia_totals(by_cluster: DataFrame, n: int) -> DataFrame:
     return by_cluster.agg(F.sum("inertia").alias("total_inertia"), (F.sum("inertia") / n).alias("avg_inertia_per_sample"))
 
 
+def inertia_report(df: DataFrame, label: str = "label", metric: str = "squared_euclidean") -> DataFrame:
+    """Totals in one row: distances to the clusters' means, sizes and inertias by cluster (a row per cluster goes into the maps)."""
+    by = cluster_inertia(df, centroids(df, label=label), label=label, metric=metric)
+    entries = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(label).cast("string"), F.col(c)))))
+    return by.agg(F.sum("inertia").alias("total_inertia"), (F.sum("inertia") / F.sum("size")).alias("avg_inertia_per_sample"), entries("size").alias("cluster_sizes"), entries("inertia").alias("cluster_inertias"))
+
+
 def facility_location(rows: DataFrame, subset: DataFrame, metric: str = "euclidean") -> DataFrame:
     """Of all rows' distances to the nearest row of the subset: sum, mean, max, median, population deviation. Both: (id, v)."""
     d = nearest(rows, subset, 1, metric, exclude_self=False)
@@ -57,11 +66,14 @@ def knn_score(rows: DataFrame, k: int = 5, metric: str = "euclidean") -> DataFra
     return nearest(rows, rows, k, metric).groupBy(F.col("query_id").alias("id")).agg(F.avg("distance").alias("score"))
 
 
-def average_pair_similarity(rows: DataFrame, metric: str = "cosine", id_col: str = "id", vector: str = "v") -> DataFrame:
-    """Mean similarity of all pairs. Cosine, dot product and Pearson have closed forms over vector sums; the rest go block by block."""
+def average_pair_similarity(rows: DataFrame, metric: str = "cosine", id_col: str = "id", vector: str = "v", sample_pairs: int | None = None, seed: int = 42) -> DataFrame:
+    """Mean similarity of all pairs, or of ``sample_pairs`` of them if there are more. Cosine, dot product and Pearson of all pairs have closed forms over vector sums; the rest go block by block."""
     n = F.col("n")
     pairs = n * (n - 1) / 2
-    out = lambda s, p: [F.when(n > 1, s / p).when(n == 0, 0.0).alias("score"), n.alias("num_samples"), pairs.cast("long").alias("num_pairs"), F.lit(metric).alias("similarity_metric")]
+    if sample_pairs is not None and (count := rows.count()) * (count - 1) // 2 > sample_pairs:
+        s = _sampled(rows.withColumnRenamed(id_col, "id"), vector, named(SIMILARITIES, metric), sample_pairs, count, seed)
+        return s.select(*_pair_report(F.col("s"), n, pairs, F.col("k"), similarity_metric=F.lit(metric)))
+    out = lambda s, p: _pair_report(s, n, p, p, similarity_metric=F.lit(metric))
     if metric in ("cosine", "pearson", "dot_product"):
         v = doubles(F.col(vector))
         if metric == "pearson":
@@ -83,8 +95,11 @@ def average_pair_similarity(rows: DataFrame, metric: str = "cosine", id_col: str
     return cells.agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(*out(F.col("s"), pairs))
 
 
-def average_pair_jaccard(rows: DataFrame, id_col: str = "id", grams: str = "v") -> DataFrame:
-    """Mean Jaccard similarity of all pairs of gram sets (arrays of text); an empty set gives 0. Exact, block by block."""
+def average_pair_jaccard(rows: DataFrame, id_col: str = "id", grams: str = "v", sample_pairs: int | None = None, seed: int = 42) -> DataFrame:
+    """Mean Jaccard similarity of all pairs of gram sets (arrays of text), or of ``sample_pairs`` of them if there are more; an empty set gives 0. Exact, block by block."""
+    if sample_pairs is not None and (count := rows.count()) * (count - 1) // 2 > sample_pairs:
+        s = _sampled(rows.withColumnRenamed(id_col, "id"), grams, jaccard, sample_pairs, count, seed)
+        return s.select(*_pair_report(F.col("s"), F.col("n"), F.col("n") * (F.col("n") - 1) / 2, F.col("k")))
 
     def compare(t: pa.Table, other: pa.Table | None) -> dict:
         sets = [set(x) for x in t.column("v").to_pylist()]
@@ -110,7 +125,7 @@ def average_pair_jaccard(rows: DataFrame, id_col: str = "id", grams: str = "v")
 
     c = pair_cells(rows, id_col, grams, compare, "s double, n long").agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
-    return c.select(F.when(F.col("n") > 1, F.col("s") / pairs).when(F.col("n") == 0, 0.0).alias("score"), F.col("n").alias("num_samples"), pairs.cast("long").alias("num_pairs"))
+    return c.select(*_pair_report(F.col("s"), F.col("n"), pairs, pairs))
 
 
 def _minima(hashes: list[np.ndarray], num_perm: int) -> np.ndarray:
@@ -143,7 +158,7 @@ def minhash_pair_jaccard(rows: DataFrame, id_col: str = "id", grams: str = "v",
     c = signed.select(F.posexplode("low").alias("i", "x")).groupBy("i", "x").count().agg(F.coalesce(F.sum(F.col("count") * (F.col("count") - 1) / 2), F.lit(0.0)).alias("s"))
     c = rows.agg(F.count("*").alias("n")).join(F.broadcast(c))
     pairs = F.col("n") * (F.col("n") - 1) / 2
-    return c.select(F.when(F.col("n") > 1, F.col("s") / num_perm / pairs).alias("score"), F.col("n").alias("num_samples"), pairs.cast("long").alias("num_pairs"))
+    return c.select(*_pair_report(F.col("s") / num_perm, F.col("n"), pairs, pairs))
 
 
 GRAM_BLOCK = 1 << 17
@@ -229,48 +244,111 @@ def log_determinant(rows: DataFrame, vector: str = "v", ridge: float = 1e-6) ->
 
 
 def _slices(path: str):
-    """The parts of a table in the shared folder, one after the other: unit vectors and densities."""
+    """The parts of a table in the shared folder, one after the other, as unit vectors."""
     from pyarrow import fs, parquet
 
     store, at = fs.FileSystem.from_uri(path)
     for f in sorted(x.path for x in store.get_file_info(fs.FileSelector(at, recursive=True)) if x.path.endswith(".parquet")):
         with store.open_input_file(f) as opened:
-            for b in parquet.ParquetFile(opened).iter_batches(4096):
+            for b in parquet.ParquetFile(opened).iter_batches(4096, columns=["v"]):
                 if b.num_rows:
-                    yield _unit(matrix(pa.Table.from_batches([b]))), b.column("density").to_numpy()
+                    yield _unit(matrix(pa.Table.from_batches([b])))
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
     return m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-10)
 
 
-def novelty_sum(rows: DataFrame, k: int = 5, density_power: float = 0.5, distance_power: float = 1.0) -> DataFrame:
-    """Mean over rows of the density- and rank-weighted mean cosine distance to all rows. Exact at any number n of rows: a task goes over slices of the table in the shared folder and holds n weighted distances for each of a few rows, 64 MB or one row's."""
+def novelty_sum(rows: DataFrame, neighbors: tuple[int, ...] = (5, 10), density_powers: tuple[float, ...] = (0, 0.25, 0.5), distance_powers: tuple[float, ...] = (0, 1, 2)) -> DataFrame:
+    """One row: num_samples, cos_distance, and scores (neighbor_k_density_p_distance_q -> score) for all parameters, from one pass over all pairs.
+
+    A row's score is its density, to the power p, times the mean of its sorted cosine distances to all rows, itself included, weighted by 1 / rank ** q;
+    its density is 1 over the mean squared distance to the 2nd to (k + 1)th nearest distinct vector. Exact at any number n of rows:
+    a task goes over slices of the table in the shared folder and holds n distances for each of a few rows, 64 MB or one row's.
+    """
     distinct = rows.groupBy(doubles(F.col("v")).alias("v")).agg(F.min("id").alias("id"))
-    near = nearest(rows.select("id", "v"), distinct.select("id", "v"), k + 1, "squared_euclidean", exclude_self=False)
-    density = near.where(F.col("rank") > 1).groupBy(F.col("query_id").alias("id")).agg(F.pow(1 / (F.avg("distance") + 1e-9), F.lit(density_power)).alias("density"))
-    held, path = shared_table(rows.join(density, "id").select(doubles(F.col("v")).alias("v"), "density"), "novelty-sum")
+    near = nearest(rows.select("id", "v"), distinct.select("id", "v"), max(neighbors) + 1, "squared_euclidean", exclude_self=False)
+    mean = lambda k: F.avg(F.when(F.col("rank").between(2, k + 1), F.col("distance")))
+    density = near.groupBy(F.col("query_id").alias("id")).agg(*(mean(k).alias(f"near_{k}") for k in neighbors))
+    held, path = shared_table(rows.select("id", doubles(F.col("v")).alias("v")), "novelty-sum")
     n = held.count()
     at_once = max(1, (8 << 20) // max(n, 1))
 
     def part(batches):
-        weights = 1 / np.arange(1, n + 1) ** distance_power
+        weights = [1 / np.arange(1, n + 1) ** float(q) for q in distance_powers]
         for b in batches:
             for start in range(0, b.num_rows, at_once):
-                x = _unit(matrix(pa.Table.from_batches([b.slice(start, at_once)])))
-                weighted, total, at = np.empty((len(x), n)), np.zeros(len(x)), 0
-                for unit, w in _slices(path):
-                    d = 1 - x @ unit.T
-                    total += d.sum(1)
-                    weighted[:, at : at + len(w)] = d * w
-                    at += len(w)
+                some = b.slice(start, at_once)
+                x, d, at = _unit(matrix(pa.Table.from_batches([some]))), np.empty((some.num_rows, n)), 0
+                for unit in _slices(path):
+                    d[:, at : at + len(unit)] = 1 - x @ unit.T
+                    at += len(unit)
                 if at != n:
                     raise RuntimeError(f"{at} of {n} rows in {path}")
-                weighted.sort(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array((weighted @ weights) / weights.sum()), pa.array(total / n)], names=["score", "cosine"])
+                d.sort(axis=1)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(list(np.stack([d @ w / w.sum() for w in weights], 1)), pa.list_(pa.float64())), pa.array(d.mean(1))], names=["id", "means", "cosine"])
+
+    kind = dict(held.dtypes)["id"]
+    means = held.select("id", "v").repartition(max(12, blocks_of(n))).mapInArrow(part, f"id {kind}, means array<double>, cosine double")
+    out = means.join(density, "id", "left")
+    keys = [(k, p, i, q) for p in density_powers for k in neighbors for i, q in enumerate(distance_powers)]
+    power = lambda k, p: 1 / F.pow(F.coalesce(F.col(f"near_{k}"), F.lit(0.0)) + 1e-9, F.lit(float(p)))
+    scores = [x for k, p, i, q in keys for x in (F.lit(f"neighbor_{k}_density_{p}_distance_{q}"), F.avg(power(k, p) * F.get("means", F.lit(i))))]
+    return out.agg(F.count("*").alias("num_samples"), F.avg("cosine").alias("cos_distance"), F.create_map(*scores).alias("scores"))
+
+
+def sampled_pairs(spark: SparkSession, n: int, k: int, seed: int = 42) -> DataFrame:
+    """(i, j), i < j < n: k different ones of the n (n - 1) / 2 pairs, by a keyed permutation of the pairs' numbers. Nothing is drawn twice and no pairs are listed."""
+    total = n * (n - 1) // 2
+    half = max(1, -(-max(total - 1, 1).bit_length() // 2))
+    keys = np.random.default_rng(seed).integers(0, 1 << 63, 6, np.uint64)
+
+    def permuted(x: np.ndarray) -> np.ndarray:
+        low = np.uint64((1 << half) - 1)
+        left, right = x >> np.uint64(half), x & low
+        for key in keys:
+            h = (right ^ key) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+            left, right = right, left ^ (h >> np.uint64(32)) & low
+        return left << np.uint64(half) | right
+
+    def run(batches):
+        for b in batches:
+            q = permuted(b.column(0).to_numpy().astype(np.uint64))
+            while (out := q >= np.uint64(total)).any():  # back into range along the permutation's cycle
+                q[out] = permuted(q[out])
+            q = q.astype(np.int64)
+            j = ((1 + np.sqrt(1 + 8 * q.astype(np.float64))) / 2).astype(np.int64)
+            j += (j * (j + 1) // 2 <= q).astype(np.int64) - (j * (j - 1) // 2 > q).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(q - j * (j - 1) // 2), pa.array(j)], names=["i", "j"])
+
+    return spark.range(min(k, total)).mapInArrow(run, "i long, j long")
+
+
+def _sampled(rows: DataFrame, value: str, similarity, k: int, n: int, seed: int) -> DataFrame:
+    """s: sum of similarity over k sampled pairs, n rows, k."""
+    placed, _ = shared_table(with_positions(rows.select("id", F.col(value).alias("v")), ["id"]), "pair-sample")
+    pairs = sampled_pairs(rows.sparkSession, n, k, seed)
+    side = lambda c: placed.select(F.col("pos").alias(c), F.col("v").alias(f"v{c}"))
+    got = pairs.join(side("i"), "i").join(side("j"), "j")
+    return got.agg(F.coalesce(F.sum(similarity(F.col("vi"), F.col("vj"))), F.lit(0.0)).alias("s"), F.lit(n).cast("long").alias("n"), F.count("*").alias("k"))
+
+
+def _pair_report(s: Column, n: Column, pairs: Column, taken: Column, **more: Column) -> list[Column]:
+    return [F.when(n > 1, s / taken).when(n == 0, 0.0).alias("score"), n.alias("num_samples"), taken.cast("long").alias("num_pairs"), pairs.cast("long").alias("total_possible_pairs"), (taken < pairs).alias("is_sampled"), *(c.alias(k) for k, c in more.items())]
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    both = F.size(F.array_intersect(a, b))
+    union = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - both
+    return F.when(union > 0, both / union).otherwise(0.0)
+
 
-    out = held.select("v").repartition(max(12, blocks_of(n))).mapInArrow(part, "score double, cosine double")
-    return out.agg(F.avg("score").alias("novel_sum"), F.avg("cosine").alias("cos_distance"))
+def jaccard_of_records(records: DataFrame, n: int = 1, method: str = "direct", num_perm: int = 128, sample_pairs: int | None = None) -> DataFrame:
+    """Mean Jaccard similarity of the n-gram sets of records' texts (id, instruction, input, output)."""
+    grams_ = ngrams(grams(record_text()), n) if n > 1 else grams(record_text())
+    sets = records.select("id", F.array_distinct(grams_).alias("v"))
+    return minhash_pair_jaccard(sets, num_perm=num_perm) if method == "minhash" else average_pair_jaccard(sets, sample_pairs=sample_pairs)
 
 
 def kmeans(rows: DataFrame, k: int, vector: str = "v", seed: int = 42, max_iter: int = 20) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.merging import resume
-from .registry import POINTWISE, SETWISE
+from ..operators.merging import merge_pointwise, merge_setwise, resume
+from ..sources.records import write_jsonl
+from ..operators.backends import append_model
+from .registry import MODELS, POINTWISE, ROWS, SETWISE, model_text
 
 
 def _parse(text: str) -> dict:
@@ -96,7 +99,7 @@ class ScorePlan:
             p = dict(s)
             name = p.pop("name")
             alias = p.pop("alias", name)
-            if name not in POINTWISE and name not in SETWISE:
+            if not any(name in x for x in (POINTWISE, SETWISE, ROWS, MODELS)):
                 raise ValueError(f"unknown scorer {name!r}")
             if alias in seen:
                 raise ValueError(f"alias {alias!r} is used twice")
@@ -117,6 +120,37 @@ class ScorePlan:
         pairs = [x for a, c in self.columns().items() for x in (F.lit(a), c)]
         return records.select(id_col, F.create_map(*pairs).alias("scores"))
 
+    def model_scores(self, records: DataFrame, backends: Mapping[str, Callable], id_col: str = "id") -> DataFrame:
+        """id and a column per model scorer. ``backends``: alias or name -> what makes a backend in each task. All run in one pass over the records, without joins."""
+        df, out = records, []
+        for s in self.steps:
+            if s.name in MODELS:
+                model = MODELS[s.name]
+                df = append_model(df, model_text(model.texts, **s.params), backends.get(s.alias) or backends[s.name], f"_{s.alias}", model.kind)
+                out.append(model.score(F.col(f"_{s.alias}")).cast("double").alias(s.alias))
+        return df.select(id_col, *out)
+
+    def rows(self, vectors: DataFrame) -> dict[str, DataFrame]:
+        """(id, score) per scorer that needs the other rows too."""
+        return {s.alias: ROWS[s.name](vectors, **s.params) for s in self.steps if s.name in ROWS}
+
+    def run(self, records: DataFrame, out: str, vectors: DataFrame | None = None, backends: Mapping[str, Callable] | None = None, done: DataFrame | None = None) -> None:
+        """Writes ``pointwise_scores`` (id, scores) and ``setwise_scores`` (scorer, result) as JSON lines under ``out``. vectors: (id, v, ...), which set-wise and row scorers read."""
+        left = resume(records, done) if done is not None else records
+        parts = {}
+        names = [s.alias for s in self.steps if s.name in POINTWISE]
+        tables = [(self.score(left), names)] if names else []
+        if any(s.name in MODELS for s in self.steps):
+            tables.append((self.model_scores(left, backends or {}), [s.alias for s in self.steps if s.name in MODELS]))
+        for df, aliases in tables:
+            parts |= {a: df.select("id", F.col(a).alias("score")) for a in aliases}
+        parts |= self.rows(vectors) if vectors is not None else {}
+        if parts:
+            write_jsonl(merge_pointwise(parts), f"{out}/pointwise_scores")
+        sets = {s.alias: SETWISE[s.name](records if s.name == "apjs" else vectors, **s.params) for s in self.steps if s.name in SETWISE}
+        if sets:
+            write_jsonl(merge_setwise(sets), f"{out}/setwise_scores")
+
     def setwise(self, vectors: DataFrame) -> dict[str, DataFrame]:
         """A one-row table per set-wise scorer, over the whole set."""
         return {s.alias: SETWISE[s.name](vectors, **s.params) for s in self.steps if s.name in SETWISE}

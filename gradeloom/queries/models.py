@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import answers as A
 from ..functions import model_scores as P
+from ..functions import normalizers as N
 from ..operators import checkers as K
 from ..operators import judge as J
 from ..operators import pointwise_udf as U
 from ..operators.backends import stub_factory, with_model
-from .base import REC, query, records, rounded, table, vectors
+from .answers import quiz_sql
+from .base import REC, SPACES, query, records, rounded, table, vectors
 
 E = "e as (select vec_id id, embedding::double[] v, label, list_transform(embedding::double[], lambda x: abs(x)) nll from embeddings)"
 SOFT = "list_transform(v[1:6], lambda x: exp(x - list_max(v[1:6])))"
@@ -66,9 +68,9 @@ def generated_scores(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", P.parsed_level(raw).alias("level"), P.tag_count(raw).alias("tags"))
 
 
-@query()
+@query(f"with {REC} select id, (('0x' || substr(md5('0:' || output), 1, 4))::int % 2001 - 1000) / 250.0::double score from rec")
 def reward_model(spark, sf_dir):
-    """A reward or regression head: one number a text, from the stub backend."""
+    """How a backend is called, with a stub in a model's place: one number a text."""
     return with_model(records(spark, sf_dir), "output", stub_factory(1)).select("id", F.col("model_output")[0].alias("score"))
 
 
@@ -82,14 +84,11 @@ def _answers(spark, sf_dir):
 
 
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
-_NORM = r"""regexp_replace(regexp_replace(regexp_replace(translate(lower({}), '!"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~', ''), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"""
-
-
-@query(f"""with {G}, s as (select id, {_STRIP.format("output")} g, {_STRIP.format("pred")} p, {_NORM.format("output")} gn, {_NORM.format("pred")} pn from m)
+@query(f"""with {G}, s as (select id, {_STRIP.format("output")} g, {_STRIP.format("pred")} p, {quiz_sql("output")} gn, {quiz_sql("pred")} pn from m)
 select id, (p <> '' and p = g)::int::double em, (p <> '' and starts_with(p, g))::int::double prefix_em, (p <> '' and ends_with(p, g))::int::double suffix_em, (pn <> '' and pn = gn)::int::double quasi_em from s""")
 def exact_match(spark, sf_dir):
     g, p = F.col("golds"), F.col("preds")
-    return _answers(spark, sf_dir).select("id", A.exact_match(g, p).alias("em"), A.exact_match(g, p, "prefix").alias("prefix_em"), A.exact_match(g, p, "suffix").alias("suffix_em"), A.exact_match(g, p, "full", A.normalized).alias("quasi_em"))
+    return _answers(spark, sf_dir).select("id", A.exact_match(g, p).alias("em"), A.exact_match(g, p, "prefix").alias("prefix_em"), A.exact_match(g, p, "suffix").alias("suffix_em"), A.exact_match(g, p, "full", N.quiz).alias("quasi_em"))
 
 
 @query(f"""with {G}, s as (select id, list_distinct(list_filter(regexp_split_to_array(output, '\\s+'), lambda x: x <> '')) a, list_distinct(list_filter(regexp_split_to_array(pred, '\\s+'), lambda x: x <> '')) b from m)
@@ -153,9 +152,14 @@ def mean_stderr(spark, sf_dir):
     return A.mean_stderr(table(spark, sf_dir, "labels"), "quality").select(rounded(F.col("mean")).alias("mean"), rounded(F.col("stderr")).alias("stderr"))
 
 
-@query()
+_EDGES = " + ".join(f"(u > {e!r})::int" for e in A.poisson_edges())
+
+
+@query(f"""with r as (select quality v, k, md5('0:' || doc_id || ':' || k) m from labels cross join range(250) t(k) where quality is not null),
+u as (select v, 4 * k + j b, (('0x' || substr(m, 8 * j::int + 1, 8))::bigint + 0.5::double) / 4294967296::double u from r cross join range(4) s(j)), w as (select b, v, {_EDGES} w from u)
+select round(stddev_samp(x), 8) stderr from (select sum(w * v)::double / sum(w)::double x from w group by b)""")
 def bootstrap_stderr(spark, sf_dir):
-    return A.bootstrap_stderr(table(spark, sf_dir, "labels"), "quality", "doc_id", 1000)
+    return A.bootstrap_stderr(table(spark, sf_dir, "labels"), "quality", "doc_id", 1000).select(rounded(F.col("stderr"), 8).alias("stderr"))
 
 
 @query()
@@ -169,46 +173,85 @@ def drop_metrics(spark, sf_dir):
     return records(spark, sf_dir).select("id", U.drop_scores(F.split("instruction", " "), F.split("output", " ")).alias("z")).select("id", "z.*")
 
 
+_W = r"[\p{L}\p{N}_]"
+_S = rf"[{SPACES}]"
+_TRIM = lambda x: f"regexp_replace({x}, '^{_S}+|{_S}+$', '', 'g')"
+_V = _TRIM("v")
+#: name -> check, arguments, SQL over v (the response), p (the prompt), t (v without white space around it)
 _CHECKS = {
     "keywords": (K.keywords, (["the", "is"],), "regexp_matches(v, '(?i)the') and regexp_matches(v, '(?i)is')"),
     "keyword_frequency": (K.keyword_frequency, ("the", "at least", 3), "len(regexp_extract_all(v, '(?i)the')) >= 3"),
-    "forbidden": (K.forbidden, (["idiot", "of"],), r"not regexp_matches(v, '(?i)\bidiot\b') and not regexp_matches(v, '(?i)\bof\b')"),
+    "forbidden": (K.forbidden, (["idiot", "of", "été"],), " and ".join(f"not regexp_matches(v, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_]){w}(?:$|[^\\p{{L}}\\p{{N}}_])')" for w in ("idiot", "of", "été"))),
     "letter_frequency": (K.letter_frequency, ("e", "less than", 40), "length(lower(v)) - length(replace(lower(v), 'e', '')) < 40"),
     "sentences": (K.sentences, ("at least", 3), "len(regexp_extract_all(v, '[^.!?]+[.!?]+')) >= 3"),
-    "paragraphs": (K.paragraphs, (1,), None),
-    "words": (K.word_count, ("less than", 50), r"len(regexp_extract_all(v, '\w+')) < 50"),
+    "words": (K.word_count, ("less than", 50), f"len(regexp_extract_all(v, '{_W}+')) < 50"),
     "placeholders": (K.placeholders, (1,), r"len(regexp_extract_all(v, '\[.*?\]')) >= 1"),
-    "postscript": (K.postscript, (), r"regexp_matches(lower(v), '(?m)\s*p\.\s?s\..*$')"),
+    "postscript": (K.postscript, (), rf"regexp_matches(lower(v), '(?m){_S}*p\.{_S}?s\..*$')"),
     "bullets": (K.bullets, (0,), r"len(regexp_extract_all(v, '(?m)^\s*\*[^\*].*$')) + len(regexp_extract_all(v, '(?m)^\s*-.*$')) = 0"),
     "constrained": (K.constrained, (), "contains(v, 'My answer is yes.') or contains(v, 'My answer is no.') or contains(v, 'My answer is maybe.')"),
-    "highlights": (K.highlights, (1,), None),
-    "sections": (K.sections, ("Section", 1), None),
-    "json": (K.json_format, (), None),
-    "title": (K.title, (), r"len(regexp_extract_all(v, '<<[^\n]*[^\s][^\n]*>>')) > 0"),
-    "two_responses": (K.two_responses, (), None),
-    "ends_with": (K.ends_with, ("the.",), """ends_with(lower(regexp_replace(trim(v), '^"+|"+$', '', 'g')), 'the.')"""),
-    "quoted": (K.quoted, (), """length(trim(v)) > 1 and starts_with(trim(v), '"') and ends_with(trim(v), '"')"""),
-    "capital_words": (K.capital_words, ("less than", 2), r"len(regexp_extract_all(v, '\b[A-Z][A-Z0-9]*\b')) < 2"),
+    "title": (K.title, (), f"len(list_filter(regexp_extract_all(v, '<<([^\\n]+)>>', 1), lambda x: {_TRIM('x')} <> '')) > 0"),
+    "ends_with": (K.ends_with, ("the.",), """ends_with(lower(regexp_replace(t, '^"+|"+$', '', 'g')), 'the.')"""),
+    "quoted": (K.quoted, (), """length(t) > 1 and starts_with(t, '"') and ends_with(t, '"')"""),
+    "capital_words": (K.capital_words, ("less than", 2), rf"len(list_filter(regexp_extract_all(v, '{_W}+'), lambda x: regexp_matches(x, '\p{{Lu}}') and not regexp_matches(x, '\p{{Ll}}'))) < 2"),
     "no_comma": (K.no_comma, (), "not contains(v, ',')"),
-    "starts_some_line": (K.starts_some_line, ("The",), r"regexp_matches(v, '(?m)^\s*The.*$')"),
+    "starts_some_line": (K.starts_some_line, ("The",), rf"regexp_matches(v, '(?m)^{_S}*The.*$')"),
     "key_sentences": (K.key_sentences, (["the", "of"], 2), "contains(v, 'the') and contains(v, 'of')"),
+    "paragraphs": (K.paragraphs, (1,), rf"len(list_filter(q, lambda x: x <> '')) = 1 and len(list_filter(q[2:-2], lambda x: x = '')) = 0".replace("q", rf"list_transform(regexp_split_to_array(v, '\s?\*\*\*\s?'), lambda y: {_TRIM('y')})")),
+    "highlights": (K.highlights, (1,), rf"len(list_filter(regexp_extract_all(v, '\*([^\n\*]*)\*', 1), lambda x: {_TRIM('x')} <> '')) + len(list_filter(regexp_extract_all(v, '\*\*([^\n\*]*)\*\*', 1), lambda x: {_TRIM('x')} <> '')) >= 1"),
+    "sections": (K.sections, ("Section", 1), r"len(regexp_split_to_array(v, '\s?Section\s?\d+\s?')) - 1 >= 1"),
+    "json": (K.json_format, (), r"json_valid(regexp_replace(t, '(?i)^```(?:json)?\s*|\s*```$', '', 'g'))"),
+    "two_responses": (K.two_responses, (), rf"len(list_filter(q, lambda x: x <> '')) = 2 and len(list_distinct(list_filter(q, lambda x: x <> ''))) = 2 and len(list_filter(q[2:-2], lambda x: x = '')) = 0".replace("q", rf"list_transform(string_split(v, '******'), lambda y: {_TRIM('y')})")),
 }
-_IN_SQL = {k: x for k, x in _CHECKS.items() if x[2]}
+#: Checks that also see the prompt or a language label.
+_MORE = {
+    "repeats_prompt": (lambda v, p, en: K.repeats_prompt(v, p), f"starts_with(lower(t), lower({_TRIM('p')}))"),
+    "all_capitals": (lambda v, p, en: K.all_capitals(v, en), r"v = upper(v) and regexp_matches(v, '\p{Lu}')"),
+    "all_lower": (lambda v, p, en: K.all_lower(v, en), r"v = lower(v) and regexp_matches(v, '\p{Ll}')"),
+    "first_word": (lambda v, p, en: K.paragraph_first_word(v, 1, 1, "the"), rf"""len(q) = 1 and lower(regexp_extract(q[1], '^\s*[''"]*([^\s.,?!''"]*)', 1)) = 'the'""".replace("q", rf"list_filter(string_split(v, chr(10) || chr(10)), lambda y: {_TRIM('y')} <> '')")),
+    "rephrased": (lambda v, p, en: K.rephrased(v, p), r"regexp_replace(v, '\*[^*]*\*', '', 'g') = regexp_replace(p, '\*[^*]*\*', '', 'g')"),
+    "word_overlap": (lambda v, p, en: K.word_overlap(v, p, 1, 50), f"len(list_intersect(list_distinct(regexp_extract_all(lower(v), '{_W}+')), list_distinct(regexp_extract_all(lower(p), '{_W}+')))) between 1 and 50"),
+    "language": (lambda v, p, en: K.language(en, "en"), "true"),
+}
+#: Responses with ends that ASCII rules misread: white space of other kinds, letters of other scripts, marks that checks look for.
+_ENDS = ["", "\n", "\n\t　", "\n漢字かな the.\n", "\n***\nmore", "******other", " *bright* <<Title>> [x]", "\nP.S. été"]
+_ADD = "[" + ", ".join("'" + x.replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'" for x in _ENDS) + "]"
+_RESPONSES = f"r as (select id, instruction p, case when length(output) % 9 = 8 then chr(10) || chr(9) when length(output) % 11 = 1 then '{{\"a\": [1, 2]}}' || chr(10) else output || {_ADD}[(length(output) % 8 + 1)::int] end v from rec), w as (select *, {_V} t from r)"
+
 
+def _responses(spark, sf_dir):
+    n, o = F.length("output"), F.col("output")
+    v = F.when(n % 9 == 8, "\n\t").when(n % 11 == 1, '{"a": [1, 2]}\n').otherwise(F.concat(o, F.element_at(F.array(*map(F.lit, _ENDS)), (n % 8 + 1).cast("int"))))
+    return records(spark, sf_dir).select("id", F.col("instruction").alias("p"), v.alias("v"))
 
-@query(f"with {REC} select id, " + ", ".join(f"(trim(v) <> '' and ({s})) \"{k}\"" for k, (_, _, s) in _IN_SQL.items()) + " from (select id, output v from rec)")
+
+@query(f"with {REC}, {_RESPONSES} select id, " + ", ".join(f"(t <> '' and ({s})) \"{k}\"" for k, (_, _, s) in _CHECKS.items()) + " from w")
 def ifeval_checks(spark, sf_dir):
-    return records(spark, sf_dir).select("id", *(K.followed(F.col("output"), f, *a).alias(k) for k, (f, a, _) in _IN_SQL.items()))
+    return _responses(spark, sf_dir).select("id", *(K.followed(F.col("v"), f, *a).alias(k) for k, (f, a, _) in _CHECKS.items()))
 
 
-@query()
+@query(f"with {REC}, {_RESPONSES} select id, " + ", ".join(f"(t <> '' and ({s})) \"{k}\"" for k, (_, s) in _MORE.items()) + " from w")
 def ifeval_more(spark, sf_dir):
-    """Checks without SQL, strict and loose, and whether all of them hold."""
-    more = {k: x for k, x in _CHECKS.items() if not x[2]}
-    v, p, en = F.col("output"), F.col("instruction"), F.lit("en")
-    strict = {k: K.followed(v, f, *a) for k, (f, a, _) in more.items()} | {"repeats_prompt": K.followed(v, K.repeats_prompt, p), "all_capitals": K.followed(v, K.all_capitals, en), "all_lower": K.followed(v, K.all_lower, en), "first_word": K.followed(v, K.paragraph_first_word, 1, 1, "the"), "rephrased": K.followed(v, K.rephrased, p), "word_overlap": K.followed(v, K.word_overlap, p, 1, 50), "language": K.followed(v, lambda x: K.language(F.lit("en"), "en"))}
-    loose = F.forall(F.array(*(K.followed_loosely(v, f, *a) for f, a, _ in more.values())), lambda x: x)
-    return records(spark, sf_dir).select("id", *(c.alias(k) for k, c in strict.items()), loose.alias("all_loose"))
+    """Checks that see the prompt or a label too."""
+    p, en = F.col("p"), F.lit("en")
+    return _responses(spark, sf_dir).select("id", *(K.followed(F.col("v"), f, p, en).alias(k) for k, (f, _) in _MORE.items()))
+
+
+_LOOSE = ["no_comma", "words", "ends_with", "quoted"]
+
+
+def _loose_sql() -> str:
+    lines = "string_split(v, chr(10))"
+    part = lambda a, e: _TRIM(f"array_to_string({lines}[{a}:{e}], chr(10))")
+    base = ["v", part(2, f"len({lines})"), part(1, f"len({lines}) - 1"), part(2, f"len({lines}) - 1")]
+    made = f"select id, unnest([{', '.join([*base, *(f'replace({x}, chr(42), {chr(39) * 2})' for x in base)])}]) v from r"
+    each = ", ".join(f"bool_or(t <> '' and ({_CHECKS[k][2]})) \"{k}\"" for k in _LOOSE)
+    return f"with {REC}, {_RESPONSES}, x as ({made}), y as (select *, {_V} t from x) select id, {each} from y group by id"
+
+
+@query(_loose_sql())
+def ifeval_loose(spark, sf_dir):
+    """Some checks with any of eight variants of the response."""
+    return _responses(spark, sf_dir).select("id", *(K.followed_loosely(F.col("v"), _CHECKS[k][0], *_CHECKS[k][1]).alias(k) for k in _LOOSE))
 
 
 PROMPTS = [("Q", "All", 'Rate: {instruction}\n{"Clarity": <score_integer>, "Difficulty": <score_integer>}'), ("QA", "All", 'Rate: {instruction} / {output}\n{"Relevance": <score_integer>}'), ("Q", "Clarity", 'Rate: {instruction}\n{"score": , "reason": }')]

@@ -104,9 +104,9 @@ def token_scores(spark, sf_dir):
     return records(spark, sf_dir).select("id", z.alias("z")).select("id", F.col("z.length").alias("token_length"), F.col("z.entropy").alias("token_entropy"), F.col("z.unique_share").alias("unique_ntoken"))
 
 
-@query()
+@query(f"""with {REC}, w as (select id, len(regexp_extract_all({T2}, '{WORD}')) n from rec) select id, n::int nodes, case when n > 0 then floor(log2(n))::int + 1 else 0 end::int depth from w""")
 def tree_stats(spark, sf_dir):
-    """Tree size and depth of a stand-in parse: each word's parent is the one at half its position."""
+    """Size and depth of trees from parent positions. No parser runs here: each word's parent is the one at half its position, which gives depths a closed form."""
     w = T.words(T.field_text())
     heads = F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.when(i == 0, -1).otherwise(F.floor((i - 1) / 2)).cast("int"))).otherwise(F.array().cast("array<int>"))
     return records(spark, sf_dir).select("id", U.tree_stats(heads).alias("z")).select("id", "z.nodes", "z.depth")

@@ -1,6 +1,6 @@
 """All queries of this library's own operators."""
 
-from . import models, pointwise, setwise  # noqa: F401  they register themselves
+from . import answers, models, pointwise, setwise, texts  # noqa: F401  they register themselves
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -13,15 +13,15 @@ from .base import GRAM, query, rounded, table, vectors
 V = "v as (select vec_id id, embedding::double[] v, label from embeddings)"
 EUCLID = "sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
 MANHATTAN = "list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2])))"
-_APS = {"cosine": "list_cosine_similarity(a.v, b.v)", "euclidean": f"1 / (1 + {EUCLID})", "manhattan": f"1 / (1 + {MANHATTAN})", "dot_product": "list_dot_product(a.v, b.v)"}
+_APS = {"cosine": "list_cosine_similarity(a.v, b.v)", "euclidean": f"1 / (1 + {EUCLID})", "manhattan": f"1 / (1 + {MANHATTAN})", "dot_product": "list_dot_product(a.v, b.v)", "pearson": "list_cosine_similarity(x.c, y.c)"}
 
 
 def _aps(metric: str):
     def f(spark, sf_dir):
-        return S.average_pair_similarity(vectors(spark, sf_dir), metric).select(rounded(F.col("score")).alias("score"), "num_samples", "num_pairs")
+        return S.average_pair_similarity(vectors(spark, sf_dir), metric).select(rounded(F.col("score")).alias("score"), "num_samples", "num_pairs", "total_possible_pairs", "is_sampled")
 
     f.__name__ = f"aps_{metric}"
-    sql = f"with {V} select round(avg({_APS[metric]}), 6) score, (select count(*) from v) num_samples, count(*) num_pairs from v a join v b on a.id < b.id" if metric in _APS else None
+    sql = f"with {V}, c as (select id, list_transform(v, lambda x: x - list_avg(v)) c from v) select round(avg({_APS[metric]}), 6) score, (select count(*) from v) num_samples, count(*) num_pairs, count(*) total_possible_pairs, false is_sampled from v a join v b on a.id < b.id join c x on x.id = a.id join c y on y.id = b.id"
     return query(sql)(f)
 
 
@@ -80,9 +80,29 @@ def facility_location(spark, sf_dir):
     return f.select(*(rounded(F.col(c), 5 if c.startswith("fac") else 6).alias(c) for c in f.columns))
 
 
-@query()
+def _novel_sum_sql() -> str:
+    keys = [(k, p, q) for p in (0, 0.25, 0.5) for k in (5, 10) for q in (0, 1, 2)]
+    rows = ", ".join(f"('neighbor_{k}_density_{p}_distance_{q}', {k}, {p}, {q})" for k, p, q in keys)
+    return f"""with {V}, u as (select v from v group by v), s as (select id, d, row_number() over (partition by id order by d) k from (select a.id, {EUCLID} * {EUCLID} d from v a cross join u b)),
+n as (select id, avg(d) filter (k between 2 and 6) n5, avg(d) filter (k between 2 and 11) n10 from s group by 1),
+l as (select id, v, sqrt(list_dot_product(v, v)) + 1e-10 l from v),
+d as (select id, d, row_number() over (partition by id order by d) k from (select a.id, 1 - list_dot_product(a.v, b.v) / (a.l * b.l) d from l a cross join l b)),
+m as (select id, q, sum(d / pow(k, q)) / sum(1 / pow(k, q)) m from d cross join (values (0), (1), (2)) g(q) group by 1, 2),
+p(score_key, k, p, q) as (values {rows})
+select score_key, round(avg(m.m / pow(case when p.k = 5 then n5 else n10 end + 1e-9, p.p)), 6) score from p join m on m.q = p.q join n on n.id = m.id group by score_key"""
+
+
+@query(_novel_sum_sql())
 def novel_sum(spark, sf_dir):
-    return S.novelty_sum(vectors(spark, sf_dir).select("id", "v"))
+    return S.novelty_sum(vectors(spark, sf_dir).select("id", "v")).select(F.explode("scores").alias("score_key", "score")).select("score_key", rounded(F.col("score")).alias("score"))
+
+
+@query(f"with {V} select count(*) num_pairs, (select count(*) * (count(*) - 1) // 2 from v)::bigint total_possible_pairs, true is_sampled, true near_the_mean from range(2000)")
+def aps_sampled(spark, sf_dir):
+    """2,000 of all pairs: their mean is within four of its own standard errors, about 0.01, of that of all pairs."""
+    v = vectors(spark, sf_dir)
+    some, every = S.average_pair_similarity(v, sample_pairs=2000), S.average_pair_similarity(v)
+    return some.join(every.select(F.col("score").alias("mean"))).select("num_pairs", "total_possible_pairs", "is_sampled", (F.abs(F.col("score") - F.col("mean")) < 0.0125).alias("near_the_mean"))
 
 
 @query()

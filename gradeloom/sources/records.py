@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 RECORD = "id string, instruction string, input string, output string"
 
@@ -21,6 +20,27 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = RECORD, tolerant: b
     return df.limit(max_lines) if max_lines is not None else df
 
 
+def read_jsonl_strict(spark: SparkSession, path: str, schema: str = RECORD) -> tuple[DataFrame, DataFrame]:
+    """The good lines, and for each bad one what a scorer answers for it: id ``unknown``, score 0, the error with the line."""
+    rows = read_jsonl(spark, path, schema, tolerant=False)
+    good = rows.where("_corrupt_record is null").drop("_corrupt_record")
+    bad = rows.where("_corrupt_record is not null").select(F.lit("unknown").alias("id"), F.lit(0.0).alias("score"), F.concat(F.lit("malformed line: "), "_corrupt_record").alias("error"))
+    return good, bad
+
+
+def read_words(path: str) -> list[str]:
+    """Words of a small local file, one a line; empty lines and those that begin with # are left out, later repeats too."""
+    with open(path, encoding="utf-8") as f:
+        return list(dict.fromkeys(w for line in f if (w := line.strip()) and not w.startswith("#")))
+
+
+def read_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """Judge prompts (mode, metric, template) from files named MODE_metric.txt."""
+    name = F.element_at(F.split(F.col("path"), "/"), -1)
+    files = spark.read.format("binaryFile").load(folder).where(F.col("path").endswith(".txt"))
+    return files.select(F.regexp_extract(name, r"^(QA|Q)_", 1).alias("mode"), F.regexp_extract(name, r"^(?:QA|Q)_(.+)\.txt$", 1).alias("metric"), F.decode("content", "UTF-8").alias("template")).where("mode <> '' and metric <> ''")
+
+
 def count_valid(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).where(F.try_parse_json("value").isNotNull()).count()
 
@@ -40,10 +60,17 @@ def write_ids(df: DataFrame, path: str, id_col: str = "id") -> None:
 
 
 def with_positions(df: DataFrame, order: list[Column | str], name: str = "pos") -> DataFrame:
-    """0-based positions in an order, without gathering rows in one task: range partitions are counted, then numbered."""
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    return ranged.rdd.zipWithIndex().map(lambda z: (*z[0], z[1])).toDF(schema)
+    """0-based positions in an order, without gathering rows in one task: range partitions are sorted and numbered each, and
+    offset by the counts of those before them (a row per partition). The sorted rows are a table in the shared folder, so that numbers and counts see the same partitions."""
+    from ..operators.grid import shared_table
+
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed, _ = shared_table(ranged, "positions")
+    task, own = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(task.alias("_task")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_task", before.alias("_before"))
+    return placed.withColumn("_task", task).join(offsets, "_task").select(*df.columns, (F.col("_before") + own).alias(name))
 
 
 def add_ids(df: DataFrame, order: list[Column | str], id_col: str = "id", overwrite: bool = False) -> DataFrame:
@@ -106,6 +133,25 @@ def read_details(spark: SparkSession, path: str, metric: str, id_col: str = "id"
     return spark.read.parquet(path).select(id_col, (1 - F.col("metrics")[metric].cast("double")).alias("fail_rate"))
 
 
+def write_details(df: DataFrame, path: str) -> None:
+    """Evaluation details as Parquet."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def write_results(results: DataFrame, path: str) -> None:
+    """A small table of results (metrics, means, errors) as one JSON file. It is counted first: at most 10,000 rows."""
+    if results.limit(10_001).count() > 10_000:
+        raise ValueError("results have more than 10,000 rows; write them as details")
+    results.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_summary(df: DataFrame, path: str, details: bool = False) -> None:
+    """The summary as one JSON file, with ``details`` the rows beside it."""
+    write_results(summary(df), f"{path}/summary")
+    if details:
+        write_jsonl(df, f"{path}/details")
+
+
 def summary(df: DataFrame) -> DataFrame:
     """Means of all numeric columns whose names hold "score"."""
     numeric = [c for c, t in df.dtypes if "score" in c and t in ("double", "float", "int", "bigint", "smallint", "tinyint")]

@@ -75,15 +75,17 @@ def test_vendi_and_log_det(points):
 
 def test_novelty_sum(points):
     x, df = points
-    n, k = len(x), 5
+    n = len(x)
     ref = np.unique(x, axis=0)
-    d2 = np.sort(((x[:, None] - ref[None]) ** 2).sum(2), axis=1)[:, 1 : k + 1]
-    density = (1 / (d2.mean(1) + 1e-9)) ** 0.5
+    near = np.sort(((x[:, None] - ref[None]) ** 2).sum(2), axis=1)
     u = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-10)
-    d = 1 - u @ u.T
-    w = 1 / np.arange(1, n + 1)
-    want = np.mean([np.average(np.sort(d[i] * density), weights=w) for i in range(n)])
-    assert S.novelty_sum(df).first().novel_sum == pytest.approx(want, rel=1e-6)
+    d = np.sort(1 - u @ u.T, axis=1)
+    got = S.novelty_sum(df).first()
+    assert len(got.scores) == 18 and got.num_samples == n and got.cos_distance == pytest.approx(d.mean())
+    for k, p, q in ((5, 0.5, 1), (10, 0.25, 2), (5, 0, 0)):
+        density = (1 / (near[:, 1 : k + 1].mean(1) + 1e-9)) ** p
+        want = np.mean([density[i] * np.average(d[i], weights=1 / np.arange(1, n + 1) ** float(q)) for i in range(n)])
+        assert got.scores[f"neighbor_{k}_density_{p}_distance_{q}"] == pytest.approx(want, rel=1e-6)
 
 
 def test_minhash_estimates_jaccard(spark):
