@@ -22,6 +22,8 @@ import regex
 from .chunk_cache import REMEMBERED, ChunkCache
 
 LONG = 64
+#: Words of all kinds that a space parts; each begins with one.
+PROBES = (" a b", " It's 12 000 km, isn't it? été", " x, y; (z) 3.5 -1 \"q\" a'b 'c", " 漢字 かな 😀 _a_ ##")
 NONE = np.int32(2**31 - 1)
 
 
@@ -87,6 +89,8 @@ class BytePairEncoder:
         self.find = regex.compile(pattern).findall
         self.pieces: dict[str, bytes] = {}
         self.chunks = ChunkCache(self._learn, self._split_whole)
+        # Chunks serve only a pattern that parts texts before each space between other signs; with another one texts are split whole.
+        self.parts = all(self.find(t) == [p for c in t.split(" ")[1:] for p in self.find(" " + c)] for t in PROBES)
 
     def _together(self, pieces: list[bytes], width: int) -> list[bytes]:
         """Ids of pieces of at most ``width`` bytes, a power of two."""
@@ -231,7 +235,7 @@ class BytePairEncoder:
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, as little-endian unsigned 32-bit integers."""
-        return self.chunks.encode_texts(texts)
+        return self.chunks.encode_texts(texts) if self.parts else self._split_whole(texts)
 
     def decode(self, ids: bytes) -> bytes:
         """Bytes of little-endian 32-bit ids."""

@@ -29,19 +29,36 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write a table to the shared folder and read it again: it cuts lineage and survives lost executors.
 
-    The files go when the driver's JVM ends.
+    The files go by ``discard``, or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(conf).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = _folder(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialize`` gave; of others nothing. Only for tables that nothing unwritten is still read from."""
+    for t in tables:
+        if path := t.__dict__.get("written_at"):
+            fs, at = _folder(t.sparkSession, path)
+            fs.delete(at, True)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts are long: batches of few rows and bytes keep both sides of an Arrow map small."""
+    """Texts are long: batches of few rows and bytes keep both sides of an Arrow map small.
+
+    Arrow's batch limits belong to the session and are read when a plan runs, so they stay set for what follows; results don't depend on them.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(2 * SLICE))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
@@ -86,16 +103,19 @@ def components(edges: DataFrame, what: str = "components", most_rounds: int = 60
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
     both = materialize(both.distinct(), f"{what}-edges")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp"))
-    labels = materialize(labels, f"{what}-0")
+    first = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp"))
+    old = materialize(first, f"{what}-0")
     for k in range(1, most_rounds):
+        labels = old.select("node", "comp")
         near = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "comp")
         to = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
         jump = labels.join(to, "comp").select("node", F.col("up").alias("comp"))
         least = near.union(jump).groupBy("node").agg(F.min("comp").alias("m"))
         new = labels.join(least, "node", "left").select("node", F.least("comp", "m").alias("comp"), (F.col("m") < F.col("comp")).alias("moved"))
         new = materialize(new, f"{what}-{k}")
+        discard(old)
         if new.where("moved").isEmpty():
+            discard(both)
             return new.select("node", "comp")
-        labels = new.select("node", "comp")
+        old = new
     raise RuntimeError("components did not settle")

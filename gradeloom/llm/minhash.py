@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, components, kept_in_worker, materialize
+from .common import arrow_map, components, discard, kept_in_worker, materialize
 from .shingles import WordHashes, shingle_set
 
 HALVES, WIDTH, SIGNS = 7, 2, 48
@@ -199,8 +199,8 @@ def _like(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 
-def candidates(hits: DataFrame, signs: DataFrame) -> DataFrame:
-    """(a, b, agree) of pairs that tables tie together. hits: (key, node, n), n texts in a table, at least two."""
+def candidates(hits: DataFrame, signs: DataFrame, held: list[DataFrame] | None = None) -> DataFrame:
+    """(a, b, agree) of pairs that tables tie together. hits: (key, node, n), n texts in a table, at least two. ``held`` gets the tables that it is read from."""
     few = hits.where(F.col("n") <= ALL_PAIRS).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("v")).select("v").distinct()
     pairs = few.select(F.explode(F.flatten(F.transform("v", lambda x, i: F.transform(F.slice("v", i + 2, ALL_PAIRS), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
     few = _agreeing(pairs.select("p.a", "p.b"), signs).where(F.col("agree") >= AGREE)
@@ -210,6 +210,8 @@ def candidates(hits: DataFrame, signs: DataFrame) -> DataFrame:
     told = materialize(_agreeing(met.select(F.col("hub").alias("a"), F.col("node").alias("b")), signs), "near-hubs")
     gone = told.where(F.col("agree") >= DONE).select(F.col("a").alias("hub"), F.col("b").alias("node"))
     rest = materialize(met.join(gone, ["hub", "node"], "left_anti").select("key", "node"), "near-rest")
+    if held is not None:
+        held += [told, rest]
 
     blocks = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_SIGNS).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
     cells = rest.join(blocks, "key").join(signs, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -233,7 +235,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFr
     met = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     hits = materialize(keys.join(met, "key").distinct(), "near-hits")
     sizes = reps.groupBy("node").agg(F.sum("size").alias("size"))  # an id may stand on several sets
-    pairs = materialize(candidates(hits, reps.select("node", "signs")), "near-candidates")
+    held: list[DataFrame] = [hits]
+    pairs = materialize(candidates(hits, reps.select("node", "signs"), held), "near-candidates")
+    discard(*held)
 
     # Hubs against their texts. Of a pair the smaller id is the hub, whatever it was before.
     tried = pairs.where(F.col("agree") >= AGREE).select("a", "b").distinct()

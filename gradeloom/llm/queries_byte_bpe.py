@@ -24,7 +24,7 @@ def _rows(data, pattern):
 
 
 def byte_bpe_digests(docs, path: str | None = None, pattern: str | None = None):
-    """One row per document. The rank file (of fixed size) is read on the driver and broadcast. Null texts are empty: no tokens."""
+    """One row per row of ``docs``, whatever its id. The rank file (of fixed size) is read on the driver and broadcast. Null and empty texts have no tokens; an empty table gives no rows."""
     with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         data = docs.sparkSession.sparkContext.broadcast(f.read())
     return arrow_map(docs.select("doc_id", "text"), SCHEMA, _rows, data, pattern or public_tokenizers.PATTERN)

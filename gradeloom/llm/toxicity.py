@@ -211,9 +211,13 @@ def _places(words):
     return run
 
 
-def score(docs: DataFrame, model: NonNegativePU, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` ("*": all) and toxic_score (0 to 1). Null and empty texts get the score of the bias."""
+def scored(docs: DataFrame, model: NonNegativePU, columns: list[str]) -> DataFrame:
+    """``row``, a struct of the given columns, and toxic_score (0 to 1): no names of ``docs`` clash."""
     table = docs.sparkSession.sparkContext.broadcast(model.table())
-    rows = docs.select(F.struct(*(docs.columns if "*" in keep else keep)).alias("row"), F.col("text").alias("scored_text"))
-    scored = arrow_map(rows, f"row {dict(rows.dtypes)['row']}, toxic_score double", _scores, table, model.bias)
-    return scored.select(*(F.col("row")[c].alias(c) for c in (docs.columns if "*" in keep else keep)), "toxic_score")
+    rows = docs.select(F.struct(*columns).alias("row"), F.col("text").alias("scored_text"))
+    return arrow_map(rows, f"row {dict(rows.dtypes)['row']}, toxic_score double", _scores, table, model.bias)
+
+
+def score(docs: DataFrame, model: NonNegativePU, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and toxic_score."""
+    return scored(docs, model, list(keep)).select("row.*", "toxic_score")

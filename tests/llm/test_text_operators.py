@@ -73,6 +73,16 @@ def test_bpe_long_pieces_and_forgetting(bpe, known):
     bpe.chunks.most = 900_000
 
 
+def test_bpe_with_other_patterns():
+    """A pattern that joins words across spaces is split whole; one that parts before them isn't."""
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in RANKS.splitlines())}
+    texts = ["one two  three", "a b c d", " x", "", "it's 3 o'clock\nnow then"]
+    for pattern in (r"\w+ \w+|\s+|\S+", r"[a-z]+ ?|[^a-z]", r"(?s).+", public_tokenizers.PATTERN):
+        e, k = BytePairEncoder(load_ranks(RANKS), pattern), tiktoken.Encoding("p", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode_texts(texts)] == [k.encode_ordinary(t) for t in texts]
+        assert e.parts == (pattern == public_tokenizers.PATTERN)
+
+
 def test_bpe_query(spark, known):
     rows = documents()
     want = []
