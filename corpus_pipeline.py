@@ -1,7 +1,8 @@
 """A corpus pipeline in five stages: toxicity, near-dedup, substring dedup, mixing, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read as the next one's docs.
-All but the last return the columns of ``documents``.
+All but the last return the columns of their docs, whatever else those hold. Null and empty texts pass toxicity and near-dedup, are empty after substring
+dedup and leave there, as texts without words do. Null ids pass all stages; rows that repeat an id are documents with several texts. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -9,19 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import materialize
+from gradeloom.llm.common import discard, materialize
 from gradeloom.llm.minhash import near_duplicates
 from gradeloom.llm.mixing import mixed_documents
 from gradeloom.llm.queries_byte_bpe import byte_bpe_digests
 from gradeloom.llm.queries_toxicity import THRESHOLD
 from gradeloom.llm.substring import substring_dedup
-from gradeloom.llm.toxicity import score, train
+from gradeloom.llm.toxicity import scored, train
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts whose score is at least the threshold. Learns as op9 does, from the rows that are left of ``docs``."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model, keep=("*",)).where(F.col("toxic_score") < THRESHOLD).select(*docs.columns)
+    return scored(docs, model, docs.columns).where(F.col("toxic_score") < THRESHOLD).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
