@@ -33,21 +33,21 @@ def with_model(df: DataFrame, text: str, backend: BackendFactory, out: str = "mo
     return df.select(df[id_col].cast("string").alias(id_col), text).mapInArrow(run, f"{id_col} string, {out} array<double>")
 
 
-def append_model(df: DataFrame, text: Column, backend: Callable, out: str, kind: str = "array<double>", batch: int = 64) -> DataFrame:
-    """All columns of ``df`` and the backend's answers: a map without a join, so that many backends can follow each other. ``kind``: array<double>, or string for generated text."""
+def append_models(df: DataFrame, asked: dict[str, tuple[Column, Callable, str]], batch: int = 64) -> DataFrame:
+    """All columns of ``df`` and each backend's answers, in one map without joins. ``asked``: new column -> (text, backend, kind): array<double>, or string for generated text."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    rows = df.withColumn(out, text)
-    fields = [*df.columns, out]
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T._parse_datatype_string(kind))])
-    last = to_arrow_schema(schema).field(out).type
+    n, makers = len(df.columns), [b for _, b, _ in asked.values()]
+    fields = [*df.columns, *asked]
+    schema = T.StructType([*df.schema.fields, *(T.StructField(k, T._parse_datatype_string(kind)) for k, (_, _, kind) in asked.items())])
+    kinds = [to_arrow_schema(schema).field(k).type for k in asked]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = backend()
+        models = [make() for make in makers]
         for b in batches:
             for k in range(0, b.num_rows, batch):
                 part = b.slice(k, batch)
-                answers = pa.array(model([x or "" for x in part.column(part.num_columns - 1).to_pylist()]), last)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], answers], names=fields)
+                answers = [pa.array(m([x or "" for x in part.column(n + i).to_pylist()]), kind) for i, (m, kind) in enumerate(zip(models, kinds, strict=True))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], *answers], names=fields)
 
-    return rows.mapInArrow(run, schema)
+    return df.select("*", *(text.alias(k) for k, (text, _, _) in asked.items())).mapInArrow(run, schema)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.merging import merge_pointwise, merge_setwise, resume
 from ..sources.records import write_jsonl
-from ..operators.backends import append_model
+from ..operators.backends import append_models
 from .registry import MODELS, POINTWISE, ROWS, SETWISE, model_text
 
 
@@ -122,12 +122,10 @@ class ScorePlan:
 
     def model_scores(self, records: DataFrame, backends: Mapping[str, Callable], id_col: str = "id") -> DataFrame:
         """id and a column per model scorer. ``backends``: alias or name -> what makes a backend in each task. All run in one pass over the records, without joins."""
-        df, out = records, []
-        for s in self.steps:
-            if s.name in MODELS:
-                model = MODELS[s.name]
-                df = append_model(df, model_text(model.texts, **s.params), backends.get(s.alias) or backends[s.name], f"_{s.alias}", model.kind)
-                out.append(model.score(F.col(f"_{s.alias}")).cast("double").alias(s.alias))
+        steps = [s for s in self.steps if s.name in MODELS]
+        asked = {f"_{s.alias}": (model_text(MODELS[s.name].texts, **s.params), backends.get(s.alias) or backends[s.name], MODELS[s.name].kind) for s in steps}
+        out = [MODELS[s.name].score(F.col(f"_{s.alias}")).cast("double").alias(s.alias) for s in steps]
+        df = append_models(records, asked)
         return df.select(id_col, *out)
 
     def rows(self, vectors: DataFrame) -> dict[str, DataFrame]:

@@ -77,9 +77,18 @@ def hdd(spark, sf_dir):
     return records(spark, sf_dir).select("id", rounded(U.hdd(T.record_text())).alias("score"))
 
 
-@query()
+_MTLD = f"""with recursive {REC}, w as (select id, list_transform(regexp_extract_all({T1}, '{WORD}'), lambda x: lower(translate(x, '!"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~', ''))) w from rec),
+b as (select id, d, case when d = 0 then w else list_reverse(w) end w from w cross join (values (0), (1)) g(d)),
+s(id, d, i, n, types, k) as (select id, d, 0, 0.0::double, []::varchar[], 0 from b union all
+  select id, d, i + 1, n + (len(t) / (k + 1) <= 0.72)::int, case when len(t) / (k + 1) <= 0.72 then [] else t end, case when len(t) / (k + 1) <= 0.72 then 0 else k + 1 end
+  from (select s.id, s.d, i, n, k, case when list_contains(types, w[i + 1]) then types else list_append(types, w[i + 1]) end t from s join b on b.id = s.id and b.d = s.d where i < len(w))),
+f as (select s.id, len(w) l, n + case when k > 0 then (1 - len(types) / k) / (1 - 0.72::double) else 0 end f from s join b on b.id = s.id and b.d = s.d where i = len(w))
+select id, round(avg(case when l = 0 then 0 when f > 0 then l / f else -1 end), 6)::double score from f group by id"""
+
+
+@query(_MTLD)
 def mtld(spark, sf_dir):
-    return records(spark, sf_dir).select("id", U.mtld(T.record_text()).alias("score"))
+    return records(spark, sf_dir).select("id", rounded(U.mtld(T.record_text())).alias("score"))
 
 
 @query()
