@@ -110,6 +110,16 @@ def choice_means(*dimensions: Column) -> Column:
     return sum(dimensions[1:], dimensions[0]) / len(dimensions)
 
 
+def dimension_scores(answers: Column, sizes: list[Column], summed: tuple[int, ...] = ()) -> list[Column]:
+    """A score per dimension from the answers to all questions in a row, ``sizes`` to each: their mean, or their sum for dimensions in ``summed``."""
+    out, at = [], F.lit(1)
+    for i, n in enumerate(sizes):
+        part = F.slice(answers, at, n)
+        out.append(total(part) if i in summed else F.coalesce(mean(part), F.lit(0.0)))
+        at = at + n
+    return out
+
+
 def one_shot_gain(loss_with_example: Column, loss_alone: Column) -> Column:
     return loss_with_example - loss_alone
 

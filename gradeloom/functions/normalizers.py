@@ -16,6 +16,8 @@ ARTICLES = {
     "fr": ("le", "la", "les", "l'", "un", "une", "des"),
     "de": ("der", "die", "das", "den", "dem", "des", "ein", "eine", "einer", "eines", "einem", "einen"),
     "fi": ("se", "yksi", "yks"),
+    "el": ("ὁ", "οἱ", "τοῦ", "τῶν", "τόν", "τούς", "ὦ", "ἡ", "αἱ", "τῆς", "τήν", "τάς", "τό", "τά"),
+    "he": ("ה",),
     "no": ("en", "ei", "et", "den", "det", "de"),
     "sv": ("en", "ett", "den", "det", "de"),
     "tr": ("bir",),

@@ -38,8 +38,47 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return d if metric == "squared_euclidean" else np.sqrt(d)
 
 
+def product_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared euclidean distances by one matrix product: many times faster, with an error of some 1e-15 of the squared lengths."""
+    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0)
+
+
+def nearest_of(q: np.ndarray, r: np.ndarray, k: int, metric: str, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of each query's k nearest rows, earlier rows first among equals; pairs in ``skip`` take no part.
+
+    Euclidean distances are first taken by a matrix product; those that its error could let into the k nearest are computed again, exactly.
+    """
+    if metric not in ("euclidean", "squared_euclidean"):
+        d = distances(q, r, metric)
+        if skip is not None:
+            d[skip] = np.inf
+        best = np.argsort(d, axis=1, kind="stable")[:, :k]
+        near = np.take_along_axis(d, best, 1)
+        keep = np.isfinite(near)
+        return np.repeat(np.arange(len(q)), keep.sum(1)), best[keep], near[keep]
+    about = product_distances(q, r)
+    if skip is not None:
+        about[skip] = np.inf
+    if k < about.shape[1]:
+        slack = 1e-12 * ((q * q).sum(1) + (r * r).sum(1).max(initial=0))
+        i, j = np.nonzero(about <= (np.partition(about, k - 1, axis=1)[:, k - 1] + slack)[:, None])
+    else:
+        i, j = np.nonzero(np.isfinite(about))
+    fine = np.isfinite(about[i, j])
+    i, j = i[fine], j[fine]
+    d = ((q[i] - r[j]) ** 2).sum(1)
+    d = d if metric == "squared_euclidean" else np.sqrt(d)
+    order = np.lexsort((j, d, i))
+    i, j, d = i[order], j[order], d[order]
+    rank = np.arange(len(i)) - np.searchsorted(i, i)
+    i, j, d = (x[rank < k] for x in (i, j, d))
+    return i, j, d
+
+
 def similarities(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    if metric in ("euclidean", "manhattan"):
+    if metric == "euclidean":
+        return 1 / (1 + np.sqrt(product_distances(a, b)))
+    if metric == "manhattan":
         return 1 / (1 + distances(a, b, metric))
     if metric == "dot_product":
         return a @ b.T
@@ -104,13 +143,9 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, metric: str = "euclidea
         if q.num_rows and r.num_rows:
             qi, ri = np.array(q.column("id").to_pylist()), np.array(r.column("id").to_pylist())
             order = np.argsort(ri, kind="stable")
-            ri, d = ri[order], distances(matrix(q), matrix(r)[order], metric)
-            if exclude_self:
-                d[qi[:, None] == ri[None, :]] = np.inf
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            near = np.take_along_axis(d, best, 1)
-            keep = np.isfinite(near)
-            out_q, out_r, out_d = np.repeat(qi, keep.sum(1)), ri[best[keep]], near[keep]
+            ri = ri[order]
+            i, j, out_d = nearest_of(matrix(q), matrix(r)[order], k, metric, qi[:, None] == ri[None, :] if exclude_self else None)
+            out_q, out_r = qi[i], ri[j]
         kind = pa.int64() if pa.types.is_integer(q.schema.field("id").type) else pa.string()
         return pa.table({"query_id": pa.array(list(out_q), kind), "id": pa.array(list(out_r), kind), "distance": pa.array(list(out_d), pa.float64())})
 

@@ -75,6 +75,18 @@ class ModelScore:
 _ONE = lambda v: F.get(v, F.lit(0))
 _HALVES = lambda v, f: f(F.slice(v, F.lit(1), (F.size(v) / 2).cast("int")), F.slice(v, (F.size(v) / 2).cast("int") + 1, (F.size(v) / 2).cast("int")))
 _SIX = lambda v: F.coalesce(F.when(F.size(v) == 6, P.expected_class(v, 1)), F.lit(3.0))
+
+
+def _unieval(task: str) -> Callable[[Column], Column]:
+    """The mean of the dimensions, from the shares of yes to all questions in a row."""
+
+    def score(v: Column) -> Column:
+        asked = X.unieval(task)
+        return P.choice_means(*P.dimension_scores(v, [F.size(c) for c in asked.values()], tuple(i for i, d in enumerate(asked) if d == "engagingness")))
+
+    return score
+
+
 #: What a backend answers: a reward; class logits; token losses; two lists in a row (scores and weights, or losses with and without the prompt).
 MODELS: dict[str, ModelScore] = {
     "ask_llm": ModelScore("ask_llm", P.ask_yes),
@@ -95,7 +107,7 @@ MODELS: dict[str, ModelScore] = {
     "hes": ModelScore("hes", P.high_entropy_sum),
     "miwv": ModelScore("miwv", lambda v: P.one_shot_gain(F.get(v, F.lit(0)), F.get(v, F.lit(1)))),
     **{k: ModelScore(k, P.steady_rating) for k in ("selectit_token", "selectit_sentence", "selectit_model")},
-    **{k: ModelScore(k, P.mean) for k in ("unieval_d2t", "unieval_dialog", "unieval_fact", "unieval_sum")},
+    **{k: ModelScore(k, _unieval(task)) for k, task in (("unieval_d2t", "data2text"), ("unieval_dialog", "dialogue"), ("unieval_fact", "fact"), ("unieval_sum", "summarization"))},
     "embed_svd_entropy": ModelScore("embed_svd_entropy", P.spectrum_entropy),
     "task2vec_vector": ModelScore("task2vec", lambda v: F.sqrt(P.mean(F.transform(v, lambda x: x * x)))),
 }

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions import answers as A
 from gradeloom.functions import assembly as X
+from gradeloom.functions import model_scores as P
 from gradeloom.functions import normalizers as N
 from gradeloom.functions import text as T
 from gradeloom.functions import vector as V
 from gradeloom.operators import checkers as K
 from gradeloom.operators import corpus_metrics as C
+from gradeloom.operators import grid as G
 from gradeloom.operators import math_answers as MA
 from gradeloom.operators import merging as M
 from gradeloom.operators import pointwise_udf as U
@@ -198,6 +200,27 @@ def test_plan_reaches_all_kinds(spark, tmp_path):
     assert sets["cluster_inertia"]["cluster_sizes"] == {"0": 2, "1": 1} and sets["partition_entropy"]["counts"] == {"0": 2, "1": 1} and sets["apjs"]["num_pairs"] == 1
 
 
+def test_dimension_scores(spark):
+    df = spark.createDataFrame([([0.1, 0.2, 0.4, 0.9],), ([],)], "v array<double>")
+    got = df.select(*P.dimension_scores(F.col("v"), [F.lit(1), F.lit(2), F.lit(1)], (1,))).collect()
+    assert tuple(got[0]) == pytest.approx((0.1, 0.6, 0.9)) and tuple(got[1]) == (0.0, 0.0, 0.0)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "squared_euclidean", "manhattan", "cosine"])
+def test_nearest_rows_against_all_distances(metric):
+    rng = np.random.default_rng(0)
+    r = np.round(rng.normal(size=(80, 3)), 1) + 1e6 * (metric != "cosine")
+    r[20:40] = r[0]
+    q = r[::4]
+    d = G.distances(q, r, metric)
+    skip = np.arange(0, 80, 4)[:, None] == np.arange(80)[None, :]
+    for k, s in ((3, skip), (3, None), (79, skip), (200, skip)):
+        i, j, got = G.nearest_of(q, r, k, metric, s)
+        for x in range(len(q)):
+            order = sorted((d[x, y], y) for y in range(80) if s is None or not s[x, y])[:k]
+            assert j[i == x].tolist() == [y for _, y in order] and got[i == x] == pytest.approx([v for v, _ in order])
+
+
 def test_sampled_pairs_are_distinct_and_even(spark):
     for n, k in ((2, 5), (7, 21), (60, 700), (3000, 20000)):
         got = [tuple(r) for r in S.sampled_pairs(spark, n, k).collect()]
