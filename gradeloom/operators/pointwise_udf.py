@@ -153,6 +153,24 @@ def token_scores(spark, path: str | None = None, pattern: str | None = None, n:
     return run
 
 
+def truncated(spark, max_tokens: int, path: str | None = None, pattern: str | None = None):
+    """A function of a text column: its first ``max_tokens`` tokens as text, for embedders and models with a limit. A cut inside a sign drops the sign's bytes."""
+    if path is None:
+        import public_tokenizers
+
+        path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+    with open(path, "rb") as f:
+        data = spark.sparkContext.broadcast(f.read())
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoding = _ids(data.value, pattern).__self__
+        for s in batches:
+            yield pd.Series([encoding.decode_bytes(encoding.encode_ordinary(x)[:max_tokens]).decode("utf-8", "ignore") if x is not None else None for x in s], dtype="object")
+
+    return run
+
+
 def tree_of(heads: list[int]) -> tuple[int, int]:
     """Nodes, and the greatest depth over roots (rows that head themselves or have -1)."""
     depth = [0] * len(heads)

@@ -297,6 +297,17 @@ def novelty_sum(rows: DataFrame, neighbors: tuple[int, ...] = (5, 10), density_p
     return out.agg(F.count("*").alias("num_samples"), F.avg("cosine").alias("cos_distance"), F.create_map(*scores).alias("scores"))
 
 
+def _numbered(n: int):
+    return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"))
+
+
+def ngram_diversity(tokens: DataFrame, column: str = "tokens", sizes: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
+    """n, distinct, total and their ratio over all n-grams of the whole set (arrays of tokens); one pre-aggregated shuffle for all sizes."""
+    each = F.explode(F.flatten(F.array(*(F.transform(ngrams(F.col(column), n), _numbered(n)) for n in sizes))))
+    counted = tokens.select(each.alias("z")).groupBy("z.n", "z.g").count()
+    return counted.groupBy("n").agg(F.count("*").alias("distinct"), F.sum("count").alias("total"), (F.count("*") / F.sum("count")).alias("diversity"))
+
+
 def sampled_pairs(spark: SparkSession, n: int, k: int, seed: int = 42) -> DataFrame:
     """(i, j), i < j < n: k different ones of the n (n - 1) / 2 pairs, by a keyed permutation of the pairs' numbers. Nothing is drawn twice and no pairs are listed."""
     total = n * (n - 1) // 2

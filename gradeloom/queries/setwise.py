@@ -50,6 +50,29 @@ def knn_distance(spark, sf_dir):
     return S.knn_score(vectors(spark, sf_dir).select("id", "v")).select("id", rounded(F.col("score")).alias("score"))
 
 
+def _knn(metric: str, distance: str):
+    def f(spark, sf_dir):
+        return S.knn_score(vectors(spark, sf_dir).select("id", "v"), metric=metric).select("id", rounded(F.col("score")).alias("score"))
+
+    f.__name__ = f"knn_{metric}"
+    return query(f"""with {V}, p as (select a.id, {distance} d from v a join v b on a.id <> b.id), r as (select id, d, row_number() over (partition by id order by d) k from p)
+select id, round(avg(d), 6) score from r where k <= 5 group by id""")(f)
+
+
+_knn("cosine", "1 - list_cosine_similarity(a.v, b.v)")
+_knn("manhattan", MANHATTAN)
+
+
+_GRAMS = " union all ".join(f"select {n} n, unnest([{' || chr(31) || '.join(f't[i + {k}]' for k in range(n))} for i in range(1, len(t) - {n - 2})]) g from t" for n in (1, 2, 3, 4))
+
+
+@query(f"""with t as (select doc_id, regexp_extract_all(lower(text), '{GRAM}') t from documents), g as ({_GRAMS}),
+c as (select n, g, count(*) c from g group by 1, 2) select n, count(*) "distinct", sum(c)::bigint total, round(count(*) / sum(c), 6) diversity from c group by n""")
+def ngram_diversity(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(T.grams(F.col("text")).alias("tokens"))
+    return S.ngram_diversity(d).select("n", "distinct", "total", rounded(F.col("diversity")).alias("diversity"))
+
+
 @query(f"""with {V}, d as (select i, stddev_pop(x) sd from (select unnest(range(1, len(v) + 1)) i, unnest(v) x from v) group by 1)
 select round(exp(avg(ln(case when sd > 0 then sd else 1e-10 end))), 6) radius, round(avg(sd), 6) arithmetic_mean, round(min(sd), 6) "min", round(max(sd), 6) "max", round(quantile_cont(sd, 0.5), 6) median, sum(case when sd = 0 then 1 else 0 end)::bigint zero_std_dimensions from d""")
 def radius(spark, sf_dir):

@@ -306,6 +306,13 @@ def test_small_functions(spark):
     assert counts == {"the": 2, "then": 1, "no": 0}
 
 
+def test_truncated_texts(spark):
+    df = spark.createDataFrame([("one two three four five",), ("漢字 かな",), ("",), (None,)], "t string")
+    cut = U.truncated(spark, 3)
+    got = [r[0] for r in df.select(cut(F.col("t"))).collect()]
+    assert got[0] == "one two three" and "漢字 かな".startswith(got[1]) and got[2:] == ["", None]
+
+
 def test_streamed_aggregates(spark, tmp_path):
     rows = spark.createDataFrame([("2024-01-01 00:00:10", "a", 1.0, "3"), ("2024-01-01 00:01:00", "a", 3.0, "3"), ("2024-01-01 00:09:00", "b", 5.0, "x")], "t string, k string, v double, c string").withColumn("t", F.to_timestamp("t"))
     rows.write.parquet(str(tmp_path / "in"))
