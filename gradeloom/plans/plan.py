@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.merging import merge_pointwise, merge_setwise, resume
-from ..sources.records import write_jsonl
+from ..sources.records import normalized_id, write_jsonl
 from ..operators.backends import append_models
 from .registry import MODELS, POINTWISE, ROWS, SETWISE, model_text
 
@@ -116,17 +116,23 @@ class ScorePlan:
             records = resume(records, done, id_col)
         return records.select(id_col, *(c.alias(a) for a, c in self.columns().items()))
 
-    def scores_map(self, records: DataFrame, id_col: str = "id") -> DataFrame:
-        pairs = [x for a, c in self.columns().items() for x in (F.lit(a), c)]
-        return records.select(id_col, F.create_map(*pairs).alias("scores"))
+    def scores_map(self, records: DataFrame, backends: Mapping[str, Callable] | None = None, id_col: str = "id") -> DataFrame:
+        """id and a map of all pointwise and model scores that aren't null, in one pass over the records."""
+        df, models = self._asked(records, backends or {})
+        pairs = [x for a, c in (self.columns() | models).items() for x in (F.lit(a), c)]
+        scores = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,double>")
+        return df.select(id_col, F.map_filter(scores, lambda k, v: v.isNotNull()).alias("scores"))
 
-    def model_scores(self, records: DataFrame, backends: Mapping[str, Callable], id_col: str = "id") -> DataFrame:
-        """id and a column per model scorer. ``backends``: alias or name -> what makes a backend in each task. All run in one pass over the records, without joins."""
+    def _asked(self, records: DataFrame, backends: Mapping[str, Callable]) -> tuple[DataFrame, dict[str, Column]]:
+        """The records with the answers of all backends, and each model scorer's score over them."""
         steps = [s for s in self.steps if s.name in MODELS]
         asked = {f"_{s.alias}": (model_text(MODELS[s.name].texts, **s.params), backends.get(s.alias) or backends[s.name], MODELS[s.name].kind) for s in steps}
-        out = [MODELS[s.name].score(F.col(f"_{s.alias}")).cast("double").alias(s.alias) for s in steps]
-        df = append_models(records, asked)
-        return df.select(id_col, *out)
+        return append_models(records, asked) if asked else records, {s.alias: MODELS[s.name].score(F.col(f"_{s.alias}")).cast("double") for s in steps}
+
+    def model_scores(self, records: DataFrame, backends: Mapping[str, Callable], id_col: str = "id") -> DataFrame:
+        """id and a column per model scorer. ``backends``: alias or name -> what makes a backend in each task. All run in one pass over the records, without joins."""
+        df, models = self._asked(records, backends)
+        return df.select(id_col, *(c.alias(a) for a, c in models.items()))
 
     def rows(self, vectors: DataFrame) -> dict[str, DataFrame]:
         """(id, score) per scorer that needs the other rows too."""
@@ -135,16 +141,18 @@ class ScorePlan:
     def run(self, records: DataFrame, out: str, vectors: DataFrame | None = None, backends: Mapping[str, Callable] | None = None, done: DataFrame | None = None) -> None:
         """Writes ``pointwise_scores`` (id, scores) and ``setwise_scores`` (scorer, result) as JSON lines under ``out``. vectors: (id, v, ...), which set-wise and row scorers read."""
         left = resume(records, done) if done is not None else records
-        parts = {}
-        names = [s.alias for s in self.steps if s.name in POINTWISE]
-        tables = [(self.score(left), names)] if names else []
-        if any(s.name in MODELS for s in self.steps):
-            tables.append((self.model_scores(left, backends or {}), [s.alias for s in self.steps if s.name in MODELS]))
-        for df, aliases in tables:
-            parts |= {a: df.select("id", F.col(a).alias("score")) for a in aliases}
-        parts |= self.rows(vectors) if vectors is not None else {}
-        if parts:
-            write_jsonl(merge_pointwise(parts), f"{out}/pointwise_scores")
+        own = self.scores_map(left, backends) if any(s.name in POINTWISE or s.name in MODELS for s in self.steps) else None
+        rows = self.rows(vectors) if vectors is not None else {}
+        if rows:
+            more = merge_pointwise(rows)
+            if own is None:
+                own = more
+            else:
+                none = F.create_map().cast("map<string,double>")
+                joined = own.select(normalized_id("id").alias("id"), "scores").join(more.withColumnRenamed("scores", "more"), "id", "full")
+                own = joined.select("id", F.map_concat(F.coalesce("scores", none), F.coalesce("more", none)).alias("scores"))
+        if own is not None:
+            write_jsonl(own, f"{out}/pointwise_scores")
         sets = {s.alias: SETWISE[s.name](records if s.name == "apjs" else vectors, **s.params) for s in self.steps if s.name in SETWISE}
         if sets:
             write_jsonl(merge_setwise(sets), f"{out}/setwise_scores")
