@@ -209,7 +209,7 @@ class BytePairEncoder:
 
     def _know(self, pieces: set[str]) -> None:
         """Encode the pieces that aren't remembered."""
-        if len(self.pieces) > REMEMBERED:
+        if len(self.pieces) > REMEMBERED // 4:
             self.pieces = {}
         new = [p for p in pieces if p not in self.pieces]
         self.pieces.update(zip(new, self.encode_pieces([p.encode("utf-8", "surrogatepass") for p in new]), strict=True))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import islice
 
-REMEMBERED = 900_000
+REMEMBERED = 400_000
 
 
 class ChunkCache(dict):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 import uuid
@@ -63,14 +65,31 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def kept_in_worker(key: object, make: Callable[[], object]) -> object:
-    """What ``make`` gives, kept between the tasks of a Python worker; another key takes its place.
+def _state() -> dict:
+    """This package's functions travel by value, so their module globals are new in every task; a module of the worker's own lasts."""
+    return sys.modules.setdefault("gradeloom_worker_state", types.ModuleType("gradeloom_worker_state")).__dict__
 
-    This package's functions travel by value, so their module globals are new in every task; a module of the worker's own lasts.
-    """
-    state = sys.modules.setdefault("gradeloom_worker_state", types.ModuleType("gradeloom_worker_state")).__dict__
+
+def forget() -> None:
+    """Drop what the worker keeps, and give its memory back: the next stage's tasks run in the same processes."""
+    state = _state()
+    if state.pop("value", None) is None:
+        return
+    state.pop("key", None)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def kept_in_worker(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept between the tasks of a Python worker; another key takes its place."""
+    state = _state()
+    state["used"] = True
     if state.get("key") != key:
-        state.pop("value", None)
+        forget()
         state["value"], state["key"] = make(), key
     return state["value"]
 
@@ -84,7 +103,10 @@ def arrow_map(df: DataFrame, schema: str, rows: Callable[..., Callable[[list[tup
     kinds = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _state()["used"] = False
         each = rows(*args)
+        if not _state()["used"]:
+            forget()
         for batch in batches:
             for at in range(0, batch.num_rows, slice_rows):
                 part = batch.slice(at, slice_rows)

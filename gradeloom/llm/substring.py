@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, kept_in_worker, materialize, small_batches
+from .common import SLICE, forget, kept_in_worker, materialize, small_batches
 from .shingles import WordHashes, joined, runs
 
 WIDTH = 20
@@ -138,6 +138,7 @@ def distinct(h: np.ndarray, shards: int, bits: int) -> tuple[np.ndarray, ...]:
 def _packed():
     """Map: (doc, of, rest, text) to units, a row each. A unit's number is the task's and its own, so it is the same if the task runs again."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         z = zstandard.ZstdCompressor(level=3)
         number, raws, kept, size = TaskContext.get().partitionId() << 32, [], [], 0
 
@@ -361,6 +362,7 @@ def _cut(width: int, as_text: bool):
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             rest = batch.column(batch.schema.get_field_index("rest"))
             for k, (docs, ofs, sizes, packed, repeats) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc", "of", "size", "packed", "repeats")), strict=True)):

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .batch_tokenizer import BatchTokenizer
-from .common import SLICE, kept_in_worker, materialize, shared_dir, small_batches
+from .common import SLICE, forget, kept_in_worker, materialize, shared_dir, small_batches
 
 FILE_SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 BROADCAST_ROWS = 100_000
@@ -82,6 +82,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for b in batches:
         lists = b.column(3)
         ids, ends = lists.flatten().to_numpy().astype("<u4", copy=False), lists.value_lengths().to_numpy().cumsum().tolist()

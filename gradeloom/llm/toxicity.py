@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, kept_in_worker, materialize
+from .common import arrow_map, forget, kept_in_worker, materialize
 
 STRIP = "".join(chr(b) for b in range(128) if not chr(b).isalnum())
 BEGINNINGS = (3, 4, 5)
@@ -132,7 +132,7 @@ class NonNegativePU:
         return dict(zip(self.words[big].tolist(), self.weights[big].tolist(), strict=True))
 
 
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 def _scores(table, bias: float):
@@ -199,6 +199,7 @@ def _chosen(rows: DataFrame, n: int, m: int, model: NonNegativePU) -> np.ndarray
 
 def _places(words):
     def run(batches):
+        forget()
         for b in batches:
             lists = b.column(1)
             flat = lists.flatten().to_numpy()
