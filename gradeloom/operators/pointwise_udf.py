@@ -421,8 +421,8 @@ def best_alignment(gold: list[frozenset], pred: list[frozenset], f: Callable[[fr
     return total
 
 
-def drop_of(gold: list[str], pred: list[str]) -> tuple[float, float]:
-    """Exact match and best one-to-one F1 of answer bags; bags with other numbers never match."""
+def drop_of(gold: list[str], pred: list[str], places: int | None = 2) -> tuple[float, float]:
+    """Exact match and best one-to-one F1 of answer bags, to two places unless ``places`` says otherwise; bags with other numbers never match."""
 
     def bag(x: str) -> frozenset:
         x = re.sub(r"\b(a|an|the)\b", " ", x.lower().translate(PUNCTUATION))
@@ -438,15 +438,16 @@ def drop_of(gold: list[str], pred: list[str]) -> tuple[float, float]:
         return 2 * both / (len(a) + len(b)) if both else float(not a and not b)
 
     exact = float(sorted(map(sorted, g)) == sorted(map(sorted, p)))
-    return exact, round(best_alignment(g, p, f) / max(len(g), len(p), 1), 2)
+    best = best_alignment(g, p, f) / max(len(g), len(p), 1)
+    return exact, best if places is None else round(best, places)
 
 
-def drop_scores(gold: Column, pred: Column) -> Column:
-    return F.pandas_udf(_drops, "em double, f1 double")(gold, pred)
+def drop_scores(gold: Column, pred: Column, places: int | None = 2) -> Column:
+    def run(gold: pd.Series, pred: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([drop_of(list(g), list(p), places) for g, p in zip(gold, pred, strict=True)], columns=["em", "f1"])
 
-
-def _drops(gold: pd.Series, pred: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([drop_of(list(g), list(p)) for g, p in zip(gold, pred, strict=True)], columns=["em", "f1"])
+    run.__annotations__ = {"gold": pd.Series, "pred": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(run, "em double, f1 double")(gold, pred)
 
 
 def singular_values(matrix: Column) -> Column:

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import answers as A
 from ..functions import model_scores as P
 from ..functions import normalizers as N
+from ..functions import text as T
 from ..operators import checkers as K
 from ..operators import judge as J
 from ..operators import pointwise_udf as U
 from ..operators.backends import stub_factory, with_model
-from .answers import quiz_sql
+from .answers import _PUNCTUATION, quiz_sql
 from .base import REC, SPACES, query, records, rounded, table, vectors
 
 E = "e as (select vec_id id, embedding::double[] v, label, list_transform(embedding::double[], lambda x: abs(x)) nll from embeddings)"
@@ -167,13 +168,41 @@ def overlap_metrics(spark, sf_dir):
     return records(spark, sf_dir).select("id", U.overlap(F.col("instruction"), F.col("output")).alias("z")).select("id", "z.*")
 
 
-@query()
+_W = r"[\p{L}\p{N}_]"
+
+
+def _overlap_sql() -> str:
+    two = lambda t: f"[{t}[i] || ' ' || {t}[i + 1] for i in range(1, len({t}))]"
+    part = lambda n, s, v: f"select id, {n} n, {s} s, unnest({v}) k from t"
+    rows = " union all ".join([part(1, 0, "g"), part(1, 1, "p"), part(2, 0, two("g")), part(2, 1, two("p")), part(3, 0, "a"), part(3, 1, "w")])
+    return f"""with {REC}, t as (select id, regexp_extract_all(lower(instruction), '[a-z0-9]+') g, regexp_extract_all(lower(output), '[a-z0-9]+') p, regexp_extract_all(lower(instruction), '{_W}+') a, regexp_extract_all(lower(output), '{_W}+') w from rec),
+u as (select id, n, k, count(*) filter (s = 0) a, count(*) filter (s = 1) b from ({rows}) group by 1, 2, 3),
+f as (select id, n, sum(least(a, b)) m, sum(a) x, sum(b) y, count(*) filter (b > 0) own, count(*) filter (b > 0 and a = 0) novel, count(*) filter (b > 1) again from u group by 1, 2)
+select t.id, round(coalesce(max(2 * m / (x + y)) filter (n = 1), 0), 6)::double rouge1, round(coalesce(max(2 * m / (x + y)) filter (n = 2), 0), 6)::double rouge2,
+  round(coalesce(max(novel / own) filter (n = 3 and own > 0), 0), 6)::double novel_1, round(coalesce(max(again / own) filter (n = 3 and own > 0), 0), 6)::double repeated_1 from t left join f using (id) group by 1"""
+
+
+
+
+@query(_overlap_sql())
+def ngram_overlap(spark, sf_dir):
+    """Those of the overlap scores that SQL can count."""
+    z = records(spark, sf_dir).select("id", U.overlap(F.col("instruction"), F.col("output")).alias("z"))
+    return z.select("id", *(rounded(F.col(f"z.{c}")).alias(c) for c in ("rouge1", "rouge2", "novel_1", "repeated_1")))
+
+
+_BAG = lambda c: f"list_transform(regexp_extract_all({c}, '[^{SPACES}]+'), lambda t: case when translate(lower(t), '{_PUNCTUATION}', '') in ('a', 'an', 'the') then '' else translate(lower(t), '{_PUNCTUATION}', '') end)"
+
+
+@query(f"""with {REC}, b as (select id, {_BAG("instruction")} g, {_BAG("output")} p from rec), u as (select id, x, count(*) filter (s = 0) a, count(*) filter (s = 1) b from (select id, unnest(g) x, 0 s from b union all select id, unnest(p), 1 from b) group by 1, 2),
+s as (select id, sum(least(a, b)) shared, bool_and(a = b) same from u group by 1)
+select b.id, coalesce(same, true)::int::double em, floor(coalesce(shared, 0) / greatest(len(g), len(p), 1) * 1000000 + 0.5) / 1000000 f1 from b left join s using (id)""")
 def drop_metrics(spark, sf_dir):
-    """Every word of a text counts as one answer."""
-    return records(spark, sf_dir).select("id", U.drop_scores(F.split("instruction", " "), F.split("output", " ")).alias("z")).select("id", "z.*")
+    """Every word of a text is an answer: of bags of one word, the best alignment has a closed form."""
+    z = records(spark, sf_dir).select("id", U.drop_scores(T.words(F.col("instruction")), T.words(F.col("output")), None).alias("z"))
+    return z.select("id", "z.em", (F.floor(F.col("z.f1") * 1000000 + 0.5) / 1000000).alias("f1"))
 
 
-_W = r"[\p{L}\p{N}_]"
 _S = rf"[{SPACES}]"
 _TRIM = lambda x: f"regexp_replace({x}, '^{_S}+|{_S}+$', '', 'g')"
 _V = _TRIM("v")
