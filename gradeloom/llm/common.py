@@ -70,6 +70,15 @@ def _state() -> dict:
     return sys.modules.setdefault("gradeloom_worker_state", types.ModuleType("gradeloom_worker_state")).__dict__
 
 
+def trim() -> None:
+    """Give freed memory back to the system, which allocators else keep: a few milliseconds after each large piece of work."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def forget() -> None:
     """Drop what the worker keeps, and give its memory back: the next stage's tasks run in the same processes."""
     state = _state()
@@ -77,11 +86,7 @@ def forget() -> None:
         return
     state.pop("key", None)
     gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
+    trim()
 
 
 def kept_in_worker(key: object, make: Callable[[], object]) -> object:

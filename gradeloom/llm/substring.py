@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, forget, kept_in_worker, materialize, small_batches
+from .common import SLICE, forget, kept_in_worker, materialize, small_batches, trim
 from .shingles import WordHashes, joined, runs
 
 WIDTH = 20
@@ -206,6 +206,7 @@ def _counted(shards: int, bits: int, width: int):
                 often = np.minimum(counts, 255).astype(np.uint8)
                 rows = [(int(shard[i]), number, coded(first[i:e]), three[i:e].tobytes(), zlib.compress(often[i:e].tobytes(), 1)) for i, e in zip(cut.tolist(), np.append(cut[1:], len(shard)).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["shard", "unit", "first", "second", "often"])
+                trim()
 
     return run
 
@@ -303,6 +304,7 @@ def _suspected(shards: int, bits: int, width: int, buckets: int, hot):
                 left = left[np.argsort(bucket[left], kind="stable")]
                 which, sizes_ = np.unique(bucket[left], return_counts=True)
                 yield batch_of(which, number, sizes_, a[left].view(np.int64), b[left].view(np.int32), doc[left], of[left], at[left], None)
+                trim()
 
     return run
 

@@ -22,12 +22,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .batch_tokenizer import BatchTokenizer
-from .common import SLICE, forget, kept_in_worker, materialize, shared_dir, small_batches
+from .common import SLICE, forget, kept_in_worker, materialize, shared_dir, small_batches, trim
 
 FILE_SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 BROADCAST_ROWS = 100_000
 #: Bytes of texts that a task encodes together; bounds its memory besides the longest text.
-ENCODED_AT_ONCE = 16 << 20
+ENCODED_AT_ONCE = 8 << 20
 
 
 def _encoded(data, end_id: int):
@@ -45,6 +45,7 @@ def _encoded(data, end_id: int):
             whole = pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "at", "n_tokens", "ids"])
             yield from (whole.slice(k, SLICE) for k in range(0, len(n), SLICE))
             at = int(ends[-1])
+            trim()
 
         for batch in batches:
             held.append(batch)
