@@ -18,6 +18,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 2048
+#: Vectors up to this size are broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def matrix(t: pa.Table, name: str = "v") -> np.ndarray:
@@ -133,8 +135,16 @@ def pair_cells(df: DataFrame, id_col: str, value: str, compare: Callable[[pa.Tab
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, metric: str = "euclidean", exclude_self: bool = True) -> DataFrame:
-    """query_id, rank (from 1), id, distance of each query's k nearest rows; smaller ids first among equals. Both tables: (id, v)."""
-    g, s = blocks_of(queries.count()), max(8, blocks_of(rows.count()))
+    """query_id, rank (from 1), id, distance of each query's k nearest rows; smaller ids first among equals. Both tables: (id, v).
+
+    Rows that take up to ``BROADCAST_BYTES``, which is counted first, are broadcast and the queries mapped over them without a shuffle. Beyond it both are
+    dealt to blocks and each pair of blocks is a task. The result is the same.
+    """
+    n, width = rows.select(F.count("*"), F.max(F.size("v"))).first()
+    id_type = dict(queries.dtypes)["id"]
+    if n * (width or 0) * 8 <= BROADCAST_BYTES:
+        return queries.select("id", "v").mapInArrow(_nearest_map(rows, n, k, metric, exclude_self), f"query_id {id_type}, rank int, id {id_type}, distance double")
+    g, s = blocks_of(queries.count()), max(8, blocks_of(n))
     a = queries.select("id", "v", block("id", g).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(s - 1))).alias("s"))
     b = rows.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(g - 1))).alias("g"), block("id", s).alias("s"))
 
@@ -149,7 +159,27 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, metric: str = "euclidea
         kind = pa.int64() if pa.types.is_integer(q.schema.field("id").type) else pa.string()
         return pa.table({"query_id": pa.array(list(out_q), kind), "id": pa.array(list(out_r), kind), "distance": pa.array(list(out_d), pa.float64())})
 
-    id_type = dict(queries.dtypes)["id"]
     hits = a.groupBy("g", "s").cogroup(b.groupBy("g", "s")).applyInArrow(run, f"query_id {id_type}, id {id_type}, distance double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
     return hits.select("query_id", rank.alias("rank"), "id", "distance").where(F.col("rank") <= k)
+
+
+def _nearest_map(rows: DataFrame, n: int, k: int, metric: str, exclude_self: bool):
+    t = rows.select("id", "v").toArrow()
+    ids = np.array(t.column("id").to_pylist())
+    order = np.argsort(ids, kind="stable")
+    held = rows.sparkSession.sparkContext.broadcast((ids[order], matrix(t)[order] if n else np.zeros((0, 0))))
+    at_once = max(1, min(1024, (4 << 20) // max(n, 1)))
+
+    def run(batches):
+        ri, r = held.value
+        for b in batches:
+            for start in range(0, b.num_rows if n else 0, at_once):
+                some = pa.Table.from_batches([b.slice(start, at_once)])
+                qi = np.array(some.column("id").to_pylist())
+                i, j, d = nearest_of(matrix(some), r, k, metric, qi[:, None] == ri[None, :] if exclude_self else None)
+                rank = np.arange(len(i)) - np.searchsorted(i, i) + 1
+                kind = some.schema.field("id").type
+                yield pa.RecordBatch.from_arrays([pa.array(qi[i].tolist(), kind), pa.array(rank, pa.int32()), pa.array(ri[j].tolist(), kind), pa.array(d, pa.float64())], names=["query_id", "rank", "id", "distance"])
+
+    return run

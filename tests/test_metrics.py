@@ -221,6 +221,21 @@ def test_nearest_rows_against_all_distances(metric):
             assert j[i == x].tolist() == [y for _, y in order] and got[i == x] == pytest.approx([v for v, _ in order])
 
 
+def test_nearest_by_map_and_by_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(60, 3)), 1)
+    x[10] = x[20]
+    monkeypatch.setattr(G, "BLOCK_ROWS", 16)
+    for kind in ("long", "string"):
+        df = spark.createDataFrame([(i if kind == "long" else f"k{i:02}", v.tolist()) for i, v in enumerate(x)], f"id {kind}, v array<double>")
+        got = []
+        for most in (64 << 20, 0):
+            monkeypatch.setattr(G, "BROADCAST_BYTES", most)
+            got.append(sorted(map(tuple, G.nearest(df, df, 4).collect())))
+            assert G.nearest(df.limit(0), df, 4).count() == G.nearest(df, df.limit(0), 4).count() == 0
+        assert got[0] == got[1] and len(got[0]) == 240
+
+
 def test_sampled_pairs_are_distinct_and_even(spark):
     for n, k in ((2, 5), (7, 21), (60, 700), (3000, 20000)):
         got = [tuple(r) for r in S.sampled_pairs(spark, n, k).collect()]
