@@ -98,7 +98,7 @@ class BatchTokenizer:
         is_plain, is_other = np.flatnonzero(plain), np.flatnonzero(~plain & ~odd)
         some = chunks.take(pa.array(is_plain))
         coded = pc.utf8_rtrim(some, _SIGNS).dictionary_encode()
-        code = coded.indices.to_numpy().astype(np.int64)
+        code = coded.indices.to_numpy()
         often = np.bincount(code, counts[is_plain], len(coded.dictionary)) > 1
         sign = pc.index_in(pc.utf8_slice_codeunits(some, -1), value_set=pa.array(list(_SIGNS), pa.large_string()))
         words = self._words(coded.dictionary, often)
@@ -120,28 +120,35 @@ class BatchTokenizer:
         n = len(texts)
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         flat, sizes = split.flatten(), split.value_lengths().to_numpy()
+        del split
         first = np.cumsum(sizes) - sizes
         heads = flat.take(pa.array(first)).dictionary_encode()
         coded = flat.dictionary_encode()
-        code = coded.indices.to_numpy().astype(np.int64)
+        del flat
+        code, chunks = coded.indices.to_numpy().copy(), coded.dictionary
+        del coded
         rest = np.ones(len(code), bool)
         rest[first] = False
-        lists, odd = self._chunks(coded.dictionary, np.bincount(code[rest], minlength=len(coded.dictionary)))
-        of = np.repeat(np.arange(n), sizes)
+        lists, odd = self._chunks(chunks, np.bincount(code[rest], minlength=len(chunks)))
+        base, n_heads = len(chunks), len(heads.dictionary)
+        del chunks
+        of = np.repeat(np.arange(n, dtype=np.int32), sizes)
         odd_text = np.zeros(n, bool)
         odd_text[of[rest & odd[code]]] = True
         alone = [self.whole(t) for t in heads.dictionary.to_pylist()] + [self.whole(texts[i].as_py()) for i in np.flatnonzero(odd_text).tolist()]
         alone += [[end_id] if end_id is not None else []]
         ends = np.cumsum([len(x) for x in alone])
         lists = pa.concat_arrays([lists, _lists(np.fromiter((i for x in alone for i in x), np.int32), ends)])
-        base, n_heads = len(coded.dictionary), len(heads.dictionary)
         code[first] = base + heads.indices.to_numpy()
         code[first[odd_text]] = base + n_heads + np.arange(int(odd_text.sum()))
-        keep = ~odd_text[of] | ~rest
-        parts = np.full(len(code) + n, base + len(alone) - 1)
-        parts[np.arange(len(code)) + of] = code
+        # A text's pieces, then the end; of a text encoded whole only the first piece counts.
+        parts = np.full(len(code) + n, base + len(alone) - 1, np.int32)
+        place = np.arange(len(code), dtype=np.int32) + of
+        parts[place] = code
         taken = np.ones(len(parts), bool)
-        taken[(np.arange(len(code)) + of)[~keep]] = False
+        taken[place[odd_text[of] & rest]] = False
+        del code, place, of, rest
         counts = lists.value_lengths().to_numpy()[parts] * taken
-        upto = np.cumsum(counts)[np.cumsum(sizes + 1) - 1] if n else np.empty(0, np.int64)
+        upto = np.cumsum(counts, dtype=np.int64)[np.cumsum(sizes + 1) - 1] if n else np.empty(0, np.int64)
+        del counts
         return _lists(lists.take(pa.array(parts[taken])).flatten().to_numpy(), upto)
