@@ -210,8 +210,8 @@ def lcs(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def rouge_of(gold: str, pred: str) -> tuple[float, float, float]:
-    """F-measures of ROUGE-1, -2 and -L over lower-cased letters and digits."""
+def rouge_of(gold: str, pred: str, longest: bool = True) -> tuple[float, float, float]:
+    """F-measures of ROUGE-1, -2 and -L (0 unless ``longest``) over lower-cased letters and digits."""
     g, p = (re.findall(r"[a-z0-9]+", x.lower()) for x in (gold, pred))
 
     def f(both: int, a: int, b: int) -> float:
@@ -221,7 +221,7 @@ def rouge_of(gold: str, pred: str) -> tuple[float, float, float]:
     for n in (1, 2):
         cg, cp = (Counter(zip(*(x[i:] for i in range(n)), strict=False)) for x in (g, p))
         out.append(f(sum((cg & cp).values()), sum(cg.values()), sum(cp.values())))
-    return (*out, f(lcs(g, p), len(g), len(p)))
+    return (*out, f(lcs(g, p) if longest else 0, len(g), len(p)))
 
 
 def common_places(a: list[str], b: list[str]) -> dict[int, int]:
@@ -335,6 +335,19 @@ def extractive_of(source: str, summary: str) -> tuple[float, float, float]:
     return sum(pieces) / n, sum(x * x for x in pieces) / n, len(a) / n
 
 
+_GRAMS = "rouge1 double, rouge2 double, novel_1 double, repeated_1 double"
+
+
+def ngram_overlap(gold: Column, pred: Column) -> Column:
+    """Only the scores that n-gram counts give, in time that follows the texts' lengths."""
+    return F.pandas_udf(_gram_overlaps, _GRAMS)(gold, pred)
+
+
+def _gram_overlaps(gold: pd.Series, pred: pd.Series) -> pd.DataFrame:
+    rows = [(*rouge_of(g or "", p or "", longest=False)[:2], *novelty_of(g or "", p or "", 1)) for g, p in zip(gold, pred, strict=True)]
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in _GRAMS.split(", ")])
+
+
 _OVERLAP = "rouge1 double, rouge2 double, rougeL double, rougeLsum double, bleu double, chrf double, edit_distance long, edit_similarity double, coverage double, density double, compression double, novel_1 double, repeated_1 double, novel_2 double, repeated_2 double, novel_3 double, repeated_3 double"
 
 

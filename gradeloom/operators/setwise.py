@@ -95,6 +95,45 @@ def average_pair_similarity(rows: DataFrame, metric: str = "cosine", id_col: str
     return cells.agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(*out(F.col("s"), pairs))
 
 
+def common_counts(a: np.ndarray, of_a: np.ndarray, n: int, b: np.ndarray, of_b: np.ndarray, m: int) -> np.ndarray:
+    """n x m: how many values sets of two sides share. ``a[i]`` is a value of set ``of_a[i]``, none twice.
+
+    Values that many pairs share go through a matrix product; of the others the pairs are counted one by one, which costs less than a column of the product.
+    """
+    values = np.intersect1d(np.unique(a), np.unique(b), assume_unique=True)
+    if not len(values):
+        return np.zeros((n, m))
+
+    def sorted_places(x: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(values, x), len(values) - 1)
+        hit = values[at] == x
+        order = np.argsort(at[hit], kind="stable")
+        return at[hit][order], of[hit][order]
+
+    (va, ra), (vb, rb) = sorted_places(a, of_a), sorted_places(b, of_b)
+    ca, cb = np.bincount(va, minlength=len(values)), np.bincount(vb, minlength=len(values))
+    often = ca * cb > max(64, n * m // 500)
+    out = np.zeros((n, m), np.float32)
+    number = np.cumsum(often) - 1
+    for k in range(0, int(often.sum()), 2048):
+        left, right = np.zeros((n, 2048), np.float32), np.zeros((m, 2048), np.float32)
+        for side, v, r in ((left, va, ra), (right, vb, rb)):
+            use = often[v] & (number[v] >= k) & (number[v] < k + 2048)
+            side[r[use], number[v[use]] - k] = 1
+        out += left @ right.T
+    counts = out.astype(np.int64).ravel()
+    starts = np.cumsum(cb) - cb
+    rare = ~often[va]
+    v, r = va[rare], ra[rare]
+    step = max(1, (1 << 22) // max(1, int(cb[~often].max(initial=1))))
+    for k in range(0, len(v), step):  # each place on the left with all places of its value on the right
+        own, row = v[k : k + step], r[k : k + step]
+        each = cb[own]
+        at = np.repeat(starts[own] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        counts += np.bincount(np.repeat(row, each) * m + rb[at], minlength=n * m)
+    return counts.reshape(n, m)
+
+
 def average_pair_jaccard(rows: DataFrame, id_col: str = "id", grams: str = "v", sample_pairs: int | None = None, seed: int = 42) -> DataFrame:
     """Mean Jaccard similarity of all pairs of gram sets (arrays of text), or of ``sample_pairs`` of them if there are more; an empty set gives 0. Exact, block by block."""
     if sample_pairs is not None and (count := rows.count()) * (count - 1) // 2 > sample_pairs:
@@ -102,27 +141,17 @@ def average_pair_jaccard(rows: DataFrame, id_col: str = "id", grams: str = "v",
         return s.select(*_pair_report(F.col("s"), F.col("n"), F.col("n") * (F.col("n") - 1) / 2, F.col("k")))
 
     def compare(t: pa.Table, other: pa.Table | None) -> dict:
-        sets = [set(x) for x in t.column("v").to_pylist()]
-        more = sets if other is None else [set(x) for x in other.column("v").to_pylist()]
-        numbers: dict[str, int] = {}
-        for s in (*sets, *([] if other is None else more)):
-            for g in s:
-                numbers.setdefault(g, len(numbers))
-        inter = np.zeros((len(sets), len(more)), np.float32)
-        coords = [[np.array([(i, numbers[g]) for i, s in enumerate(x) for g in s], np.int64).reshape(-1, 2)] for x in (sets, more)]
-        for k in range(0, len(numbers), 4096):
-            m = []
-            for (c,), x in zip(coords, (sets, more), strict=True):
-                part = c[(c[:, 1] >= k) & (c[:, 1] < k + 4096)]
-                a = np.zeros((len(x), 4096), np.float32)
-                a[part[:, 0], part[:, 1] - k] = 1
-                m.append(a)
-            inter += m[0] @ m[1].T
-        la, lb = np.array([len(s) for s in sets]), np.array([len(s) for s in more])
-        union = la[:, None] + lb[None, :] - inter
-        j = np.where(union > 0, inter / np.where(union > 0, union, 1), 0.0).astype(np.float64)
-        return {"s": float(j.sum() if other is not None else (j.sum() - np.trace(j)) / 2), "n": len(sets) if other is None else 0}
-
+        parts = [t.column("v").combine_chunks()] if other is None else [x.column("v").combine_chunks() for x in (t, other)]
+        sizes = [x.value_lengths().to_numpy(zero_copy_only=False) for x in parts]
+        flat = [x.flatten().to_numpy() for x in parts]
+        owner = [np.repeat(np.arange(len(n)), n) for n in sizes]
+        inter = common_counts(flat[0], owner[0], len(sizes[0]), flat[-1], owner[-1], len(sizes[-1]))
+        union = sizes[0][:, None] + sizes[-1][None, :] - inter
+        j = np.where(union > 0, inter / np.where(union > 0, union, 1), 0.0)
+        return {"s": float(j.sum() if other is not None else (j.sum() - np.trace(j)) / 2), "n": len(sizes[0]) if other is None else 0}
+
+    # Grams as 64-bit hashes: other grams pass for equal once in 2 ** 64 pairs of them.
+    rows = rows.select(F.col(id_col), F.array_distinct(F.transform(F.coalesce(F.col(grams), F.array().cast("array<string>")), lambda g: F.xxhash64(g))).alias(grams))
     c = pair_cells(rows, id_col, grams, compare, "s double, n long").agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
     return c.select(*_pair_report(F.col("s"), F.col("n"), pairs, pairs))
@@ -297,15 +326,25 @@ def novelty_sum(rows: DataFrame, neighbors: tuple[int, ...] = (5, 10), density_p
     return out.agg(F.count("*").alias("num_samples"), F.avg("cosine").alias("cos_distance"), F.create_map(*scores).alias("scores"))
 
 
-def _numbered(n: int):
-    return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"))
-
-
 def ngram_diversity(tokens: DataFrame, column: str = "tokens", sizes: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
-    """n, distinct, total and their ratio over all n-grams of the whole set (arrays of tokens); one pre-aggregated shuffle for all sizes."""
-    each = F.explode(F.flatten(F.array(*(F.transform(ngrams(F.col(column), n), _numbered(n)) for n in sizes))))
-    counted = tokens.select(each.alias("z")).groupBy("z.n", "z.g").count()
-    return counted.groupBy("n").agg(F.count("*").alias("distinct"), F.sum("count").alias("total"), (F.count("*") / F.sum("count")).alias("diversity"))
+    """n, distinct, total and their ratio over all n-grams of the whole set (arrays of tokens). Hashes of n-grams are counted within each Arrow batch first, then in one shuffle for all sizes."""
+
+    def run(batches):
+        for b in batches:
+            h, n = b.column(0).flatten().to_numpy().view(np.uint64), b.column(0).value_lengths().to_numpy(zero_copy_only=False)
+            left = np.repeat(np.cumsum(n), n) - np.arange(len(h))  # tokens from here to the end of the row
+            grams_, done = h, 1
+            for size in sorted(sizes):
+                while done < size and len(grams_) > 1:
+                    grams_ = (grams_[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ h[done : done + len(grams_) - 1]) * np.uint64(0xD6E8FEB86659FD93)
+                    grams_, done = grams_ ^ grams_ >> np.uint64(29), done + 1
+                own = grams_[left[: len(grams_)] >= size] if done == size else grams_[:0]
+                g, c = np.unique(own, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), size, np.int32)), pa.array(g.view(np.int64)), pa.array(c.astype(np.int64))], names=["n", "g", "c"])
+
+    hashed = tokens.where(F.size(column) > 0).select(F.transform(column, lambda w: F.xxhash64(w)).alias("h"))
+    counted = hashed.mapInArrow(run, "n int, g long, c long").groupBy("n", "g").agg(F.sum("c").alias("c"))
+    return counted.groupBy("n").agg(F.count("*").alias("distinct"), F.sum("c").alias("total"), (F.count("*") / F.sum("c")).alias("diversity"))
 
 
 def sampled_pairs(spark: SparkSession, n: int, k: int, seed: int = 42) -> DataFrame:

@@ -187,7 +187,7 @@ select t.id, round(coalesce(max(2 * m / (x + y)) filter (n = 1), 0), 6)::double
 @query(_overlap_sql())
 def ngram_overlap(spark, sf_dir):
     """Those of the overlap scores that SQL can count."""
-    z = records(spark, sf_dir).select("id", U.overlap(F.col("instruction"), F.col("output")).alias("z"))
+    z = records(spark, sf_dir).select("id", U.ngram_overlap(F.col("instruction"), F.col("output")).alias("z"))
     return z.select("id", *(rounded(F.col(f"z.{c}")).alias(c) for c in ("rouge1", "rouge2", "novel_1", "repeated_1")))
 
 

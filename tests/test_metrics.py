@@ -221,6 +221,26 @@ def test_nearest_rows_against_all_distances(metric):
             assert j[i == x].tolist() == [y for _, y in order] and got[i == x] == pytest.approx([v for v, _ in order])
 
 
+def test_ngram_diversity_by_hand(spark):
+    rows = [["a", "b", "a", "b", "a"], ["a"], [], None, ["b", "a", "b"]]
+    got = {r.n: (r.distinct, r.total) for r in S.ngram_diversity(spark.createDataFrame([(r,) for r in rows], "tokens array<string>"), sizes=(1, 2, 3, 6)).collect()}
+    want = {}
+    for n in (1, 2, 3):
+        grams = [tuple(r[i : i + n]) for r in rows if r for i in range(len(r) - n + 1)]
+        want[n] = (len(set(grams)), len(grams))
+    assert got == want
+
+
+def test_common_counts_against_sets():
+    rng = np.random.default_rng(0)
+    for n, m, v in ((30, 20, 8), (200, 150, 3000), (1, 1, 1), (40, 40, 400)):
+        sets = [[set(rng.integers(0, max(1, int(v * rng.random() ** 3)) + 1, rng.integers(0, 60)).tolist()) for _ in range(k)] for k in (n, m)]
+        flat = [np.array([x for s in side for x in s], np.int64) for side in sets]
+        owner = [np.array([i for i, s in enumerate(side) for _ in s], np.int64) for side in sets]
+        got = S.common_counts(flat[0], owner[0], n, flat[1], owner[1], m)
+        assert (got == [[len(x & y) for y in sets[1]] for x in sets[0]]).all()
+
+
 def test_nearest_by_map_and_by_blocks(spark, monkeypatch):
     rng = np.random.default_rng(3)
     x = np.round(rng.normal(size=(60, 3)), 1)
