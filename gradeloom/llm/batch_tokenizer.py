@@ -23,14 +23,16 @@ _PLAIN = r"^\n?[A-Za-zÀ-ÖØ-öø-ž]+[.,;:!?]?$"
 #: A chunk as the split leaves it: without its space, or with its line feed.
 _ODD = r"^(?:$|\n$|\n?[\x09\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\p{Z}]|\n\n)"
 _SIGNS = ".,;:!?"
+#: Fixed value: the sign that byte-level vocabularies write for a space.
+SPACE = "Ġ"
 
 
 def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids, pa.int32()))
 
 
-def _spaced(texts: pa.LargeStringArray) -> pa.LargeStringArray:
-    return pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string()))
+def _spaced(texts: pa.LargeStringArray, space: str = " ") -> pa.LargeStringArray:
+    return pc.binary_join_element_wise(pa.scalar(space, pa.large_string()), texts, pa.scalar("", pa.large_string()))
 
 
 class BatchTokenizer:
@@ -40,11 +42,14 @@ class BatchTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.full, self.plain, self.lines = (Tokenizer.from_str(data.decode()) for _ in range(3))
-        self.full.encode_special_tokens = self.plain.encode_special_tokens = self.lines.encode_special_tokens = True
+        self.full, self.plain, self.lines, self.ascii = (Tokenizer.from_str(data.decode()) for _ in range(4))
+        for t in (self.full, self.plain, self.lines, self.ascii):
+            t.encode_special_tokens = True
         raw = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), raw])
         self.lines.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), raw])
+        # Letters of ASCII stand for themselves among a byte-level vocabulary's signs, and SPACE for a space: nothing is left to translate.
+        self.ascii.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
         self.lengths = np.zeros(self.full.get_vocab_size(), np.int64)
         for token, i in self.full.get_vocab().items():
             self.lengths[i] = len(token)  # a sign for each byte
@@ -53,21 +58,23 @@ class BatchTokenizer:
             parts = [x for p in probe.split(at)[1:] for x in ([at + p[:-1], p[-1]] if p[-1] in _SIGNS else [at + p])]
             if self.whole(probe) != [i for p in parts for i in (self.full if p in _SIGNS else with_).encode(p, add_special_tokens=False).ids]:
                 raise ValueError("the tokenizer does not part texts before spaces and signs")
+        if self.ascii.encode(f"{SPACE}some {SPACE}Words {SPACE}x", add_special_tokens=False).ids != self.whole(" some Words x"):
+            raise ValueError("the tokenizer's vocabulary is not of bytes")
         self.signs = _lists(np.array([self.whole(s)[0] for s in _SIGNS]), np.arange(1, len(_SIGNS) + 1))
         self.known, self.known_ids = pa.array([], pa.large_string()), _lists(np.empty(0, np.int32), np.empty(0, np.int32))
 
     def whole(self, text: str) -> list[int]:
         return self.full.encode(text, add_special_tokens=False).ids
 
-    def _parted(self, tokenizer, texts: pa.LargeStringArray) -> pa.ListArray:
-        """Ids of texts that each begin with a space or line feed: many go through one call, and their ids part where the bytes of the tokens add up."""
+    def _parted(self, tokenizer, texts: pa.LargeStringArray, more: int = 0) -> pa.ListArray:
+        """Ids of texts that each begin with a space or line feed: many go through one call, and their ids part where the bytes of the tokens add up. ``more``: bytes of each text beyond those."""
         out = []
         for k in range(0, len(texts), AT_ONCE):
             part = pa.concat_arrays([texts[k : k + AT_ONCE]])
             ends = np.frombuffer(part.buffers()[1], np.int64, len(part) + 1, part.offset * 8)
             joined = part.buffers()[2].to_pybytes()[ends[0] : ends[-1]].decode()
             ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
-            done, sizes = np.cumsum(self.lengths[ids]), ends[1:] - ends[0]
+            done, sizes = np.cumsum(self.lengths[ids]), ends[1:] - ends[0] - more * np.arange(1, len(part) + 1)
             at = np.searchsorted(done, sizes, "right")
             if not (done[at - 1] == sizes).all():
                 raise ValueError("the tokenizer does not part texts before spaces")
@@ -79,10 +86,12 @@ class BatchTokenizer:
         at = pc.index_in(words, value_set=self.known)
         new = at.is_null()
         line = pc.starts_with(words, "\n")
-        spaced, lined = (np.flatnonzero(pc.and_(new, x).to_numpy(zero_copy_only=False)) for x in (pc.invert(line), line))
-        missing = np.append(spaced, lined)
+        plain = pc.string_is_ascii(words)
+        simple, spaced, lined = (np.flatnonzero(pc.and_(new, x).to_numpy(zero_copy_only=False)) for x in (pc.and_not(plain, line), pc.invert(pc.or_(plain, line)), line))
+        missing = np.concatenate([simple, spaced, lined])
         fresh = words.take(pa.array(missing))
-        learned = pa.concat_arrays([self._parted(self.plain, _spaced(fresh[: len(spaced)])), self._parted(self.lines, fresh[len(spaced) :])])
+        n, m = len(simple), len(simple) + len(spaced)
+        learned = pa.concat_arrays([self._parted(self.ascii, _spaced(fresh[:n], f" {SPACE}"), 2), self._parted(self.plain, _spaced(fresh[n:m])), self._parted(self.lines, fresh[m:])])
         where = at.fill_null(0).to_numpy().astype(np.int64)
         where[missing] = len(self.known) + np.arange(len(missing))
         found = pa.concat_arrays([self.known_ids, learned])

@@ -45,7 +45,6 @@ def _encoded(data, end_id: int):
             whole = pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "at", "n_tokens", "ids"])
             yield from (whole.slice(k, SLICE) for k in range(0, len(n), SLICE))
             at = int(ends[-1])
-            trim()
 
         for batch in batches:
             held.append(batch)
@@ -54,6 +53,7 @@ def _encoded(data, end_id: int):
                 yield from flush()
         if sum(b.num_rows for b in held):
             yield from flush()
+        trim()
 
     return run
 
