@@ -11,8 +11,9 @@ lines are at least ``least_kept`` of all its words.
 
 Widespread lines are counted over all texts: a line that stands between at least ``LEAST_PLACES`` different pairs of neighbours, and in half as many
 such pairs as texts or more. The latter tells a site's footer from the lines of texts with many copies, which have the same
-neighbours everywhere and don't fail. The first number rises with the corpus to a ``MOST_LINES``th of all its lines, so that at most so many lines are
-widespread (8 MB as hashes): they are broadcast. Lines count as equal if their 64-bit hashes are.
+neighbours everywhere and don't fail. Neither number depends on the size of the corpus. A text's lines and what else is judged of it are
+written once to the shared folder; widespread lines are a table too, joined to the lines, so that there may be any number of them. Lines count as equal
+if their 64-bit hashes are.
 
 Windows of eight words are compared within a text by sorting arrays of word numbers: exact, whole texts, no cap.
 Null and empty texts have no words and fail; rows that repeat an id are judged each; an empty table gives no rows.
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, materialize
 
-LEAST_PLACES, MOST_LINES = 20, 1 << 20
+LEAST_PLACES = 20
+#: Only the SQL of op10 still lets the least number of places rise, so that there are at most so many widespread lines.
+MOST_LINES = 1 << 20
 #: bytes.split() parts at the six signs \x20 and \x09-\x0D; str.split() would part at more.
 _SIGNS = " \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -106,34 +109,44 @@ def line_fails(line: bytes, n_words: int, prose_words: int = 5, widespread: froz
     return None
 
 
+def line_places(raw: bytes) -> dict[int, int]:
+    """Hashes of a text's distinct lines, each with a hash of the neighbours where it stands first."""
+    lines = [line_hash(x) for x in (y.strip() for y in raw.split(b"\n")) if x]
+    first: dict[int, int] = {}
+    for before, line, after in zip([0, *lines], lines, [*lines[1:], 0], strict=False):
+        if line not in first:
+            h = xxhash.xxh64_intdigest(b"%d %d" % (before, after))
+            first[line] = h - (1 << 64) if h >> 63 else h
+    return first
+
+
 def _lines():
     def each(rows):
-        out = []
-        for (text,) in rows:
-            lines = [line_hash(x) for x in (y.strip() for y in (text or "").encode("utf-8", "surrogatepass").split(b"\n")) if x]
-            around = zip([0, *lines], lines, [*lines[1:], 0], strict=False)
-            first: dict[int, int] = {}
-            for before, line, after in around:
-                if line not in first:
-                    h = xxhash.xxh64_intdigest(b"%d %d" % (before, after))
-                    first[line] = h - (1 << 64) if h >> 63 else h
-            out.append((list(first), list(first.values())))
-        return out
+        found = [line_places((text or "").encode("utf-8", "surrogatepass")) for (text,) in rows]
+        return [(list(x), list(x.values())) for x in found]
 
     return each
 
 
-def widespread_lines(docs: DataFrame, least_places: int = LEAST_PLACES, most_lines: int = MOST_LINES) -> np.ndarray:
-    """Hashes of the lines of ``docs`` that are widespread, sorted; at most ``most_lines``."""
-    rows = arrow_map(docs.select("text"), "line array<long>, place array<long>", _lines)
+def _counted(rows: DataFrame, least_places: int) -> DataFrame:
+    """(line, places, texts) of (line array, place array). Lines in too few places only add to the total, so they are summed to one row."""
     each = rows.select(F.explode(F.arrays_zip("line", "place")).alias("z")).groupBy("z.line", "z.place").count()
     each = each.groupBy("line").agg(F.count("*").alias("places"), F.sum("count").alias("texts"))
-    # Lines in too few places only add to the total, so they are summed away before the table is written.
-    open_ = F.col("places") >= least_places
-    each = each.groupBy(F.when(open_, F.col("line")).alias("line")).agg(F.sum("places").alias("places"), F.sum("texts").alias("texts"))
-    each = materialize(each, "line-places")
-    total = each.agg(F.sum("texts")).first()[0] or 0
-    need = max(least_places, -(-total // most_lines))
+    return each.groupBy(F.when(F.col("places") >= least_places, F.col("line")).alias("line")).agg(F.sum("places").alias("places"), F.sum("texts").alias("texts"))
+
+
+def widespread(rows: DataFrame, least_places: int = LEAST_PLACES) -> DataFrame:
+    """The widespread lines (line) of texts' (line array, place array), any number of them."""
+    return _counted(rows, least_places).where(F.col("line").isNotNull() & (2 * F.col("places") >= F.col("texts"))).select("line")
+
+
+def widespread_lines(docs: DataFrame, least_places: int = LEAST_PLACES, most_lines: int | None = None) -> np.ndarray:
+    """Hashes of the lines of ``docs`` that are widespread, sorted. For callers that can hold only ``most_lines``, the least number of places rises with the corpus."""
+    each = _counted(arrow_map(docs.select("text"), "line array<long>, place array<long>", _lines), least_places)
+    need = least_places
+    if most_lines:
+        each = materialize(each, "line-places")
+        need = max(need, -(-(each.agg(F.sum("texts")).first()[0] or 0) // most_lines))
     found = each.where(F.col("line").isNotNull() & (F.col("places") >= need) & (2 * F.col("places") >= F.col("texts"))).select("line").toArrow()
     return np.sort(found.column("line").to_numpy())
 
@@ -150,7 +163,7 @@ def judge(text: str | None, min_words: int = 20, most_repeat: int = 30, least_ke
         seen.add(line)
         if line_fails(line, k, prose_words, widespread) is None:
             left += k
-            kept.append(line)
+            kept.append((line, k))
     repeats = repeat_words(words)
     failed = n < min_words or 100 * repeats > most_repeat * n
     return {
@@ -162,5 +175,6 @@ def judge(text: str | None, min_words: int = 20, most_repeat: int = 30, least_ke
         "base_failed": failed,
         "kept": not failed and left >= least_kept * n,
         "kept_words": left,
-        "cleaned": b"\n".join(kept).decode("utf-8", "surrogatepass"),
+        "kept_lines": kept,
+        "cleaned": b"\n".join(x for x, _ in kept).decode("utf-8", "surrogatepass"),
     }

@@ -1,29 +1,44 @@
 """Query op10_line_rules and its SQL."""
 
-from .common import arrow_map, kept_in_worker
-from .line_rules import BARS, CAPITAL, CODE, ENDS, LEAST_PLACES, LETTERS, MARKED, MENU, MOST_LINES, NOTICE, SENTENCE, judge, widespread_lines
+from pyspark import TaskContext
+from pyspark.sql import functions as F
 
-FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_words")
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, kept_words long"
+from .common import arrow_map, materialize
+from .line_rules import BARS, CAPITAL, CODE, ENDS, LEAST_PLACES, LETTERS, MARKED, MENU, MOST_LINES, NOTICE, SENTENCE, judge, line_hash, line_places, widespread
 
+FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept_words")
+SCHEMA = "row long, doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept_words long, line array<long>, place array<long>, words array<int>"
 
-def _rows(args, lines):
-    held = kept_in_worker(("lines", lines.value.tobytes()), lambda: set(lines.value.tolist()))
+
+def _rows(args):
+    number = TaskContext.get().partitionId() << 33
 
     def each(rows):
+        nonlocal number
         out = []
         for doc_id, text in rows:
-            x = judge(text, **args, widespread=held)
-            out.append((doc_id, *(x[f] for f in FIELDS)))
+            x = judge(text, **args)
+            places = line_places((text or "").encode("utf-8", "surrogatepass"))
+            words = dict.fromkeys(places, 0)  # of the lines that are left by their own form
+            for line, k in x["kept_lines"]:
+                words[line_hash(line.strip())] += k
+            out.append((number, doc_id, *(x[f] for f in FIELDS), list(places), list(places.values()), list(words.values())))
+            number += 1
         return out
 
     return each
 
 
-def line_rules(docs, least_places=LEAST_PLACES, **args):
+def line_rules(docs, least_places=LEAST_PLACES, least_kept=0.5, **args):
     """One row per row of ``docs``."""
-    lines = docs.sparkSession.sparkContext.broadcast(widespread_lines(docs, least_places))  # at most MOST_LINES numbers
-    return arrow_map(docs.select("doc_id", "text"), SCHEMA, _rows, args, lines)
+    judged = materialize(arrow_map(docs.select("doc_id", "text"), SCHEMA, _rows, args), "line-judged")
+    lines = materialize(widespread(judged, least_places), "line-widespread")  # Spark broadcasts it if it is small
+    each = judged.select("row", F.explode(F.arrays_zip("line", "words")).alias("z")).select("row", "z.line", "z.words").where("words > 0")
+    lost = each.join(lines, "line").groupBy("row").agg(F.sum("words").alias("lost"))
+    left = F.col("kept_words") - F.coalesce("lost", F.lit(0))
+    kept = ~F.col("base_failed") & (F.col("left") >= F.lit(float(least_kept)) * F.col("n_words"))
+    out = judged.join(lost, "row", "left").withColumn("left", left)
+    return out.select("doc_id", *FIELDS[:-1], kept.alias("kept"), F.col("left").alias("kept_words"))
 
 
 def op10_line_rules(spark, sf_dir):

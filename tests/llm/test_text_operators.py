@@ -293,6 +293,30 @@ def test_widespread_lines_but_not_copies(spark):
     assert widespread_lines(frame(spark, rows), most_lines=3).tolist() == []  # the bound rises with the corpus
 
 
+def test_widespread_lines_at_any_size_of_the_corpus(spark):
+    """A footer fails as before when the corpus has very many other lines, and there may be more widespread lines than texts."""
+    words = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n)) + "."
+    footers = [f"Shop number {j} is open from nine to five, see the map." for j in range(50)]
+    pages = [(i, "\n".join(f"{words(f'p{i}j{j}', 4)}\n{f}" for j, f in enumerate(footers)), "", "", 0) for i in range(25)]
+    # As if lines were 21 million and more, where the least number of places rose: the bound of 2 ** 20 lines, made smaller.
+    others = [(100 + i, "\n".join(words(f"o{i}j{j}", 5) for j in range(20)), "", "", 0) for i in range(30)]
+    from gradeloom.llm import line_rules as module
+
+    bound, sizes = module.MOST_LINES, module.widespread_lines.__defaults__
+    try:
+        module.MOST_LINES = 30
+        module.widespread_lines.__defaults__ = tuple(30 if x == bound else x for x in sizes)
+        few = {r.doc_id: tuple(r) for r in line_rules(frame(spark, pages)).collect()}
+        more = {r.doc_id: tuple(r) for r in line_rules(frame(spark, pages + others)).collect()}
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = {r.doc_id: tuple(r) for r in line_rules(frame(spark, pages + others)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        module.MOST_LINES, module.widespread_lines.__defaults__ = bound, sizes
+    assert all(more[i] == few[i] and few[i][-1] == 200 and not few[i][-2] for i in few)
+    assert joined == more
+
+
 def test_line_rules_method():
     assert line_fails(b"Home | About | Contact", 5) == "navigation"
     assert line_fails(b"Login", 1) == "navigation"
