@@ -121,15 +121,27 @@ def arrow_map(df: DataFrame, schema: str, rows: Callable[..., Callable[[list[tup
     return df.mapInArrow(run, schema)
 
 
+def thinned(edges: DataFrame) -> DataFrame:
+    """Fewer edges (a, b), a < b, with the same components: of a node's smaller neighbours only the least stays one, and the others are tied to that instead.
+
+    Where many nodes have the same few smaller neighbours, what those are tied to is said once.
+    """
+    e = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    e = e.join(e.groupBy("b").agg(F.min("a").alias("least")), "b")
+    return e.select(F.col("least").alias("a"), F.when(F.col("a") == F.col("least"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
+
+
 def components(edges: DataFrame, what: str = "components", most_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a long, b long), as (node, comp): comp is the smallest node reachable.
 
-    Each round takes the least label of a node's neighbours, then the label of that label. Both are joins
+    The edges are thinned once. Each round takes the least label of a node's neighbours, then the label of that label. Both are joins
     that adaptive execution may split where a node has very many edges, followed by a pre-aggregated minimum.
     A round's labels are a table in the shared folder, so lineage doesn't grow. Empty edges: no rows.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
-    both = materialize(both.distinct(), f"{what}-edges")
+    thin = materialize(thinned(edges), f"{what}-thin")
+    both = thin.union(thin.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = materialize(both, f"{what}-edges")
+    discard(thin)
     first = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp"))
     old = materialize(first, f"{what}-0")
     for k in range(1, most_rounds):

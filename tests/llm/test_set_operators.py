@@ -424,6 +424,34 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_dense_edges_take_few_rows(spark, monkeypatch):
+    """Texts tied to 30 hubs each: rounds go over about an edge a text, however many hubs; and random graphs give what merging sets gives."""
+    from gradeloom.llm import common
+
+    rows = {}
+
+    def counted(df, what, write=common.materialize):
+        out = write(df, what)
+        rows[what] = out.count()
+        return out
+
+    monkeypatch.setattr(common, "materialize", counted)
+    for n in (100, 200):
+        edges = [(hub, 1000 + i) for hub in range(30) for i in range(n)]
+        got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long"), "dense").collect()}
+        assert got == dict.fromkeys([*range(30), *range(1000, 1000 + n)], 0)
+        assert rows["dense-edges"] <= 2 * (n + 30)
+    rng = np.random.default_rng(3)
+    for n, k in ((40, 15), (40, 60), (200, 170)):
+        edges = rng.integers(0, n, (k, 2)).tolist()
+        want = {x: x for a, b in edges if a != b for x in (a, b)}
+        for a, b in edges:
+            if a != b:
+                low, high = sorted((want[a], want[b]))
+                want = {x: low if v == high else v for x, v in want.items()}
+        assert {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+
+
 def test_pu_learns_from_positive_and_unlabelled():
     rng = np.random.default_rng(0)
     clean = lambda: np.unique(rng.integers(100, 400, 30))
