@@ -66,10 +66,20 @@ class Unit:
     """The words of some documents in a row. ``starts[i]``: a window of one document starts at word i. ``h``: hashes of runs; ``low``: the least in each window."""
 
     def __init__(self, words: list[bytes], counts: np.ndarray, hashes: WordHashes, width: int):
+        self._set(*hashes.of(words), counts, width)
+
+    @classmethod
+    def hashed(cls, a: np.ndarray, b: np.ndarray, counts: np.ndarray, width: int) -> Unit:
+        """Of the halves of the words' hashes."""
+        u = cls.__new__(cls)
+        u._set(a, b, counts, width)
+        return u
+
+    def _set(self, a: np.ndarray, b: np.ndarray, counts: np.ndarray, width: int) -> None:
         self.width, self.size = width, max(1, width // 2)
         self.span = width - self.size + 1
-        self.n = max(0, len(words) - width + 1)
-        self.a, self.b = hashes.of(words)
+        self.n = max(0, len(a) - width + 1)
+        self.a, self.b = a, b
         ends = np.repeat(np.cumsum(counts), counts)[: self.n]
         self.starts = np.arange(self.n) + width <= ends
         self.h = runs(self.a, self.size)
@@ -166,22 +176,33 @@ def _packed():
     return run
 
 
-def _raws(packed: bytes, sizes: list[int]) -> list[bytes]:
+def _raws(packed: bytes, sizes: list[int]) -> Iterator[bytes]:
     whole = zstandard.ZstdDecompressor().decompress(packed)
     ends = np.cumsum([0, *sizes]).tolist()
-    return [whole[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    return (whole[a:b] for a, b in zip(ends, ends[1:], strict=False))
+
+
+def _each(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    """The rows of batches, one in Python at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield tuple(batch.column(c)[i].as_py() for c in columns)
 
 
 def _unit(packed: bytes, sizes: list[int], doc: list[int | None], width: int) -> tuple[Unit, np.ndarray]:
-    """The words of a unit, those of rows without an id left out; and the rows' word counts."""
-    words: list[bytes] = []
+    """The words of a unit, those of rows without an id left out; and the rows' word counts. A text's words are hashed and go before the next text's come."""
+    hashes = kept_in_worker("words", WordHashes)
+    halves = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
     counts = np.zeros(len(sizes), np.int64)
     for i, (raw, d) in enumerate(zip(_raws(packed, sizes), doc, strict=True)):
         if d is not None:
-            own = words_of(raw)
-            counts[i] = len(own)
-            words += own
-    return Unit(words, counts, kept_in_worker("words", WordHashes), width), counts
+            words = words_of(raw)
+            counts[i] = len(words)
+            for half, x in zip(halves, hashes.of(words), strict=True):
+                half.append(x)
+    a = np.concatenate(halves[0])
+    halves[0].clear()
+    return Unit.hashed(a, np.concatenate(halves[1]), counts, width), counts
 
 
 # Pass 1
@@ -192,20 +213,23 @@ SEEN = "shard int, unit long, first binary, second binary, often binary"
 def _counted(shards: int, bits: int, width: int):
     """Map: units to their partition sketches, a row for each shard."""
 
+    def sketch(number: int, doc: list, sizes: list, packed: bytes) -> pa.RecordBatch | None:
+        u, _ = _unit(packed, sizes, doc, width)
+        first, second, counts, _ = distinct(u.h[u.anchors()], shards, bits)
+        shard = (first >> np.uint64(bits)).astype(np.int32)
+        if not len(shard):
+            return None
+        cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+        first = first & np.uint64((1 << bits) - 1)
+        three = np.ascontiguousarray(second.astype("<u4")).view(np.uint8).reshape(-1, 4)[:, :3]
+        often = np.minimum(counts, 255).astype(np.uint8)
+        rows = [(int(shard[i]), number, coded(first[i:e]), three[i:e].tobytes(), zlib.compress(often[i:e].tobytes(), 1)) for i, e in zip(cut.tolist(), np.append(cut[1:], len(shard)).tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["shard", "unit", "first", "second", "often"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, doc, sizes, packed in zip(*(batch.column(c).to_pylist() for c in ("unit", "doc", "size", "packed")), strict=True):
-                u, _ = _unit(packed, sizes, doc, width)
-                first, second, counts, _ = distinct(u.h[u.anchors()], shards, bits)
-                shard = (first >> np.uint64(bits)).astype(np.int32)
-                if not len(shard):
-                    continue
-                cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
-                first = first & np.uint64((1 << bits) - 1)
-                three = np.ascontiguousarray(second.astype("<u4")).view(np.uint8).reshape(-1, 4)[:, :3]
-                often = np.minimum(counts, 255).astype(np.uint8)
-                rows = [(int(shard[i]), number, coded(first[i:e]), three[i:e].tobytes(), zlib.compress(often[i:e].tobytes(), 1)) for i, e in zip(cut.tolist(), np.append(cut[1:], len(shard)).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["shard", "unit", "first", "second", "often"])
+        for row in _each(batches, "unit", "doc", "size", "packed"):
+            if (found := sketch(*row)) is not None:  # all else of a unit is gone before the next
+                yield found
                 trim()
 
     return run
@@ -271,40 +295,42 @@ def _suspected(shards: int, bits: int, width: int, buckets: int, hot):
         lists = [pa.ListArray.from_arrays(none if x is None else ends, pa.array([] if x is None else x, t)) for x, t in zip(columns, _KINDS, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array([unit] * len(which), pa.int64()), *lists], names=[x.split()[0] for x in SUSPECTED.split(", ")])
 
+    def windows_of(often: np.ndarray, number: int, docs: list, ofs: list, sizes: list, packed: bytes, answers: list | None) -> Iterator[pa.RecordBatch]:
+        if not answers:
+            return
+        u, counts = _unit(packed, sizes, docs, width)
+        places = u.anchors()
+        first, _, _, item = distinct(u.h[places], shards, bits)
+        n = np.bincount((first >> np.uint64(bits)).astype(np.int64), minlength=shards)
+        said = {x["shard"]: x["twice"] for x in answers}
+        twice = np.concatenate([np.unpackbits(np.frombuffer(said[s], np.uint8), count=n[s]) for s in np.flatnonzero(n).tolist()]) if len(first) else np.empty(0, bool)
+        start = u.windows(places[twice[item].astype(bool)])
+        if not len(start):
+            return
+        # The anchor's first cell decides on the bucket; a window's own hash does where that cell is very frequent.
+        cell = cells(u.low[start], shards, bits)[0]
+        a, b = u.hashes(start)
+        own = np.isin(cell, often) if len(often) else np.zeros(len(cell), bool)
+        bucket = (joined(np.where(own, a, cell), np.uint64(7) + own.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        of_row = np.repeat(np.arange(len(counts)), counts)[start]
+        doc, of = np.array([d or 0 for d in docs], np.int64)[of_row], np.array(ofs, np.int64)[of_row]
+        at = (start - (np.cumsum(counts) - counts)[of_row]).astype(np.int32)
+        order, repeat = ordered(a, b, doc, of, at)
+        known = order[repeat]
+        known = known[np.lexsort((at[known], of[known], doc[known]))]
+        if len(known):
+            i, length = as_runs(at[known], doc[known], of[known])
+            yield batch_of([int(joined(np.array([number], np.uint64), np.uint64(9))[0]) % buckets], number, [len(i)], None, None, doc[known][i], of[known][i], at[known][i], length)
+        left = np.sort(order[~repeat])
+        left = left[np.argsort(bucket[left], kind="stable")]
+        which, sizes_ = np.unique(bucket[left], return_counts=True)
+        yield batch_of(which, number, sizes_, a[left].view(np.int64), b[left].view(np.int32), doc[left], of[left], at[left], None)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.asarray(hot.value, np.uint64)
-        for batch in batches:
-            for number, docs, ofs, sizes, packed, answers in zip(*(batch.column(c).to_pylist() for c in ("unit", "doc", "of", "size", "packed", "answers")), strict=True):
-                if not answers:
-                    continue
-                u, counts = _unit(packed, sizes, docs, width)
-                places = u.anchors()
-                first, _, _, item = distinct(u.h[places], shards, bits)
-                n = np.bincount((first >> np.uint64(bits)).astype(np.int64), minlength=shards)
-                said = {x["shard"]: x["twice"] for x in answers}
-                twice = np.concatenate([np.unpackbits(np.frombuffer(said[s], np.uint8), count=n[s]) for s in np.flatnonzero(n).tolist()]) if len(first) else np.empty(0, bool)
-                start = u.windows(places[twice[item].astype(bool)])
-                if not len(start):
-                    continue
-                # The anchor's first cell decides on the bucket; a window's own hash does where that cell is very frequent.
-                cell = cells(u.low[start], shards, bits)[0]
-                a, b = u.hashes(start)
-                own = np.isin(cell, often) if len(often) else np.zeros(len(cell), bool)
-                bucket = (joined(np.where(own, a, cell), np.uint64(7) + own.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-                of_row = np.repeat(np.arange(len(counts)), counts)[start]
-                doc, of = np.array([d or 0 for d in docs], np.int64)[of_row], np.array(ofs, np.int64)[of_row]
-                at = (start - (np.cumsum(counts) - counts)[of_row]).astype(np.int32)
-                order, repeat = ordered(a, b, doc, of, at)
-                known = order[repeat]
-                known = known[np.lexsort((at[known], of[known], doc[known]))]
-                if len(known):
-                    i, length = as_runs(at[known], doc[known], of[known])
-                    yield batch_of([int(joined(np.array([number], np.uint64), np.uint64(9))[0]) % buckets], number, [len(i)], None, None, doc[known][i], of[known][i], at[known][i], length)
-                left = np.sort(order[~repeat])
-                left = left[np.argsort(bucket[left], kind="stable")]
-                which, sizes_ = np.unique(bucket[left], return_counts=True)
-                yield batch_of(which, number, sizes_, a[left].view(np.int64), b[left].view(np.int32), doc[left], of[left], at[left], None)
-                trim()
+        for row in _each(batches, "unit", "doc", "of", "size", "packed", "answers"):
+            yield from windows_of(often, *row)
+            trim()
 
     return run
 
@@ -345,7 +371,7 @@ def removed_words(n: int, at: np.ndarray, length: np.ndarray, width: int) -> np.
 
 
 def _cut(width: int, as_text: bool):
-    def rows_of(raws: list[bytes], docs: list, ofs: list, repeats: list | None) -> list[tuple]:
+    def rows_of(raws: Iterator[bytes], docs: list, ofs: list, repeats: list | None) -> list[tuple]:
         by: dict[tuple, list[tuple]] = {}
         for r in repeats or ():
             for d, o, p, n in zip(r["doc"], r["of"], r["at"], r["length"], strict=True):

@@ -238,6 +238,29 @@ def test_answers_lose_no_repeat():
     assert min(counts.values()) == 1
 
 
+def test_units_are_sketched_without_a_list_of_their_words():
+    """Of a unit's words only hashes are held at once, and nothing of a unit is left when the next comes: under 75 bytes a word in all."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import zstandard
+
+    rng = np.random.default_rng(0)
+    texts = [" ".join(f"word{x}" for x in rng.integers(0, 2000, 500)).encode() for _ in range(400)]
+    z = zstandard.ZstdCompressor().compress(b"".join(texts))
+    unit = lambda k: pa.RecordBatch.from_pydict({"unit": [k], "doc": [list(range(400))], "size": [list(map(len, texts))], "packed": [z]})
+    sketch = substring._counted(64, 12, 20)
+    list(sketch(iter([unit(0)])))
+    tracemalloc.start()
+    try:
+        for _ in sketch(unit(k) for k in range(3)):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 75 * 400 * 500, peak / 400 / 500
+
+
 def test_anchors_cover_windows_alike():
     """Every window has an anchor, and equal windows have anchors of equal hash at equal offsets."""
     rng = np.random.default_rng(1)
