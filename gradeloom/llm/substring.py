@@ -189,8 +189,11 @@ def _each(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
             yield tuple(batch.column(c)[i].as_py() for c in columns)
 
 
-def _unit(packed: bytes, sizes: list[int], doc: list[int | None], width: int) -> tuple[Unit, np.ndarray]:
-    """The words of a unit, those of rows without an id left out; and the rows' word counts. A text's words are hashed and go before the next text's come."""
+def _unit(packed: bytes, sizes: list[int], doc: list[int | None], width: int, whole: bool = True) -> tuple[Unit, np.ndarray]:
+    """The words of a unit, those of rows without an id left out; and the rows' word counts. A text's words are hashed and go before the next text's come.
+
+    Without ``whole`` only the hashes' first halves are kept: enough for anchors, not for ``hashes``.
+    """
     hashes = kept_in_worker("words", WordHashes)
     halves = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
     counts = np.zeros(len(sizes), np.int64)
@@ -198,8 +201,10 @@ def _unit(packed: bytes, sizes: list[int], doc: list[int | None], width: int) ->
         if d is not None:
             words = words_of(raw)
             counts[i] = len(words)
-            for half, x in zip(halves, hashes.of(words), strict=True):
-                half.append(x)
+            a, b = hashes.of(words)
+            halves[0].append(a)
+            if whole:
+                halves[1].append(b)
     a = np.concatenate(halves[0])
     halves[0].clear()
     return Unit.hashed(a, np.concatenate(halves[1]), counts, width), counts
@@ -214,7 +219,7 @@ def _counted(shards: int, bits: int, width: int):
     """Map: units to their partition sketches, a row for each shard."""
 
     def sketch(number: int, doc: list, sizes: list, packed: bytes) -> pa.RecordBatch | None:
-        u, _ = _unit(packed, sizes, doc, width)
+        u, _ = _unit(packed, sizes, doc, width, whole=False)
         first, second, counts, _ = distinct(u.h[u.anchors()], shards, bits)
         shard = (first >> np.uint64(bits)).astype(np.int32)
         if not len(shard):
