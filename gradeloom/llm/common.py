@@ -79,6 +79,16 @@ def trim() -> None:
         pass
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Full collections in the JVMs of the executors, which give back the heap that earlier work has grown; else it stays as large, used or not.
+
+    A job with a task for each core reaches all executors that are idle. Twice, as most of it goes with the second (weak references, buffers outside the heap).
+    """
+    n = spark.sparkContext.defaultParallelism
+    for _ in range(2):
+        spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def forget() -> None:
     """Drop what the worker keeps, and give its memory back: the next stage's tasks run in the same processes."""
     state = _state()

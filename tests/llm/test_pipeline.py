@@ -110,3 +110,14 @@ def test_run_on_nothing(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], LABELS).write.parquet(str(tmp_path / "labels.parquet"))
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("stage", [f for _, f in C.STAGES])
+def test_stages_begin_with_the_heap_given_back(spark, stage):
+    """Of a heap that earlier work has grown in the JVM, what isn't used goes back before a stage begins."""
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    spark.range(1).selectExpr("octet_length(repeat('x', 1000000000 + cast(id as int)))").collect()
+    grown = runtime.totalMemory()
+    with pytest.raises(Exception):  # noqa: B017, PT011: there are no documents, so nothing else is done
+        stage(spark, None, "/nowhere")
+    assert grown > 1e9 and runtime.totalMemory() < grown - 5e8
