@@ -360,3 +360,37 @@ def test_streamed_aggregates(spark, tmp_path):
     got = run(windowed_scores(stream(), "t", "v", "k"), "windows", "complete").collect()
     assert sorted((r.k, r.n, r["mean"]) for r in got) == [("a", 2, 2.0), ("b", 1, 5.0)]
     assert sorted((r.cluster, r["count"]) for r in run(running_entropy(stream(), "c"), "clusters", "complete").collect() if r.cluster) == [(3, 2)]
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "squared_euclidean", "cosine", "manhattan"])
+def test_nearest_by_slices_computes_few_pairs(metric, monkeypatch):
+    """The same rows and distances as from all pairs, of which few are computed in full."""
+    rng, counted = np.random.default_rng(5), []
+    x = rng.normal(size=(6000, 24))
+    x[50:60] = x[40]
+    x[70] = np.nan
+    exactly = G._exactly
+    monkeypatch.setattr(G, "_exactly", lambda q, r, i, j, m: counted.append(len(i)) or exactly(q, r, i, j, m))
+    near = G.Nearest(np.arange(100), x[:100], 5, metric, True)
+    for k in range(0, 6000, 500):
+        near.add(np.arange(k, k + 500), x[k : k + 500])
+    got = {}
+    for parts in near.found():
+        for q, rank, i, d in zip(*parts, strict=True):
+            got.setdefault(int(q), []).append((rank, d, int(i)))
+    d = G.distances(x[:100], x, metric)
+    d[np.arange(100), np.arange(100)] = np.inf
+    assert sorted(got) == [i for i in range(100) if i != 70]
+    for q, found in got.items():
+        want = sorted((v, i) for i, v in enumerate(d[q]) if np.isfinite(v))[:5]
+        assert [v for _, v, _ in found] == pytest.approx([v for v, _ in want], abs=1e-12) and [r for r, *_ in found] == [1, 2, 3, 4, 5]
+        if q not in (40, *range(50, 60)) or metric == "manhattan":
+            assert [i for *_, i in found] == [i for _, i in want]
+    assert sum(counted) < 100 * 6000 / 5
+
+
+def test_absolute_values_have_a_curve_below():
+    t = np.random.default_rng(0).normal(size=2000)
+    half, c = G.under_absolute(t)
+    x = np.linspace(-40, 40, 200001)
+    assert (np.cos(np.pi / half * np.outer(x, np.arange(len(c)))) @ c <= np.abs(x) + 1e-12).all()
