@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import grams, let, ngrams, record_text
 from ..functions.vector import DISTANCES, SIMILARITIES, centered, doubles, named, norm
 from ..sources.records import with_positions
-from .grid import blocks_of, matrix, nearest, pair_cells, shared_table, similarities
+from .grid import matrix, nearest, pair_cells, shared_table, similarities, similarity_total, slices
 
 
 def partition_entropy(df: DataFrame, cluster: str = "cluster_id", num_clusters: int | None = None) -> DataFrame:
@@ -272,28 +272,21 @@ def log_determinant(rows: DataFrame, vector: str = "v", ridge: float = 1e-6) ->
     return rows.sparkSession.createDataFrame([row], LOG_DET)
 
 
-def _slices(path: str):
-    """The parts of a table in the shared folder, one after the other, as unit vectors."""
-    from pyarrow import fs, parquet
-
-    store, at = fs.FileSystem.from_uri(path)
-    for f in sorted(x.path for x in store.get_file_info(fs.FileSelector(at, recursive=True)) if x.path.endswith(".parquet")):
-        with store.open_input_file(f) as opened:
-            for b in parquet.ParquetFile(opened).iter_batches(4096, columns=["v"]):
-                if b.num_rows:
-                    yield _unit(matrix(pa.Table.from_batches([b])))
-
-
 def _unit(m: np.ndarray) -> np.ndarray:
     return m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-10)
 
 
+#: What a task of ``novelty_sum`` holds at most: bytes of unit vectors, and distances.
+HELD_BYTES, HELD_DISTANCES = 640 << 20, 8 << 20
+
+
 def novelty_sum(rows: DataFrame, neighbors: tuple[int, ...] = (5, 10), density_powers: tuple[float, ...] = (0, 0.25, 0.5), distance_powers: tuple[float, ...] = (0, 1, 2)) -> DataFrame:
     """One row: num_samples, cos_distance, and scores (neighbor_k_density_p_distance_q -> score) for all parameters, from one pass over all pairs.
 
     A row's score is its density, to the power p, times the mean of its sorted cosine distances to all rows, itself included, weighted by 1 / rank ** q;
     its density is 1 over the mean squared distance to the 2nd to (k + 1)th nearest distinct vector. Exact at any number n of rows:
-    a task goes over slices of the table in the shared folder and holds n distances for each of a few rows, 64 MB or one row's.
+    a task holds n distances for each of a few rows, 64 MB or one row's. It holds the unit vectors, too, up to ``HELD_BYTES``; beyond, it reads them
+    from the shared folder again for each of these few rows.
     """
     distinct = rows.groupBy(doubles(F.col("v")).alias("v")).agg(F.min("id").alias("id"))
     near = nearest(rows.select("id", "v"), distinct.select("id", "v"), max(neighbors) + 1, "squared_euclidean", exclude_self=False)
@@ -301,24 +294,34 @@ def novelty_sum(rows: DataFrame, neighbors: tuple[int, ...] = (5, 10), density_p
     density = near.groupBy(F.col("query_id").alias("id")).agg(*(mean(k).alias(f"near_{k}") for k in neighbors))
     held, path = shared_table(rows.select("id", doubles(F.col("v")).alias("v")), "novelty-sum")
     n = held.count()
-    at_once = max(1, (8 << 20) // max(n, 1))
+    at_once = max(1, HELD_DISTANCES // max(n, 1))
+
+    def units():
+        for t in slices(path, ["v"]):
+            yield _unit(matrix(t))
 
     def part(batches):
-        weights = [1 / np.arange(1, n + 1) ** float(q) for q in distance_powers]
+        weights = np.stack([1 / np.arange(1, n + 1) ** float(q) for q in distance_powers], 1)
+        weights /= weights.sum(0)
+        kept: list[np.ndarray] | None = None
         for b in batches:
             for start in range(0, b.num_rows, at_once):
                 some = b.slice(start, at_once)
-                x, d, at = _unit(matrix(pa.Table.from_batches([some]))), np.empty((some.num_rows, n)), 0
-                for unit in _slices(path):
-                    d[:, at : at + len(unit)] = 1 - x @ unit.T
+                x, at = _unit(matrix(pa.Table.from_batches([some]))), 0
+                if kept is None and n * x.shape[1] * 8 <= HELD_BYTES:
+                    kept = list(units())
+                d = np.empty((len(x), n))
+                for unit in units() if kept is None else kept:
+                    np.matmul(x, unit.T, out=d[:, at : at + len(unit)])
                     at += len(unit)
                 if at != n:
                     raise RuntimeError(f"{at} of {n} rows in {path}")
+                np.subtract(1, d, out=d)
                 d.sort(axis=1)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(list(np.stack([d @ w / w.sum() for w in weights], 1)), pa.list_(pa.float64())), pa.array(d.mean(1))], names=["id", "means", "cosine"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(list(d @ weights), pa.list_(pa.float64())), pa.array(d.mean(1))], names=["id", "means", "cosine"])
 
     kind = dict(held.dtypes)["id"]
-    means = held.select("id", "v").repartition(max(12, blocks_of(n))).mapInArrow(part, f"id {kind}, means array<double>, cosine double")
+    means = held.select("id", "v").repartition(max(12, min(n, 192 if n >= 20000 else 12))).mapInArrow(part, f"id {kind}, means array<double>, cosine double")
     out = means.join(density, "id", "left")
     keys = [(k, p, i, q) for p in density_powers for k in neighbors for i, q in enumerate(distance_powers)]
     power = lambda k, p: 1 / F.pow(F.coalesce(F.col(f"near_{k}"), F.lit(0.0)) + 1e-9, F.lit(float(p)))

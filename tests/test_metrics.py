@@ -394,3 +394,22 @@ def test_absolute_values_have_a_curve_below():
     half, c = G.under_absolute(t)
     x = np.linspace(-40, 40, 200001)
     assert (np.cos(np.pi / half * np.outer(x, np.arange(len(c)))) @ c <= np.abs(x) + 1e-12).all()
+
+
+def test_novelty_sum_reads_the_vectors_once_a_task(spark, monkeypatch, tmp_path):
+    slices = S.slices
+
+    def counted(path, columns, rows=4096):
+        import os
+        import uuid
+
+        open(os.path.join(str(tmp_path), uuid.uuid4().hex), "w").close()
+        return slices(path, columns, rows)
+
+    x = np.random.default_rng(3).normal(size=(600, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    want = S.novelty_sum(df).first()
+    monkeypatch.setattr(S, "slices", counted)
+    monkeypatch.setattr(S, "HELD_DISTANCES", 6000)
+    assert S.novelty_sum(df).first().scores == pytest.approx(want.scores)
+    assert 1 <= len(list(tmp_path.iterdir())) <= 12
