@@ -86,10 +86,10 @@ def average_pair_similarity(rows: DataFrame, metric: str = "cosine", id_col: str
         return own.join(F.broadcast(sums)).select(*out((F.col("all") - F.col("own")) / 2, pairs))
 
     def compare(t: pa.Table, other: pa.Table | None) -> dict:
+        m = matrix(t)
         if other is None:
-            s = similarities(matrix(t), matrix(t), metric)
-            return {"s": float((s.sum() - np.trace(s)) / 2), "n": t.num_rows}
-        return {"s": float(similarities(matrix(t), matrix(other), metric).sum()), "n": 0}
+            return {"s": (similarity_total(m, m, metric) - len(m)) / 2, "n": len(m)}
+        return {"s": similarity_total(m, matrix(other), metric), "n": 0}
 
     cells = pair_cells(rows, id_col, vector, compare, "s double, n long")
     return cells.agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(*out(F.col("s"), pairs))

@@ -413,3 +413,18 @@ def test_novelty_sum_reads_the_vectors_once_a_task(spark, monkeypatch, tmp_path)
     monkeypatch.setattr(S, "HELD_DISTANCES", 6000)
     assert S.novelty_sum(df).first().scores == pytest.approx(want.scores)
     assert 1 <= len(list(tmp_path.iterdir())) <= 12
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_blocks_are_read_and_not_copied_to_each_other(spark, monkeypatch, metric):
+    x = np.random.default_rng(2).normal(size=(300, 5)) + 1e5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    pairs = [(i, k) for i in range(300) for k in range(i)]
+    d = np.array([np.abs(x[i] - x[k]).sum() if metric == "manhattan" else np.linalg.norm(x[i] - x[k]) for i, k in pairs])
+    for rows in (40, 43, 2048):  # even and odd numbers of blocks
+        monkeypatch.setattr(G, "BLOCK_ROWS", rows)
+        s = S.average_pair_similarity(df, metric)
+        plan = s._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "MapInArrow" in plan
+        got = s.first()
+        assert got.score == pytest.approx((1 / (1 + d)).mean(), rel=1e-6) and (got.num_samples, got.num_pairs) == (300, len(pairs))
