@@ -157,13 +157,12 @@ def average_pair_jaccard(rows: DataFrame, id_col: str = "id", grams: str = "v",
     return c.select(*_pair_report(F.col("s"), F.col("n"), pairs, pairs))
 
 
-def _minima(hashes: list[np.ndarray], num_perm: int) -> np.ndarray:
-    """Least xxhash64(gram, i) of each set for i below ``num_perm``, from the sets' xxhash64(gram): Spark's steps for an int with the first hash as seed. No set is empty."""
+def _minima(hashes: np.ndarray, starts: np.ndarray, num_perm: int) -> np.ndarray:
+    """Least xxhash64(gram, i) of each set for i below ``num_perm``, from the sets' xxhash64(gram), one set after the other: Spark's steps for an int with the first hash as seed. No set is empty."""
     p1, p2, p3, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
     u = np.uint64
-    out = np.empty((len(hashes), num_perm), np.int64)
-    starts = np.cumsum([0, *map(len, hashes)])[:-1]
-    seeds = np.concatenate(hashes).view(np.uint64) + p5 + u(4)
+    out = np.empty((len(starts), num_perm), np.int64)
+    seeds = hashes.view(np.uint64) + p5 + u(4)
     for i in range(num_perm):
         h = seeds ^ np.array([i], np.uint64) * p1
         h = (h << u(23) | h >> u(41)) * p2 + p3
@@ -173,17 +172,27 @@ def _minima(hashes: list[np.ndarray], num_perm: int) -> np.ndarray:
     return out
 
 
+def _signed(batches, num_perm: int):
+    """Batches of minima, from batches of the sets' hashed grams."""
+    for b in batches:
+        v = b.column(0)
+        sizes, flat = v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), v.flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < len(sizes):  # at most 64 sets, of 2 ** 18 grams or one
+            before = ends[at] - sizes[at]
+            to = max(at + 1, min(at + 64, int(np.searchsorted(ends, before + (1 << 18), "right"))))
+            own = sizes[at:to][sizes[at:to] > 0]
+            if len(own):
+                low = _minima(flat[before : ends[to - 1]], np.cumsum(own) - own, num_perm)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(np.arange(0, low.size + 1, num_perm, np.int32), pa.array(low.ravel()))], names=["low"])
+            at = to
+
+
 def minhash_pair_jaccard(rows: DataFrame, id_col: str = "id", grams: str = "v", num_perm: int = 128) -> DataFrame:
     """Estimate of the same from ``num_perm`` minimum hashes; empty sets give 0. c rows of one minimum agree in c (c - 1) / 2 pairs, so that counting minima stands for all pairs."""
 
-    def sign(batches):
-        for b in batches:
-            sets = [x for x in b.column(0).to_pylist() if x]
-            for at in range(0, len(sets), 64):
-                low = _minima([np.array(x, np.int64) for x in sets[at : at + 64]], num_perm)
-                yield pa.RecordBatch.from_arrays([pa.array(list(low), pa.list_(pa.int64()))], names=["low"])
-
-    signed = rows.select(F.transform(grams, lambda g: F.xxhash64(g)).alias("v")).mapInArrow(sign, "low array<bigint>")
+    signed = rows.select(F.transform(grams, lambda g: F.xxhash64(g)).alias("v")).mapInArrow(lambda batches: _signed(batches, num_perm), "low array<bigint>")
     c = signed.select(F.posexplode("low").alias("i", "x")).groupBy("i", "x").count().agg(F.coalesce(F.sum(F.col("count") * (F.col("count") - 1) / 2), F.lit(0.0)).alias("s"))
     c = rows.agg(F.count("*").alias("n")).join(F.broadcast(c))
     pairs = F.col("n") * (F.col("n") - 1) / 2

@@ -428,3 +428,17 @@ def test_blocks_are_read_and_not_copied_to_each_other(spark, monkeypatch, metric
         assert "Generate" not in plan and "MapInArrow" in plan
         got = s.first()
         assert got.score == pytest.approx((1 / (1 + d)).mean(), rel=1e-6) and (got.num_samples, got.num_pairs) == (300, len(pairs))
+
+
+def test_minima_make_no_objects_of_hashes():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    flat = np.random.default_rng(0).integers(-(1 << 62), 1 << 62, 1_200_000)
+    b = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(np.arange(0, 1_200_001, 300, dtype=np.int32), pa.array(flat))], names=["v"])
+    tracemalloc.start()
+    n = sum(x.num_rows for x in S._signed([b], 4))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 4000 and peak < 16 << 20
