@@ -338,25 +338,97 @@ def novelty_sum(rows: DataFrame, neighbors: tuple[int, ...] = (5, 10), density_p
     return out.agg(F.count("*").alias("num_samples"), F.avg("cosine").alias("cos_distance"), F.create_map(*scores).alias("scores"))
 
 
+#: Of ``ngram_diversity``: ranges of hashes, tokens looked at once, hashes of one size that a task gathers.
+HASH_RANGES, TOKENS_AT_ONCE, GATHERED = 512, 1 << 20, 1 << 22
+
+
+def packed(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as their differences, byte plane by byte plane, as few planes as it takes: one byte of their number, then the first hash."""
+    steps = np.diff(hashes)
+    width = (int(steps.max(initial=0)).bit_length() + 7) // 8
+    return bytes([width]) + hashes[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    width, flat = b[0], np.frombuffer(b, np.uint8, offset=9)
+    steps = np.zeros((len(flat) // width if width else 0, 8), np.uint8)
+    steps[:, :width] = flat.reshape(width, -1).T if width else 0
+    return np.cumsum(np.concatenate([np.frombuffer(b, np.uint64, 1, 1), steps.view(np.uint64).ravel()]), dtype=np.uint64)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def ngram_diversity(tokens: DataFrame, column: str = "tokens", sizes: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
-    """n, distinct, total and their ratio over all n-grams of the whole set (arrays of tokens). Hashes of n-grams are counted within each Arrow batch first, then in one shuffle for all sizes."""
+    """n, distinct, total and their ratio over all n-grams of the whole set (arrays of tokens). Tasks send each distinct hash of theirs once, sorted and packed by ranges
+    of hashes; a range's hashes meet in one task. What isn't distinct there (a few bytes a hash) is all that is shuffled; totals are sums of a number for each task."""
 
     def run(batches):
+        gathered: dict[int, list[np.ndarray]] = {n: [] for n in sizes}
+        totals = dict.fromkeys(sizes, 0)
+
+        def rows(n: int, x: np.ndarray, total: int = 0):
+            places = (x >> np.uint64(64 - HASH_RANGES.bit_length() + 1)).astype(np.int32)
+            firsts = np.flatnonzero(np.append(True, places[1:] != places[:-1]))
+            cut = [packed(x[i:j]) for i, j in zip(firsts, np.append(firsts[1:], len(x)), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), n, np.int32)), pa.array(places[firsts]), pa.array(cut, pa.binary()), pa.array([total] + [0] * (len(cut) - 1), pa.int64())], names=["n", "place", "hashes", "total"])
+
+        for b in batches:
+            lengths = b.column(0).value_lengths().to_numpy(zero_copy_only=False)
+            flat, ends = b.column(0).flatten().to_numpy().view(np.uint64), np.cumsum(lengths)
+            at = 0
+            while at < len(lengths):  # whole rows, of so many tokens or one
+                before = ends[at] - lengths[at]
+                to = max(at + 1, int(np.searchsorted(ends, before + TOKENS_AT_ONCE, "right")))
+                h, n = flat[before : ends[to - 1]], lengths[at:to]
+                at = to
+                left = np.repeat(np.cumsum(n), n) - np.arange(len(h))  # tokens from here to the end of the row
+                grams_, done = h, 1
+                for size in sorted(sizes):
+                    while done < size and len(grams_) > 1:
+                        grams_ = (grams_[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ h[done : done + len(grams_) - 1]) * np.uint64(0xD6E8FEB86659FD93)
+                        grams_, done = grams_ ^ grams_ >> np.uint64(29), done + 1
+                    own = grams_[left[: len(grams_)] >= size] if done == size else grams_[:0]
+                    totals[size] += len(own)
+                    gathered[size].append(_distinct(own))
+                    if sum(map(len, gathered[size])) > GATHERED:
+                        gathered[size] = [_distinct(np.concatenate(gathered[size]))]
+                        if len(gathered[size][0]) > GATHERED // 2:
+                            yield rows(size, gathered[size].pop())
+        for size in sizes:
+            rest = _distinct(np.concatenate(gathered[size])) if gathered[size] else np.zeros(0, np.uint64)
+            if len(rest):
+                yield rows(size, rest, totals[size])
+            elif totals[size]:  # all hashes are sent already
+                yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([0], pa.int32()), pa.array([None], pa.binary()), pa.array([totals[size]], pa.int64())], names=["n", "place", "hashes", "total"])
+
+    def merged(batches):
+        key, held, total = None, [], 0
+
+        def out():
+            n = len(_distinct(np.concatenate(held))) if held else 0
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([n], pa.int64()), pa.array([total], pa.int64())], names=["n", "distinct", "total"])
+
         for b in batches:
-            h, n = b.column(0).flatten().to_numpy().view(np.uint64), b.column(0).value_lengths().to_numpy(zero_copy_only=False)
-            left = np.repeat(np.cumsum(n), n) - np.arange(len(h))  # tokens from here to the end of the row
-            grams_, done = h, 1
-            for size in sorted(sizes):
-                while done < size and len(grams_) > 1:
-                    grams_ = (grams_[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ h[done : done + len(grams_) - 1]) * np.uint64(0xD6E8FEB86659FD93)
-                    grams_, done = grams_ ^ grams_ >> np.uint64(29), done + 1
-                own = grams_[left[: len(grams_)] >= size] if done == size else grams_[:0]
-                g, c = np.unique(own, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), size, np.int32)), pa.array(g.view(np.int64)), pa.array(c.astype(np.int64))], names=["n", "g", "c"])
+            for n, place, hashes, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
+                if (n, place) != key:
+                    if key:
+                        yield out()
+                    key, held, total = (n, place), [], 0
+                total += t
+                if hashes.is_valid:
+                    held.append(unpacked(hashes.as_py()))
+                    if sum(map(len, held)) > GATHERED and len(held) > 2 and sum(map(len, held[1:])) > len(held[0]):
+                        held = [_distinct(np.concatenate(held))]
+        if key:
+            yield out()
 
     hashed = tokens.where(F.size(column) > 0).select(F.transform(column, lambda w: F.xxhash64(w)).alias("h"))
-    counted = hashed.mapInArrow(run, "n int, g long, c long").groupBy("n", "g").agg(F.sum("c").alias("c"))
-    return counted.groupBy("n").agg(F.count("*").alias("distinct"), F.sum("c").alias("total"), (F.count("*") / F.sum("c")).alias("diversity"))
+    sent = hashed.mapInArrow(run, "n int, place int, hashes binary, total long").repartition("n", "place").sortWithinPartitions("n", "place")
+    c = sent.mapInArrow(merged, "n int, distinct long, total long").groupBy("n").agg(F.sum("distinct").alias("distinct"), F.sum("total").alias("total"))
+    return c.select("n", "distinct", "total", (F.col("distinct") / F.col("total")).alias("diversity"))
 
 
 def sampled_pairs(spark: SparkSession, n: int, k: int, seed: int = 42) -> DataFrame:

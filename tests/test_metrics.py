@@ -442,3 +442,19 @@ def test_minima_make_no_objects_of_hashes():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == 4000 and peak < 16 << 20
+
+
+def test_hashes_are_sent_once_and_packed(spark, monkeypatch):
+    x = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 50000, dtype=np.uint64) << np.uint64(1))
+    for some in (x, x[:1], x[:2], np.arange(7, dtype=np.uint64)):
+        assert (S.unpacked(S.packed(some)) == some).all()
+    assert len(S.packed(x[: len(x) // 512])) < 8 * len(x) // 512
+    rng = np.random.default_rng(2)
+    rows = [rng.integers(0, 40, rng.integers(1, 60)).astype(str).tolist() for _ in range(300)]
+    df = spark.createDataFrame([(r,) for r in rows], "tokens array<string>").repartition(3)
+    monkeypatch.setattr(S, "GATHERED", 500)
+    monkeypatch.setattr(S, "TOKENS_AT_ONCE", 100)
+    got = {r.n: (r.distinct, r.total) for r in S.ngram_diversity(df).collect()}
+    for n in (1, 2, 3, 4):
+        grams = [tuple(r[i : i + n]) for r in rows for i in range(len(r) - n + 1)]
+        assert got[n] == (len(set(grams)), len(grams))
