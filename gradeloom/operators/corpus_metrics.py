@@ -75,13 +75,31 @@ def _marks_apart(text: str) -> list[str]:
     return out
 
 
+def _character_counts(gold: str, pred: str) -> list[float]:
+    """For each order: n-grams of characters of the prediction, of the gold text, in both. n-grams of both texts are numbered order by order, from the number of the shorter one and the next character."""
+    a, b = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) for x in (gold, pred))
+    x, y, out = a, b, []
+    for n in range(1, CHARACTERS + 1):
+        if n > 1:
+            x, y = ((v[:-1] << 21) + c[n - 1 :] if len(v) else v for v, c in ((x, a), (y, b)))
+        if len(x) and len(y):
+            names, numbers = np.unique(np.concatenate([x, y]), return_inverse=True)
+            x, y = numbers[: len(x)], numbers[len(x) :]
+            both = np.minimum(np.bincount(x, minlength=len(names)), np.bincount(y, minlength=len(names))).sum()
+        else:
+            both = 0
+            x, y = (np.zeros(len(v), np.int64) for v in (x, y))  # only counted from here on
+        out += [len(y), len(x), int(both)]
+    return out
+
+
 def chrf_counts(gold: str, pred: str, words: int = 0) -> list[float]:
     """For each order of characters, then of words: n-grams of the prediction, of the gold text, in both."""
-    out = []
-    for items, most in (("".join(gold.split()), "".join(pred.split())), CHARACTERS), ((_marks_apart(gold), _marks_apart(pred)), words):
-        for n in range(1, most + 1):
-            a, b = (_ngrams(x, n) for x in items)
-            out += [sum(b.values()), sum(a.values()), sum((a & b).values())]
+    out = _character_counts("".join(gold.split()), "".join(pred.split()))
+    items = (_marks_apart(gold), _marks_apart(pred)) if words else ()
+    for n in range(1, words + 1):
+        a, b = (_ngrams(x, n) for x in items)
+        out += [sum(b.values()), sum(a.values()), sum((a & b).values())]
     return out
 
 
@@ -97,9 +115,12 @@ def chrf(sums: np.ndarray) -> float:
 
 def _shifted(gold: list[str], pred: list[str]) -> list[str] | None:
     """The prediction with one run of words moved to where the gold text has it, if that lowers the edit distance most. Runs that stand right already, and gold words that are matched, start no move."""
+    now, best, tried = edit_distance(pred, gold), None, 0
+    most = now - (max(len(pred), len(gold)) - sum((Counter(pred) & Counter(gold)).values()))  # moves change no word: what is missing stays
+    if most <= 1:
+        return None
     placed = common_places(pred, gold)
     matched = set(placed.values())
-    now, best, tried = edit_distance(pred, gold), None, 0
     where: dict[str, list[int]] = {}
     for j, w in enumerate(gold):
         if j not in matched:
@@ -114,6 +135,8 @@ def _shifted(gold: list[str], pred: list[str]) -> list[str] | None:
                 if tried == MOST_SHIFTS:
                     return best[1] if best else None
                 tried += 1
+                if best is not None and (min(most, 2 * n), n) <= best[0]:  # n words out and in again are 2 n edits
+                    continue
                 rest = pred[:i] + pred[i + n :]
                 moved = rest[:j] + pred[i : i + n] + rest[j:]
                 gain = now - edit_distance(moved, gold)
@@ -150,8 +173,9 @@ def corpus_scores(df: DataFrame, gold: str, pred: str, metrics: tuple[str, ...]
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             for g, p in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for m in metrics:
-                    sums[m] = sums.get(m, 0.0) + np.array(METRICS[m][0](g or "", p or ""), float)
+                counts = {m: METRICS[m][0](g or "", p or "") for m in metrics if m != "chrf" or "chrf++" not in metrics}
+                for m in metrics:  # chrF's counts are the first of chrF++'s
+                    sums[m] = sums.get(m, 0.0) + np.array(counts[m] if m in counts else counts["chrf++"][: 3 * CHARACTERS], float)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], names=["metric", "sums"])
 

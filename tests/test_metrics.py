@@ -458,3 +458,21 @@ def test_hashes_are_sent_once_and_packed(spark, monkeypatch):
     for n in (1, 2, 3, 4):
         grams = [tuple(r[i : i + n]) for r in rows for i in range(len(r) - n + 1)]
         assert got[n] == (len(set(grams)), len(grams))
+
+
+def test_character_counts_are_made_once_and_by_numbers(spark, monkeypatch):
+    rng, made = np.random.default_rng(4), []
+    for _ in range(60):
+        g, p = ("".join(rng.choice(list("ab é日\U0001f600"), rng.integers(0, 30))) for _ in range(2))
+        want = []
+        for n in range(1, 7):
+            a, b = ([t[i : i + n] for i in range(len(t) - n + 1)] for t in ("".join(p.split()), "".join(g.split())))
+            want += [len(a), len(b), sum(min(a.count(x), b.count(x)) for x in set(a))]
+        assert C.chrf_counts(g, p) == want == C.chrf_counts(g, p, 2)[:18]
+        made.append((g, p))
+    names = ("chrf", "chrf++")
+    one = lambda m: C.corpus_scores(spark.createDataFrame(made, "g string, p string"), "g", "p", m).collect()
+    both = {r.metric: r.score for r in one(names)}
+    assert both == {r.metric: r.score for m in names for r in one((m,))}
+    monkeypatch.setattr(C, "common_places", None)  # a text that has all its words in place but one needs no places
+    assert C.ter_counts("a b c d e", "a b c d x") == [1, 5]
