@@ -476,3 +476,14 @@ def test_character_counts_are_made_once_and_by_numbers(spark, monkeypatch):
     assert both == {r.metric: r.score for m in names for r in one((m,))}
     monkeypatch.setattr(C, "common_places", None)  # a text that has all its words in place but one needs no places
     assert C.ter_counts("a b c d e", "a b c d x") == [1, 5]
+
+
+def test_gram_sets_are_read_and_not_copied_to_each_other(spark, monkeypatch):
+    monkeypatch.setattr(G, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(6)
+    sets = [sorted({str(x) for x in rng.integers(0, 30, rng.integers(0, 20))}) for _ in range(40)]
+    j = S.average_pair_jaccard(spark.createDataFrame(list(enumerate(sets)), "id long, v array<string>"))
+    assert "Generate" not in j._jdf.queryExecution().optimizedPlan().toString()
+    want = [len(set(a) & set(b)) / max(1, len(set(a) | set(b))) for i, a in enumerate(sets) for b in sets[:i]]
+    got = j.first()
+    assert got.score == pytest.approx(np.mean(want)) and (got.num_samples, got.num_pairs) == (40, 780)
